@@ -4,6 +4,6 @@
 """
 
 from grainguard.bindings.registry import ORACLE, QUERIES
-from grainguard.bindings import joins, tables  # noqa: F401
+from grainguard.bindings import history, joins, sources, tables  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -79,9 +79,11 @@ VIEWS = {
                l_linenumber % 4 <> 0 AS qualified
         FROM lineitem""",
     "scope": """
-        SELECT o_orderkey AS query_id, 'orders' AS alias FROM orders WHERE o_orderstatus <> 'P'
+        SELECT o_orderkey AS query_id, 'orders' AS alias
+        FROM orders WHERE o_orderstatus <> 'P'
         UNION ALL
-        SELECT o_orderkey AS query_id, 'customer' AS alias FROM orders WHERE o_orderstatus = 'F'""",
+        SELECT o_orderkey AS query_id, 'customer' AS alias
+        FROM orders WHERE o_orderstatus = 'F'""",
     "query_log": """
         SELECT o_orderkey AS query_id,
                CASE WHEN o_orderkey % 2 = 0 THEN 'postgresql' ELSE 'snowflake' END AS dialect,
@@ -168,10 +170,9 @@ class Tables:
             if name in SCHEMAS:
                 df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
             elif name in VIEWS:
-                text = VIEWS[name]
-                used = {t for t in SCHEMAS if re.search(rf"\bFROM {t}\b", text)}
-                for t in used:
-                    text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
+                # Each FROM of a view starts a line, so names inside its text literals are left alone.
+                used = set(re.findall(r"(?m)^ *FROM (\w+)", VIEWS[name]))
+                text = re.sub(r"(?m)^( *FROM )(\w+)", r"\1{\2}", VIEWS[name])
                 df = self.spark.sql(text, **{t: getattr(self, t) for t in used})
             else:
                 raise AttributeError(name)
