@@ -19,14 +19,19 @@ from grainguard.session import cut
 CHUNK = "_chunk"
 
 
-def sorted_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+def sorted_chunks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sort_inside: bool = False
+) -> DataFrame:
     """Add ``_chunk``: chunks of one key are numbered in the given order and never overlap.
 
     The result is cut: range bounds are sampled, and both the per-chunk work and
     the summary have to see the same chunk numbers.
     """
     cols = [*keys, *order]
-    return cut(df.repartitionByRange(*cols).withColumn(CHUNK, F.spark_partition_id()))
+    chunks = df.repartitionByRange(*cols)
+    if sort_inside:
+        chunks = chunks.sortWithinPartitions(*cols)
+    return cut(chunks.withColumn(CHUNK, F.spark_partition_id()))
 
 
 def earlier_chunks(keys: Sequence[str]):
