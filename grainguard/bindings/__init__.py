@@ -4,6 +4,6 @@
 """
 
 from grainguard.bindings.registry import ORACLE, QUERIES
-from grainguard.bindings import conformance, governance, history, joins, sources, streams, tables  # noqa: F401
+from grainguard.bindings import conformance, governance, history, joins, sources, streams, synthesis, tables  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]
