@@ -25,13 +25,16 @@ def unresolved_tables(refs: DataFrame, catalog: DataFrame, local: DataFrame | No
     ``local`` lists (query_id, table_name) of names the query defines itself.
     """
     known = _named_columns(catalog)
-    used = refs.select("query_id", "table_name").where("table_name IS NOT NULL").distinct()
-    unknown = used.join(known.select("table_name").distinct(), "table_name", "left_anti")
-    if local is not None:
-        unknown = unknown.join(local.select("query_id", "table_name").distinct(), ["query_id", "table_name"], "left_anti")
+    names = refs.select("table_name").where("table_name IS NOT NULL").distinct()
+    unknown = names.join(known.select("table_name").distinct(), "table_name", "left_anti")
     candidates = known.select(F.col("table_name").alias("candidate"), "ord")
-    hints = nearest_name(unknown, candidates, "table_name", "candidate", "ord")
-    return unknown.join(hints, "table_name", "left").select("query_id", "table_name", F.col("nearest").alias("suggestion"))
+    hints = nearest_name(unknown, candidates, "table_name", "candidate", "ord").withColumnRenamed("nearest", "suggestion")
+    # The few unknown names filter the log before it is made distinct, and carry their hint along.
+    bad = unknown.join(hints, "table_name", "left")
+    found = refs.select("query_id", "table_name").join(bad, "table_name").distinct()
+    if local is not None:
+        found = found.join(local.select("query_id", "table_name").distinct(), ["query_id", "table_name"], "left_anti")
+    return found.select("query_id", "table_name", "suggestion")
 
 
 def unresolved_columns(refs: DataFrame, catalog: DataFrame, select_aliases: DataFrame | None = None) -> DataFrame:
@@ -47,21 +50,24 @@ def unresolved_columns(refs: DataFrame, catalog: DataFrame, select_aliases: Data
     owned = columns.select("table_name", "column_name").distinct()
     per_table = columns.select("table_name", F.col("column_name").alias("candidate"), "ord")
 
-    qualified = (
-        refs.where("qualified AND column_name IS NOT NULL")
-        .select("query_id", "table_name", "column_name")
+    qualified = refs.where("qualified AND column_name IS NOT NULL").select("query_id", "table_name", "column_name")
+    pairs = (
+        qualified.select("table_name", "column_name")
         .distinct()
         .join(tables, "table_name", "left_semi")
         .join(owned, ["table_name", "column_name"], "left_anti")
     )
-    hints = nearest_name(qualified, per_table, "column_name", "candidate", "ord", within=["table_name"])
-    qualified_out = qualified.join(hints, ["table_name", "column_name"], "left").select(
-        "query_id", "table_name", "column_name", F.lit(True).alias("qualified"), F.col("nearest").alias("suggestion")
+    hints = nearest_name(pairs, per_table, "column_name", "candidate", "ord", within=["table_name"])
+    bad = pairs.join(hints, ["table_name", "column_name"], "left")
+    qualified_out = (
+        qualified.join(bad, ["table_name", "column_name"])
+        .distinct()
+        .select("query_id", "table_name", "column_name", F.lit(True).alias("qualified"), F.col("nearest").alias("suggestion"))
     )
 
     # Known tables per query, as a sorted array: at most as long as the catalog has tables.
     in_scope = refs.select("query_id", "table_name").distinct().join(tables, "table_name", "left_semi")
-    scopes = in_scope.groupBy("query_id").agg(F.array_sort(F.collect_set("table_name")).alias("_tables"))
+    scopes = in_scope.groupBy("query_id").agg(F.sort_array(F.collect_set("table_name")).alias("_tables"))
     bare = (
         refs.where("NOT qualified AND column_name IS NOT NULL").select("query_id", "column_name").distinct()
     )
@@ -153,6 +159,6 @@ def ambiguous_columns(refs: DataFrame, catalog: DataFrame, select_aliases: DataF
     return (
         visible.join(bare, ["query_id", "column_name"], "left_semi")
         .groupBy("query_id", "column_name")
-        .agg(F.array_sort(F.collect_set("table_name")).alias("owners"))
+        .agg(F.sort_array(F.collect_set("table_name")).alias("owners"))
         .where(F.size("owners") >= 2)
     )

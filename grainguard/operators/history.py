@@ -212,7 +212,7 @@ def period_digest(df: DataFrame, findings: DataFrame, as_of: str, days: int = 7,
         counts.withColumn("place", place)
         .where(F.col("place") <= top)
         .groupBy("user_id")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "issue_id", "n"))).alias("_top"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "issue_id", "n"))).alias("_top"))
     )
     return (
         sums.join(tops, "user_id", "left")

@@ -1,10 +1,11 @@
 """Ordered work (ranks, as-of lookups, folds) without one task per key.
 
-A window ``partitionBy(key)`` puts all rows of a key into one task, which fails
-when one key holds a third of a table. Here rows are range-partitioned by
-(key, order), so a hot key spans many partitions ("chunks"). Each chunk is
-worked on alone and a summary of at most one row per (key, chunk) carries what
-the later chunks need to know.
+A window ``partitionBy(key)`` puts all rows of a key into one task. That is the
+cheapest plan while keys are small, and fails when one key holds a third of a
+table. So keys are counted first (map-side combined). If any key is hot, rows
+are range-partitioned by (key, order) instead: a hot key then spans many
+partitions ("chunks"). Each chunk is worked on alone and a summary of at most
+one row per (key, chunk) carries what the later chunks need to know.
 """
 
 from __future__ import annotations
@@ -18,6 +19,19 @@ from grainguard.session import cut
 
 CHUNK = "_chunk"
 
+# More rows than this in one key, and the key is spread over chunks. One window
+# task sorts so many rows with a few spills. Sessions may set their own limit.
+HOT_KEY_ROWS = 5_000_000
+HOT_KEY_SETTING = "spark.grainguard.hotKeyRows"
+
+
+def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Does one key own more rows than a window task should get? Runs one count per key."""
+    if not keys:
+        return True
+    limit = int(df.sparkSession.conf.get(HOT_KEY_SETTING, str(HOT_KEY_ROWS)))
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).isEmpty()
+
 
 def sorted_chunks(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sort_inside: bool = False
@@ -54,6 +68,14 @@ def exact_ranks(
     """
     part = list(part)
     direction = F.desc if descending else F.asc
+    if not has_hot_key(df, part):
+        whole = Window.partitionBy(*part)
+        ranks = {
+            "row_number": F.row_number().over(whole.orderBy(direction(order), F.asc(tiebreak))),
+            "rank": F.rank().over(whole.orderBy(direction(order))),
+            "dense_rank": F.dense_rank().over(whole.orderBy(direction(order))),
+        }
+        return df.select("*", *[ranks[k].cast("bigint").alias(k) for k in kinds])
     rows = sorted_chunks(df, part, [direction(order), F.asc(tiebreak)])
     local = Window.partitionBy(*part, CHUNK)
     ordered = local.orderBy(direction(order), F.asc(tiebreak))
@@ -134,6 +156,9 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     The linear form of an as-of lookup; no row meets more than one other row.
     """
     keys = list(keys)
+    if not has_hot_key(df, keys):
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(upto))
     rows = sorted_chunks(df, keys, order)
     local = (
         Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

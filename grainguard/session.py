@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The JVM never compiles a method over 8000 bytes; past that, generated code is better split up.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -25,6 +27,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .appName("grainguard")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Small test data: keep the cores busy instead of merging everything into one partition.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
     )
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)

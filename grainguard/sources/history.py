@@ -92,7 +92,7 @@ def report_nest(findings: DataFrame, page_size: int = 1000) -> DataFrame:
     item = F.struct("seq", "issue_id", "n")
 
     def part(name):
-        return F.array_sort(F.collect_list(F.when(is_severity(name), item))).alias(f"{name}s")
+        return F.sort_array(F.collect_list(F.when(is_severity(name), item))).alias(f"{name}s")
 
     return paged.groupBy("query_id", "page", "pages", "execution_safe").agg(
         part("error"), part("warning"), part("suggestion")
@@ -123,7 +123,7 @@ def audit_rows(runs: DataFrame, findings: DataFrame) -> DataFrame:
     Distinct types per run are bounded by the closed set of issue ids.
     """
     types = findings.select("query_id", "issue_id").distinct().groupBy("query_id").agg(
-        F.array_join(F.array_sort(F.collect_list("issue_id")), "|").alias("issue_types")
+        F.array_join(F.sort_array(F.collect_list("issue_id")), "|").alias("issue_types")
     )
     joined = runs.join(types, "query_id", "left")
     return joined.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in AUDIT_COLUMNS])
