@@ -65,6 +65,34 @@ def _(t):
     return C.catalog_flat(flat, shouting, keep=["database_id"])
 
 
+@bind(
+    "catalog_ingest",
+    """
+    SELECT database_id, table_name, column_name, data_type, is_nullable, constraint_type, foreign_table_name, foreign_column_name
+    FROM catalog_log WHERE table_name <> ''""",
+)
+def _(t):
+    """The catalog query on information-schema tables of all databases; the JDBC reader feeds the same shape."""
+    log = t.catalog_log
+    schema = F.when(F.col("table_name") == "", "private").otherwise("public").alias("table_schema")
+    tables = log.select("database_id", schema, "table_name", F.lit("BASE TABLE").alias("table_type")).distinct()
+    views = tables.withColumns({"table_name": F.concat("table_name", F.lit("_view")), "table_type": F.lit("VIEW")})
+    columns = log.select("database_id", schema, "table_name", "column_name", "data_type", "is_nullable").distinct()
+    name = F.concat_ws("_", "table_name", "column_name", "ord").alias("constraint_name")
+    keys = log.where("constraint_type IS NOT NULL")
+    return C.catalog_rows_from_tables(
+        tables.unionByName(views),
+        columns,
+        keys.select("database_id", name, "table_name", "column_name"),
+        keys.select("database_id", name, "constraint_type"),
+        keys.where("foreign_table_name IS NOT NULL").select(
+            "database_id", name, F.col("foreign_table_name").alias("table_name"), F.col("foreign_column_name").alias("column_name")
+        ),
+        "public",
+        ["database_id"],
+    )
+
+
 @bind(
     "validation_rows",
     f"""

@@ -27,8 +27,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .appName("grainguard")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        # Small test data: keep the cores busy instead of merging everything into one partition.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
     )
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)

@@ -87,29 +87,41 @@ def catalog_flat(*catalogs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def catalog_rows_from_tables(
-    tables: DataFrame, columns: DataFrame, key_usage: DataFrame, constraints: DataFrame, usage: DataFrame, schema_name: str
+    tables: DataFrame,
+    columns: DataFrame,
+    key_usage: DataFrame,
+    constraints: DataFrame,
+    usage: DataFrame,
+    schema_name: str,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """The catalog query as joins: base tables of one schema with their columns, keys and key targets."""
+    """The catalog query as joins on information-schema tables: base tables of one schema, their columns and keys.
+
+    ``within`` names extra key columns, such as the database an export came from.
+    """
+    own = list(within)
     base = tables.where((F.col("table_schema") == schema_name) & (F.col("table_type") == "BASE TABLE"))
-    keys = key_usage.join(constraints.select("constraint_name", "constraint_type"), "constraint_name").join(
-        usage.select(
-            "constraint_name",
-            F.col("table_name").alias("foreign_table_name"),
-            F.col("column_name").alias("foreign_column_name"),
-        ),
+    wanted = columns.where(F.col("table_schema") == schema_name).drop("table_schema")
+    targets = usage.select(
+        *own,
         "constraint_name",
-        "left",
+        F.col("table_name").alias("foreign_table_name"),
+        F.col("column_name").alias("foreign_column_name"),
     )
     is_fk = F.col("constraint_type") == "FOREIGN KEY"
-    targets = keys.select(
-        "table_name", "column_name", "constraint_type",
-        F.when(is_fk, F.col("foreign_table_name")).alias("foreign_table_name"),
-        F.when(is_fk, F.col("foreign_column_name")).alias("foreign_column_name"),
+    keys = (
+        key_usage.join(constraints.select(*own, "constraint_name", "constraint_type"), [*own, "constraint_name"])
+        .join(targets, [*own, "constraint_name"], "left")
+        .select(
+            *own, "table_name", "column_name", "constraint_type",
+            F.when(is_fk, F.col("foreign_table_name")).alias("foreign_table_name"),
+            F.when(is_fk, F.col("foreign_column_name")).alias("foreign_column_name"),
+        )
     )
     return (
-        base.select("table_name")
-        .join(columns.where(F.col("table_schema") == schema_name).drop("table_schema"), "table_name")
-        .join(targets, ["table_name", "column_name"], "left")
+        base.select(*own, "table_name")
+        .join(wanted, [*own, "table_name"])
+        .join(keys, [*own, "table_name", "column_name"], "left")
     )
 
 
