@@ -94,18 +94,18 @@ _KEYS_SQL = """
           FROM events LEFT JOIN keys k ON k.key_hash = sha256(CAST(events.user_id AS VARCHAR)))"""
 
 
-def _attributed(t):
+def _requests(t):
     keys = t.customer.where("c_mktsegment <> 'FURNITURE'").select(
         F.sha2(F.col("c_custkey").cast("string").cast("binary"), 256).alias("key_hash"),
         F.col("c_custkey").alias("user_id"),
         F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("2024-01-01 00:00:00")).cast("timestamp_ntz").alias("revoked_at"),
     )
-    return G.attribute_requests(t.events.select("event_id", "ts", F.col("user_id").alias("token")), keys)
+    return t.events.select("event_id", "ts", F.col("user_id").alias("token")), keys
 
 
 @bind("attribute_requests", f"WITH {_KEYS_SQL} SELECT * FROM a")
 def _(t):
-    return _attributed(t)
+    return G.attribute_requests(*_requests(t))
 
 
 @bind(
@@ -113,7 +113,7 @@ def _(t):
     f"WITH {_KEYS_SQL} SELECT key_hash, MAX(ts) AS last_used_at, COUNT(*) AS calls FROM a WHERE accepted GROUP BY 1",
 )
 def _(t):
-    return G.key_last_use(_attributed(t), "ts")
+    return G.key_last_use(*_requests(t), "ts")
 
 
 _LISTS = {"pro": "Brand#4, Brand#7 ,Brand#23", "team": " Brand#7,Brand#17", "business": "Brand#11 , Brand#8,"}

@@ -8,17 +8,32 @@ are reduced to distinct ones, resolved, and only then joined back.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainguard.functions.names import closest, nearest_name
-from grainguard.plans.shapes import array_shards
+from grainguard.plans.shapes import array_shards, is_small
+from grainguard.session import cut
 
 
 def _named_columns(catalog: DataFrame) -> DataFrame:
     return catalog.where((F.col("table_name") != "") & (F.col("column_name") != ""))
 
 
+def _distinct_hits(log: DataFrame, bad: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Distinct log rows that carry one of the ``bad`` names, with the columns of ``bad``.
+
+    As long as the bad names are few, they filter the log where it is read.
+    Otherwise the log is made distinct first, so that a name with a third of all
+    references is not joined in one task.
+    """
+    if is_small(bad):
+        return log.join(F.broadcast(bad), list(names)).distinct()
+    return log.distinct().join(bad, list(names))
+
+
 def unresolved_tables(refs: DataFrame, catalog: DataFrame, local: DataFrame | None = None) -> DataFrame:
     """Tables neither in the catalog nor local to the query, once per (query, name), with the nearest name.
 
@@ -29,9 +44,8 @@ def unresolved_tables(refs: DataFrame, catalog: DataFrame, local: DataFrame | No
     unknown = names.join(known.select("table_name").distinct(), "table_name", "left_anti")
     candidates = known.select(F.col("table_name").alias("candidate"), "ord")
     hints = nearest_name(unknown, candidates, "table_name", "candidate", "ord").withColumnRenamed("nearest", "suggestion")
-    # The few unknown names filter the log before it is made distinct, and carry their hint along.
-    bad = unknown.join(hints, "table_name", "left")
-    found = refs.select("query_id", "table_name").join(bad, "table_name").distinct()
+    bad = cut(unknown.join(hints, "table_name", "left"))
+    found = _distinct_hits(refs.select("query_id", "table_name"), bad, ["table_name"])
     if local is not None:
         found = found.join(local.select("query_id", "table_name").distinct(), ["query_id", "table_name"], "left_anti")
     return found.select("query_id", "table_name", "suggestion")
@@ -58,11 +72,9 @@ def unresolved_columns(refs: DataFrame, catalog: DataFrame, select_aliases: Data
         .join(owned, ["table_name", "column_name"], "left_anti")
     )
     hints = nearest_name(pairs, per_table, "column_name", "candidate", "ord", within=["table_name"])
-    bad = pairs.join(hints, ["table_name", "column_name"], "left")
-    qualified_out = (
-        qualified.join(bad, ["table_name", "column_name"])
-        .distinct()
-        .select("query_id", "table_name", "column_name", F.lit(True).alias("qualified"), F.col("nearest").alias("suggestion"))
+    bad = cut(pairs.join(hints, ["table_name", "column_name"], "left"))
+    qualified_out = _distinct_hits(qualified, bad, ["table_name", "column_name"]).select(
+        "query_id", "table_name", "column_name", F.lit(True).alias("qualified"), F.col("nearest").alias("suggestion")
     )
 
     # Known tables per query, as a sorted array: at most as long as the catalog has tables.

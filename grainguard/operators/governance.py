@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainguard.operators.times import days_before, naive
-from grainguard.plans.shapes import ratio, total
-from grainguard.plans.sorted_chunks import exact_ranks
+from grainguard.plans.shapes import ratio, salted_left_join, total
+from grainguard.plans.sorted_chunks import any_over_limit, exact_ranks
 
 
 def _month(ts: str | Column) -> Column:
@@ -60,25 +60,30 @@ def quota_gate(
         counts.join(plans.select("user_id", "plan"), "user_id", "left")
         .withColumn("allowed", allowed)
         .where(F.col("n") > F.col("allowed"))
-        .select("user_id", "month", "allowed")
+        .select("user_id", "month", "allowed", "n")
     )
-    marked = by_month.join(over, ["user_id", "month"], "left")
+    marked = by_month.join(over.drop("n"), ["user_id", "month"], "left")
+    hot = any_over_limit(over, "n")
     within = marked.where("allowed IS NULL").select("id", "user_id", "month", F.lit(True).alias("accepted"))
     ranked = exact_ranks(
-        marked.where("allowed IS NOT NULL"), ["user_id", "month"], "created_at", "id", kinds=["row_number"]
+        marked.where("allowed IS NOT NULL"), ["user_id", "month"], "created_at", "id", kinds=["row_number"], hot=hot
     )
     return within.unionByName(
         ranked.select("id", "user_id", "month", (F.col("row_number") <= F.col("allowed")).alias("accepted"))
     )
 
 
+def _token_hash(token: str) -> Column:
+    return F.sha2(F.col(token).cast("string").cast("binary"), 256)
+
+
 def attribute_requests(requests: DataFrame, keys: DataFrame, token: str = "token") -> DataFrame:
     """Add the user of each request by the SHA-256 of its token; unknown and revoked keys are rejected.
 
     ``keys`` is unique on key_hash and grows with users, so the join method is the optimizer's choice.
     """
     live = keys.select("key_hash", "user_id", "revoked_at")
-    hashed = requests.withColumn("key_hash", F.sha2(F.col(token).cast("string").cast("binary"), 256))
+    hashed = requests.withColumn("key_hash", _token_hash(token))
     ok = F.col("user_id").isNotNull() & F.col("revoked_at").isNull()
     return (
         hashed.join(live, "key_hash", "left")
@@ -88,13 +93,14 @@ def attribute_requests(requests: DataFrame, keys: DataFrame, token: str = "token
     )
 
 
-def key_last_use(attributed: DataFrame, ts: str) -> DataFrame:
-    """Last accepted use and number of uses per key."""
-    return (
-        attributed.where("accepted")
-        .groupBy("key_hash")
+def key_last_use(requests: DataFrame, keys: DataFrame, ts: str, token: str = "token") -> DataFrame:
+    """Last accepted use and number of uses per live key; requests are folded per token before the join."""
+    calls = (
+        requests.groupBy(token)
         .agg(F.max(ts).alias("last_used_at"), F.count(F.lit(1)).alias("calls"))
+        .select(_token_hash(token).alias("key_hash"), "last_used_at", "calls")
     )
+    return calls.join(keys.where("revoked_at IS NULL").select("key_hash"), "key_hash", "left_semi")
 
 
 # Plans in order of precedence.
@@ -145,8 +151,7 @@ def usage_since_reset(runs: DataFrame, state: DataFrame, as_of: str) -> DataFram
     recent = runs.where((F.col("created_at") >= start) & (F.col("created_at") <= naive(as_of)))
     since = F.greatest(start, F.col("usage_reset_at"))
     return (
-        recent.select("user_id", "created_at")
-        .join(state.select("user_id", "usage_reset_at"), "user_id", "left")
+        salted_left_join(recent.select("user_id", "created_at"), state.select("user_id", "usage_reset_at"), "user_id")
         .groupBy("user_id")
         .agg(
             F.count(F.lit(1)).alias("runs_this_month"),

@@ -71,6 +71,26 @@ def unpivot_row(df: DataFrame, label: str, parts: dict[str, dict[str, Column]])
     return df.select(F.inline(F.array(*entries)))
 
 
+def salted_left_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Left join on a key that may be hot in ``big`` and is unique in ``small``.
+
+    Rows of one key are spread over ``salts`` partitions and ``small`` is copied to each of them, so an
+    aggregate on the same key first combines in many tasks.
+    """
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+# Names and hints of this many rows are a few MB; only then is a side broadcast by hint.
+SMALL_ROWS = 100_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Counts at most ``rows`` + 1 rows; for frames that are already materialised."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def array_shards(df: DataFrame, by: Sequence[str], item: Column, name: str, size: int = 1000) -> DataFrame:
     """Collect distinct ``item`` values per group into arrays of about ``size`` elements.
 

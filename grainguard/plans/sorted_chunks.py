@@ -25,12 +25,15 @@ HOT_KEY_ROWS = 5_000_000
 HOT_KEY_SETTING = "spark.grainguard.hotKeyRows"
 
 
+def any_over_limit(counts: DataFrame, n: str) -> bool:
+    """Is one of these row counts more than a window task should get?"""
+    limit = int(counts.sparkSession.conf.get(HOT_KEY_SETTING, str(HOT_KEY_ROWS)))
+    return not counts.where(F.col(n) > limit).isEmpty()
+
+
 def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Does one key own more rows than a window task should get? Runs one count per key."""
-    if not keys:
-        return True
-    limit = int(df.sparkSession.conf.get(HOT_KEY_SETTING, str(HOT_KEY_ROWS)))
-    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).isEmpty()
+    """Does one key own too many rows for one task? Runs one map-side combined count per key."""
+    return not keys or any_over_limit(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "n")
 
 
 def sorted_chunks(
@@ -59,16 +62,18 @@ def exact_ranks(
     tiebreak: str,
     descending: bool = False,
     kinds: Sequence[str] = ("row_number", "rank", "dense_rank"),
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add the ranking columns named in ``kinds`` over ``part`` ordered by ``order`` then ``tiebreak``.
 
     Equal to the window functions of the same names (row_number uses the
     tie-breaker, rank and dense_rank only ``order``). ``part + order + tiebreak``
-    should be unique, otherwise row_number is arbitrary among equals.
+    should be unique, otherwise row_number is arbitrary among equals. A caller
+    that already has the counts says whether a partition is ``hot``.
     """
     part = list(part)
     direction = F.desc if descending else F.asc
-    if not has_hot_key(df, part):
+    if not (has_hot_key(df, part) if hot is None else hot):
         whole = Window.partitionBy(*part)
         ranks = {
             "row_number": F.row_number().over(whole.orderBy(direction(order), F.asc(tiebreak))),

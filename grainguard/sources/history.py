@@ -109,9 +109,13 @@ def report_explode(reports: DataFrame) -> DataFrame:
 
     entry = F.explode(F.concat(labelled("error"), labelled("warning"), labelled("suggestion")))
     rows = reports.select("query_id", entry.alias("f")).select("query_id", "f.*")
-    return rows.select(
-        "query_id", "severity", "seq", "issue_id", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_one")
-    ).drop("_one")
+    # Repeats come back in blocks, so a finding repeated a billion times needs no array of that length.
+    block = 1000
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {block}"))))
+    size = F.least(F.lit(block), F.col("n") - F.col("_block") * block).cast("int")
+    return blocks.withColumn("_one", F.explode(F.array_repeat(F.lit(1), size))).select(
+        "query_id", "severity", "seq", "issue_id"
+    )
 
 
 AUDIT_COLUMNS = ("timestamp", "user_email", "event_type", "risk_score", "issue_types", "sql_hash")

@@ -12,14 +12,21 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def read_files(spark: SparkSession, schema: str, folder: str, pattern: str, files_per_trigger: int = 1000) -> DataFrame:
+def read_files(
+    spark: SparkSession,
+    schema: str,
+    folder: str,
+    pattern: str,
+    bytes_per_trigger: int = 4 * 2**30,
+    files_per_trigger: int | None = None,
+) -> DataFrame:
     """Stream of parquet files; the trigger limit bounds the rows, and so the memory, of one micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    return reader.parquet(folder)
 
 
 def run_available(df: DataFrame, out: str, mode: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> str:
