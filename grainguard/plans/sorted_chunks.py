@@ -185,3 +185,25 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
         .withColumn(name, F.coalesce("_local", "_carried"))
         .select(*df.columns, name)
     )
+
+
+def next_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: ``value`` of the following row, in ``order`` within ``keys``; NULL on the last row.
+
+    ``keys + order`` has to be unique.
+    """
+    keys = list(keys)
+    if not has_hot_key(df, keys):
+        return df.withColumn(name, F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    rows = sorted_chunks(df, keys, order)
+    local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    starts = rows.groupBy(*keys, CHUNK).agg(F.min_by(F.struct(value), F.struct(*order)).alias("_start"))
+    following = starts.select(
+        *keys, CHUNK, F.lead("_start").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_following")
+    ).where(F.col("_following").isNotNull())
+    return (
+        rows.withColumn("_local", F.lead(F.struct(value)).over(local))
+        .join(following, [*keys, CHUNK], "left")
+        .withColumn(name, F.coalesce("_local", "_following")[value])
+        .select(*df.columns, name)
+    )

@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainguard.plans.sorted_chunks import next_value
+
 # Column types of the given tables.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -42,10 +44,6 @@ VIEWS = {
                CAST(o_orderkey % 13 AS INT) AS done, CAST(13 AS INT) AS planned,
                o_orderstatus, o_orderdate
         FROM orders""",
-    "customer_history": """
-        SELECT o_custkey AS cust, o_orderpriority AS tier, o_orderdate AS valid_from,
-               lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to
-        FROM orders""",
     "findings": """
         SELECT l_orderkey AS query_id, l_linenumber AS seq,
                CASE CAST(l_partkey % 10 AS INT)
@@ -131,8 +129,12 @@ def _literal(value) -> str:
 _VALUES = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in CATALOG_ROWS)
 _CATALOG_NAMES = ", ".join(c.split()[0] for c in CATALOG_SCHEMA.split(", "))
 
-# Oracle-only texts of the two catalog views; Spark builds them from CATALOG_ROWS below.
-CATALOG_VIEWS = {
+# Oracle-only texts; Spark builds these views with DataFrame code in Tables, for scale.
+ORACLE_VIEWS = {
+    "customer_history": """
+        SELECT o_custkey AS cust, o_orderpriority AS tier, o_orderdate AS valid_from,
+               lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to
+        FROM orders""",
     "catalog_rows": f"SELECT * FROM (VALUES {_VALUES}) AS t({_CATALOG_NAMES})",
     # One exported catalog per customer database: the shape of a shared catalog service.
     "catalog_log": f"""
@@ -143,7 +145,7 @@ CATALOG_VIEWS = {
 
 def with_views(sql: str) -> str:
     """Prefix an oracle text with the derived views it mentions."""
-    views = {**VIEWS, **CATALOG_VIEWS}
+    views = {**VIEWS, **ORACLE_VIEWS}
     used = [v for v in views if re.search(rf"\b{v}\b", sql)]
     sql = sql.strip()
     if not used:
@@ -179,6 +181,16 @@ class Tables:
             self._seen[name] = df
         return self._seen[name]
 
+    @cached_property
+    def customer_history(self) -> DataFrame:
+        versions = self.orders.select(
+            F.col("o_custkey").alias("cust"),
+            F.col("o_orderpriority").alias("tier"),
+            F.col("o_orderdate").alias("valid_from"),
+            "o_orderkey",
+        )
+        return next_value(versions, ["cust"], ["valid_from", "o_orderkey"], "valid_from", "valid_to").drop("o_orderkey")
+
     @cached_property
     def catalog_rows(self) -> DataFrame:
         return self.spark.createDataFrame(CATALOG_ROWS, CATALOG_SCHEMA)

@@ -11,7 +11,7 @@ from grainguard.functions.names import nearest_name
 from grainguard.operators import joins as J
 from grainguard.operators.claims import DONE, FREE, claim_events, gate_after, outcome
 from grainguard.plans.shapes import array_shards
-from grainguard.plans.sorted_chunks import carry_last, exact_ranks, sorted_chunks
+from grainguard.plans.sorted_chunks import carry_last, exact_ranks, next_value, sorted_chunks
 from grainguard.sources.history import report_explode, report_nest
 
 
@@ -62,6 +62,13 @@ def test_carry_last_across_chunks(spark, every_key_hot):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_next_value_across_chunks(spark, every_key_hot):
+    df = skewed(spark).withColumn("x", F.when(F.pmod(F.xxhash64("id"), F.lit(3)) > 0, F.col("id")))
+    got = next_value(df, ["k"], ["v", "id"], "x", "next_x")
+    want = df.withColumn("next_x", F.lead("x").over(Window.partitionBy("k").orderBy("v", "id")))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def by_hand(attempts, stale):
     gates, out = {}, {}
     for key, t, attempt, done, failed in sorted(attempts, key=lambda a: (a[0], a[1], a[2])):
