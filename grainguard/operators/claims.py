@@ -32,22 +32,32 @@ def gate_after(t: int, completed: bool, failed: bool, stale: int) -> int:
     return DONE if completed else FREE if failed else t + stale
 
 
-def outcome(t: int, gate: int) -> str:
+def fold(t: list, completed: list, failed: list, gate: int, stale: int) -> tuple[list, int]:
+    """Outcomes of one key's attempts in time order, and the gate after them."""
+    n = len(t)
     if gate == DONE:
-        return "duplicate"
-    if t < gate:
-        return "in_flight"
-    return "processed" if gate == FREE else "reclaimed"
+        return ["duplicate"] * n, DONE
+    found = ["in_flight"] * n
+    for i, at in enumerate(t):
+        if at >= gate:
+            found[i] = "processed" if gate == FREE else "reclaimed"
+            gate = gate_after(at, completed[i], failed[i], stale)
+            if gate == DONE:
+                found[i + 1 :] = ["duplicate"] * (n - i - 1)
+                break
+    return found, gate
 
 
 def _gate_table(t: np.ndarray, completed: np.ndarray, failed: np.ndarray, stale: int):
     """(highest gate, gate out) steps of one sorted chunk; a gate above the last step passes through."""
     n = len(t)
-    out = np.empty(n, dtype=np.int64)
-    for i in range(n - 1, -1, -1):
-        gate = gate_after(int(t[i]), bool(completed[i]), bool(failed[i]), stale)
-        following = n if gate == DONE else max(i + 1, int(np.searchsorted(t, gate)))
-        out[i] = gate if following == n else out[following]
+    gates = np.where(completed, DONE, np.where(failed, FREE, t + stale))
+    following = np.where(completed, n, np.maximum(np.arange(1, n + 1), np.searchsorted(t, gates)))
+    out = gates.tolist()
+    for i, j in zip(range(n - 1, -1, -1), following[::-1].tolist()):
+        if j < n:
+            out[i] = out[j]
+    out = np.array(out, dtype=np.int64)
     # Gates that come in are DONE, or at most the first time plus the stale limit.
     reachable = min(n, int(np.searchsorted(t, t[0] + stale)) + 1)
     step_ends = np.append(out[1:reachable] != out[: reachable - 1], True)
@@ -105,17 +115,20 @@ def claim_events(
     gates = steps.groupBy("key").applyInPandas(compose, f"key {key_type}, {CHUNK} int, gate_in bigint")
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, chunk, gate = None, None, FREE
+        current, gate = None, FREE
         for batch in batches:
+            if batch.empty:
+                continue
+            keys, chunks = batch["key"].to_numpy(), batch[CHUNK].to_numpy()
+            t, done, bad, gate_in = (batch[c].tolist() for c in ("t", "completed", "failed", "gate_in"))
+            changes = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+            edges = [0, *changes.tolist(), len(keys)]
             found = []
-            columns = (batch[c].tolist() for c in ("key", CHUNK, "t", "completed", "failed", "gate_in"))
-            for k, c, t, done, bad, gate_in in zip(*columns):
-                if k != current or c != chunk:
-                    current, chunk, gate = k, c, gate_in
-                verdict = outcome(t, gate)
-                if verdict in ("processed", "reclaimed"):
-                    gate = gate_after(t, done, bad, stale)
-                found.append(verdict)
+            for a, b in zip(edges, edges[1:]):
+                if (keys[a], chunks[a]) != current:
+                    current, gate = (keys[a], chunks[a]), gate_in[a]
+                part, gate = fold(t[a:b], done[a:b], bad[a:b], gate, stale)
+                found += part
             yield pd.DataFrame({key: batch["key"], attempt: batch["attempt"], "outcome": found})
 
     # Sorted chunks are read back as written; the broadcast join (fewer rows than twice the chunks) keeps their order.

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainguard.plans.shapes import ratio, side_by_side, total, unpivot_row
+from grainguard.plans.shapes import ratio, total, unpivot_row
 
 
 def null_equality_audit(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where the next aggregate then needs a shuffle of its own.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Cuts are deleted once nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     # The JVM never compiles a method over 8000 bytes; past that, generated code is better split up.
     "spark.sql.codegen.hugeMethodLimit": "8000",

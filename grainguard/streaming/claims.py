@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from grainguard.operators.claims import FREE, gate_after, outcome
+from grainguard.operators.claims import FREE, fold
 
 
 class ClaimProcessor(StatefulProcessor):
@@ -29,12 +29,7 @@ class ClaimProcessor(StatefulProcessor):
         # One key's rows of one micro-batch; the trigger limit bounds them.
         batch = pd.concat(list(rows)).sort_values(["t", "attempt"])
         gate = self.gate.get()[0] if self.gate.exists() else FREE
-        found = []
-        for t, done, failed in zip(batch["t"].tolist(), batch["completed"].tolist(), batch["failed"].tolist()):
-            verdict = outcome(t, gate)
-            if verdict in ("processed", "reclaimed"):
-                gate = gate_after(t, done, failed, self.stale)
-            found.append(verdict)
+        found, gate = fold(*(batch[c].tolist() for c in ("t", "completed", "failed")), gate, self.stale)
         self.gate.update((gate,))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)

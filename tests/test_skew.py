@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grainguard.functions.names import nearest_name
 from grainguard.operators import joins as J
-from grainguard.operators.claims import DONE, FREE, claim_events, gate_after, outcome
+from grainguard.operators.claims import DONE, FREE, claim_events, fold, gate_after
 from grainguard.plans.shapes import array_shards
 from grainguard.plans.sorted_chunks import carry_last, exact_ranks, next_value, sorted_chunks
 from grainguard.sources.history import report_explode, report_nest
@@ -73,8 +73,12 @@ def by_hand(attempts, stale):
     gates, out = {}, {}
     for key, t, attempt, done, failed in sorted(attempts, key=lambda a: (a[0], a[1], a[2])):
         gate = gates.get(key, FREE)
-        out[attempt] = outcome(t, gate)
-        if out[attempt] in ("processed", "reclaimed"):
+        if gate == DONE:
+            out[attempt] = "duplicate"
+        elif t < gate:
+            out[attempt] = "in_flight"
+        else:
+            out[attempt] = "processed" if gate == FREE else "reclaimed"
             gates[key] = gate_after(t, done, failed, stale)
     return out
 
@@ -105,9 +109,10 @@ def test_claims_of_a_hot_key(spark, many_chunks, seed):
 def test_gates():
     assert gate_after(10, True, False, 5) == DONE
     assert gate_after(10, False, True, 5) == FREE
-    assert [outcome(14, 15), outcome(15, 15), outcome(1, FREE), outcome(99, DONE)] == [
-        "in_flight", "reclaimed", "processed", "duplicate",
-    ]
+    no, yes = [False] * 4, [True] * 4
+    assert fold([1, 5, 6, 20], no, no, FREE, 5) == (["processed", "in_flight", "reclaimed", "reclaimed"], 25)
+    assert fold([1, 5, 6, 20], yes, no, 6, 5) == (["in_flight", "in_flight", "reclaimed", "duplicate"], DONE)
+    assert fold([1, 2], no, yes, FREE, 5) == (["processed", "processed"], FREE)
 
 
 def test_large_report_is_paged_and_comes_back_whole(spark):
