@@ -45,7 +45,8 @@ def sorted_chunks(
     the summary have to see the same chunk numbers.
     """
     cols = [*keys, *order]
-    chunks = df.repartitionByRange(*cols)
+    # A stated number is kept by adaptive execution, so small rows with much work still use all cores.
+    chunks = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
     if sort_inside:
         chunks = chunks.sortWithinPartitions(*cols)
     return cut(chunks.withColumn(CHUNK, F.spark_partition_id()))
