@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainguard.llm import bpe, sharding
+from grainguard.llm import bpe, decontam, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,27 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.ranks_in(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded"))
+
+
+@query
+def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontam.contained_items(docs, items)
+
+
+ORACLE["op9_containment_search"] = """
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), split AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM texts
+), shingles AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: w[i + 1 : i + 5])) AS s
+  FROM split WHERE len(w) > 0
+), items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS q FROM shingles WHERE kind = 'i')
+SELECT d.id AS doc_id, i.id AS item_id, max(i.q) AS item_shingles, count(*) AS shared_shingles
+FROM shingles d JOIN items i ON d.s = i.s WHERE d.kind = 'd'
+GROUP BY d.id, i.id HAVING count(*) * 100 >= max(i.q) * 75
+"""
