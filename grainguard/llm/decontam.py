@@ -19,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainguard.llm.columns import SHINGLE, SIMILAR_PERCENT, lower_ascii, words
-from grainguard.session import new_folder
+from grainguard.llm.columns import SHINGLE, SIMILAR_PERCENT, lower_ascii, stored, words
 
 
 def shingle_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -33,13 +32,6 @@ def shingle_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return placed.select("key", "m", F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *parts).alias("g"))
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, with a size that the planner knows."""
-    folder = new_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def item_tables(items: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """All shingles of the items, and the sketches that documents probe."""
     sets = shingle_rows(items, key, text).select(F.col("key").alias("item_id"), "h", "g").distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainguard.llm import bpe, decontam, sharding
+from grainguard.llm import bpe, decontam, outliers, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded"))
 
 
+@query
+def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outliers.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *outliers.COUNTS, "base_failed", "kept")
+
+
 @query
 def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
