@@ -58,7 +58,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of each row; the last two are NULL for an empty set."""
+    """(doc_id, content, n_shingles, digest, signature) of each row; the last two are NULL for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,15 +69,16 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],
+                        part["content"],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "digest", "signature"],
+                    ["doc_id", "content", "n_shingles", "digest", "signature"],
                 )
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
+    return own.mapInArrow(run, "doc_id long, content long, n_shingles long, digest binary, signature binary")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -256,7 +257,7 @@ def remaining_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame) ->
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = SIMILAR_PERCENT
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+    """(doc_id, content, n_shingles, component_id, kept) of every row; ``content`` is a hash of the text.
 
     Two texts are linked if the shared shingles are at least ``percent`` percent of all of both. A text of fewer
     than five words is one shingle; NULL and blank texts have none and are linked with nothing. Rows with equal
@@ -270,7 +271,7 @@ def near_duplicates(
     rows = stored(sketched(docs, key, text), "sketches")
     keyed = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     least = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    own = keyed.join(least, "digest").where("doc_id = least").dropDuplicates(["digest"]).drop("n_shingles", "least")
+    own = keyed.join(least, "digest").where("doc_id = least").dropDuplicates(["digest"]).drop("n_shingles", "content", "least")
     # A class is named by its least key, or by its digest where texts share a key.
     shared = stored(own.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("shared")), "shared")
     named = own.join(shared, F.col("doc_id") == F.col("shared"), "left")
@@ -292,6 +293,17 @@ def near_duplicates(
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     groups = grouped.join(least, "component").select("digest", "component_id")
     out = rows.join(groups, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "content", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the row of the least key of each group; columns are unchanged.
+
+    Rows of a group that have the least key in common all stay, as do texts without words.
+    """
+    gone = near_duplicates(docs, key, text).where("NOT kept")
+    gone = stored(gone.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct(), "copies")
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__content"))
+    return docs.join(gone, same, "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainguard.llm import bpe, decontam, neardup, outliers, pii, repeats, sharding, urls
+from grainguard.llm import bpe, decontam, neardup, outliers, pii, repeats, sharding, toolcalls, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,7 +35,7 @@ def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("content")
 
 
 @query
@@ -69,6 +69,79 @@ def op7_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.messages_of(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_tool_calls(calls, results, toolcalls.SCHEMAS)
+
+
+ORACLE["op8_tool_call_linking"] = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role, text, length(coalesce(text, '')) AS n FROM conversations
+), calls AS (
+  SELECT conv_id, 'call_' || turn AS call_id, turn, text, n,
+    CASE WHEN n % 4 = 0 THEN 'lookup' WHEN n % 4 = 3 THEN 'convert' ELSE 'search' END AS name,
+    list_sort(list_filter([CASE WHEN n % 2 = 0 THEN 'call_' || (turn - 2) END,
+      CASE WHEN n % 5 = 0 THEN 'call_' || (turn + 2) END], lambda x: x IS NOT NULL)) AS depends_on
+  FROM turns WHERE role = 'user'
+), judged AS (
+  SELECT *,
+    CASE WHEN n % 11 = 0 THEN 'malformed' WHEN name = 'convert' THEN 'unknown_tool'
+         WHEN n % 7 = 0 THEN 'type:limit' WHEN n % 13 = 0 THEN 'missing:text' ELSE '' END AS errors,
+    CASE WHEN n % 11 = 0 THEN 'null'
+         WHEN n % 7 = 0 THEN '{"limit":"' || n || '","text":' || to_json(text) || '}'
+         WHEN n % 13 = 0 THEN '{"limit":' || n || '}'
+         WHEN n % 4 = 0 THEN '{"limit":' || n || ',"text":' || to_json(text) || '}'
+         ELSE '{"exact":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ',"limit":' || n
+           || ',"text":' || to_json(text) || '}' END AS arguments
+  FROM calls
+), results AS (
+  SELECT conv_id, 'call_' || (turn - 1) AS call_id, turn, text FROM turns WHERE role = 'assistant'
+), wanted AS (SELECT conv_id, call_id, unnest(depends_on) AS dep FROM calls
+), edges AS (SELECT w.* FROM wanted w SEMI JOIN calls c ON c.conv_id = w.conv_id AND c.call_id = w.dep
+), reach AS (
+  SELECT conv_id, call_id, dep FROM edges
+  UNION SELECT r.conv_id, r.call_id, e.dep FROM reach r JOIN edges e ON e.conv_id = r.conv_id AND e.call_id = r.dep
+), ready AS (
+  SELECT c.conv_id, c.call_id, greatest(c.turn, coalesce(max(d.turn), c.turn)) AS ready_turn
+  FROM calls c LEFT JOIN reach r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+  LEFT JOIN calls d ON d.conv_id = r.conv_id AND d.call_id = r.dep GROUP BY c.conv_id, c.call_id, c.turn
+), ties AS (
+  SELECT e.* FROM edges e JOIN ready a ON a.conv_id = e.conv_id AND a.call_id = e.call_id
+  JOIN ready b ON b.conv_id = e.conv_id AND b.call_id = e.dep WHERE a.ready_turn = b.ready_turn
+), tied AS (
+  SELECT * FROM ties
+  UNION SELECT r.conv_id, r.call_id, e.dep FROM tied r JOIN ties e ON e.conv_id = r.conv_id AND e.call_id = r.dep
+), stuck AS (
+  SELECT DISTINCT a.conv_id, a.call_id FROM tied a
+  JOIN tied b ON a.conv_id = b.conv_id AND (a.dep = b.call_id OR a.call_id = b.call_id) AND b.call_id = b.dep
+), depths AS (
+  SELECT conv_id, call_id, dep, 1 AS depth FROM ties ANTI JOIN stuck USING (conv_id, call_id)
+  UNION SELECT r.conv_id, r.call_id, e.dep, r.depth + 1
+  FROM depths r JOIN ties e ON e.conv_id = r.conv_id AND e.call_id = r.dep
+), levels AS (SELECT conv_id, call_id, max(depth) AS level FROM depths GROUP BY ALL
+), lost AS (SELECT DISTINCT w.conv_id, w.call_id FROM wanted w ANTI JOIN calls c ON c.conv_id = w.conv_id AND c.call_id = w.dep
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
+  coalesce(c.turn, r.turn) AS turn, c.name,
+  CASE WHEN c.call_id IS NULL THEN 'orphan_result' WHEN c.errors <> '' THEN 'invalid'
+    WHEN l.call_id IS NOT NULL THEN 'missing_dependency' WHEN s.call_id IS NOT NULL THEN 'cycle'
+    WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  coalesce(c.errors, '') AS errors, CAST(c.call_id IS NOT NULL AS BIGINT) AS n_calls,
+  CAST(r.call_id IS NOT NULL AS BIGINT) AS n_results, coalesce(y.ready_turn, r.turn) AS ready_turn,
+  CASE WHEN s.call_id IS NULL THEN coalesce(v.level, 0) END AS level,
+  '{"arguments":' || coalesce(c.arguments, 'null') || ',"call_id":"' || coalesce(c.call_id, r.call_id)
+    || '","depends_on":' || coalesce(CAST(to_json(c.depends_on) AS VARCHAR), '[]') || ',"name":'
+    || coalesce('"' || c.name || '"', 'null') || ',"result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null')
+    || '}' AS message
+FROM judged c FULL JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+LEFT JOIN ready y ON y.conv_id = c.conv_id AND y.call_id = c.call_id
+LEFT JOIN stuck s ON s.conv_id = c.conv_id AND s.call_id = c.call_id
+LEFT JOIN levels v ON v.conv_id = c.conv_id AND v.call_id = c.call_id
+LEFT JOIN lost l ON l.conv_id = c.conv_id AND l.call_id = c.call_id
+"""
+
+
 @query
 def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
