@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainguard.llm import bpe, decontam, neardup, outliers, pii, repeats, sharding, toolcalls, urls
+from grainguard.llm import bpe, decontam, neardup, outliers, pii, repeats, sharding, tokencoder, toolcalls, urls
+from grainguard.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -164,3 +165,14 @@ SELECT d.id AS doc_id, i.id AS item_id, max(i.q) AS item_shingles, count(*) AS s
 FROM shingles d JOIN items i ON d.s = i.s WHERE d.kind = 'd'
 GROUP BY d.id, i.id HAVING count(*) * 100 >= max(i.q) * 75
 """
+
+
+@query
+def op10_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    folder = new_folder(spark, "token-ids")
+    tokencoder.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, folder)
+    return tokencoder.digests(spark.read.parquet(folder))
