@@ -94,15 +94,15 @@ for _strict in (False, True):
     @bind(
         "exit_gate_strict" if _strict else "exit_gate",
         f"""
-    WITH f AS (SELECT query_id // 100 AS run_id, query_id,
-                      BOOL_OR(severity IN ({"'error', 'warning'" if _strict else "'error'"})) AS fails
-               FROM findings GROUP BY 1, 2)
+    WITH f AS (SELECT query_id // 100 AS run_id, query_id, query_id IN (SELECT query_id FROM findings
+                      WHERE severity IN ({"'error', 'warning'" if _strict else "'error'"})) AS fails
+               FROM query_log)
     SELECT run_id, COUNT(*) AS files, COUNT(*) FILTER (WHERE fails) AS failing_files,
            CAST(BOOL_OR(fails) AS INT) AS exit_code FROM f GROUP BY 1""",
     )
     def _(t, strict=_strict):
-        runs = t.findings.withColumn("run_id", F.expr("query_id div 100"))
-        return S.exit_gate(runs, ["run_id"], "query_id", strict)
+        files = t.query_log.withColumn("run_id", F.expr("query_id div 100"))
+        return S.exit_gate(files, t.findings, ["run_id"], "query_id", strict)
 
 
 @bind(

@@ -110,10 +110,10 @@ def _(t):
     WITH {COUNTS_SQL}, s AS (SELECT *, {SCORE_SQL} AS risk_score FROM q)
     SELECT query_id, errors, warnings, suggestions, errors + warnings + suggestions AS issues, risk_score,
            CASE WHEN risk_score < 50 THEN 'RISKY' WHEN risk_score < 85 THEN 'REVIEW' ELSE 'SAFE' END AS verdict
-    FROM s WHERE errors + warnings + suggestions > 0""",
+    FROM s""",
 )
 def _(t):
-    return H.file_summary(t.findings)
+    return H.file_summary(t.query_log, t.findings)
 
 
 def _joined_sql(severity):

@@ -10,7 +10,7 @@ from grainguard.bindings.registry import bind
 from grainguard.session import new_folder
 from grainguard.sources.tables import SCHEMAS, VIEWS
 from grainguard.streaming import files, jobs
-from grainguard.streaming.claims import stream_claims
+from grainguard.streaming.claims import outcomes_of, stream_claims
 
 
 def _stream(t, view, table):
@@ -19,27 +19,32 @@ def _stream(t, view, table):
     return t.spark.sql(VIEWS[view].replace(f"FROM {table}", "FROM {source}"), source=source)
 
 
+def _parts(t, view, table, purpose, reduce):
+    """The partial results of all micro-batches."""
+    out = new_folder(t.spark, purpose)
+    path = files.run_available(_stream(t, view, table), out, "append", lambda batch, _: reduce(batch))
+    return files.all_batches(t.spark, path)
+
+
 @bind(
     "stream_usage",
     "SELECT user_id, strftime(created_at, '%Y-%m') AS month, COUNT(*) AS runs FROM validations GROUP BY 1, 2",
 )
 def _(t):
-    days = jobs.stream_usage(_stream(t, "validations", "orders"))
-    path = files.run_available(days, new_folder(t.spark, "usage"), "update")
-    months = jobs.usage_by_month(files.latest_per_key(t.spark, path, ["user_id", "day"]))
+    months = jobs.usage_by_month(_parts(t, "validations", "orders", "usage", jobs.stream_usage))
     return months.withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
 @bind("stream_dedup", "SELECT DISTINCT delivery_key FROM deliveries")
 def _(t):
-    keys = jobs.stream_dedup(_stream(t, "deliveries", "events"), "delivery_key", "ts", "31 days")
-    return files.all_batches(t.spark, files.run_available(keys, new_folder(t.spark, "dedup"), "append"))
+    return jobs.keys_of(_parts(t, "deliveries", "events", "dedup", lambda b: jobs.stream_dedup(b, "delivery_key")))
 
 
 @bind("stream_claims", _claims("5 MINUTES"))
 def _(t):
-    claims = stream_claims(_stream(t, "deliveries", "events"), "delivery_key", "ts", "attempt", "completed")
-    return files.all_batches(t.spark, files.run_available(claims, new_folder(t.spark, "claims"), "append"))
+    source = _stream(t, "deliveries", "events")
+    path = stream_claims(source, new_folder(t.spark, "claims"), "delivery_key", "ts", "attempt", "completed")
+    return outcomes_of(t.spark, path, "delivery_key", "attempt")
 
 
 def _windows(width, slide):
@@ -56,9 +61,7 @@ def _windows(width, slide):
 
 
 def _digest(t, window, slide=None):
-    digest = jobs.stream_digest(_stream(t, "validations", "orders"), window, slide)
-    path = files.run_available(digest, new_folder(t.spark, "digest"), "update")
-    df = files.latest_per_key(t.spark, path, ["user_id", "window_start"])
+    df = jobs.digest_of(_parts(t, "validations", "orders", "digest", lambda b: jobs.stream_digest(b, window, slide)))
     return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
@@ -86,6 +89,4 @@ def _(t):
     WHERE errors + warnings + suggestions > 0""",
 )
 def _(t):
-    scores = jobs.stream_risk(_stream(t, "findings", "lineitem"))
-    path = files.run_available(scores, new_folder(t.spark, "risk"), "update")
-    return files.latest_per_key(t.spark, path, ["query_id"])
+    return jobs.risk_of(_parts(t, "findings", "lineitem", "risk", jobs.stream_risk))

@@ -42,12 +42,15 @@ class Sql:
 
     def raw(self, draw=0):
         s = salt(self.seed, self.place, draw)
-        a = f"((id % {MODULUS} * {STEP} + {s}) % {MODULUS})"
+        a = f"((id % {MODULUS} * {STEP} + id // {MODULUS} * {SECOND_STEP} + {s}) % {MODULUS})"
         return f"(({a} * ({a} + {SECOND_STEP}) + {s}) % {MODULUS})"
 
     def int(self, low, high, draw=0):
         return f"({self.raw(draw)} % {high - low + 1} + {low})"
 
+    def wide(self, draw=0):
+        return f"({self.raw(draw)} * {MODULUS} + {self.raw(draw + 1)})"
+
     def unit(self, draw=0):
         return f"((CAST({self.raw(draw)} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({MODULUS} AS DOUBLE))"
 
@@ -86,7 +89,7 @@ def _twin_sql(table):
         "points": c["points"].int(1, 100_000),
         "weight": two.format(f"(1 + {c['weight'].unit()} * 9999)"),
         "note": f"'note_' || {c['note'].int(1, 9999)}",
-        "customer_id": f"{c['customer_id'].raw()} % (SELECT COUNT(*) FROM customer) + 1",
+        "customer_id": f"{c['customer_id'].wide()} % (SELECT COUNT(*) FROM customer) + 1",
     }
     return ", ".join(["id", *[f"{v} AS {k}" for k, v in values.items()]])
 
@@ -102,7 +105,7 @@ def _(t):
     f"""
     WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer),
          i AS (SELECT o_orderkey + 1 AS id FROM orders),
-         d AS (SELECT id, {Sql('', 'owner').raw()} % (SELECT COUNT(*) FROM customer) + 1 AS rn FROM i)
+         d AS (SELECT id, {Sql('', 'owner').wide()} % (SELECT COUNT(*) FROM customer) + 1 AS rn FROM i)
     SELECT id, c_custkey AS owner FROM d JOIN p ON p.rn = d.rn""",
 )
 def _(t):
@@ -144,7 +147,7 @@ def _ids(t):
 
 
 def _fk_sql(table, source, key, seed):
-    draw = Sql(table, "customer_id", seed).raw()
+    draw = Sql(table, "customer_id", seed).wide()
     return f"""SELECT id, {draw} % (SELECT COUNT(*) FROM customer) + 1 AS customer_id FROM (SELECT {key} + 1 AS id FROM {source})"""
 
 

@@ -29,14 +29,22 @@ class Draws:
         self.place = place
 
     def raw(self, draw: int = 0) -> Column:
-        """Integer in [0, MODULUS): one linear and one quadratic mixing step, all products inside BIGINT."""
+        """Integer in [0, MODULUS): one linear and one quadratic mixing step, all products inside BIGINT.
+
+        Row ids beyond the modulus enter with their quotient as well, so they do not repeat the ids below.
+        """
         s = salt(self.seed, self.place, draw)
-        a = (self.row_id % MODULUS * STEP + s) % MODULUS
+        quotient = F.call_function("div", self.row_id, F.lit(MODULUS))
+        a = (self.row_id % MODULUS * STEP + quotient * SECOND_STEP + s) % MODULUS
         return (a * (a + SECOND_STEP) + s) % MODULUS
 
     def integer(self, low: int, high: int, draw: int = 0) -> Column:
         return self.raw(draw) % (high - low + 1) + low
 
+    def wide(self, low: int, high: int, draw: int = 0) -> Column:
+        """As integer(), from two draws: even over ranges of up to MODULUS squared numbers."""
+        return (self.raw(draw) * MODULUS + self.raw(draw + 1)) % (high - low + 1) + low
+
     def unit(self, draw: int = 0) -> Column:
         """Double strictly inside (0, 1)."""
         return (self.raw(draw) + F.lit(0.5)) / F.lit(float(MODULUS))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainguard.plans.sorted_chunks import CHUNK, sorted_chunks
+from grainguard.session import ship
 
 # Gates outside the range of any timestamp: no claim yet / completed for good.
 FREE = -(2**62)
@@ -74,6 +75,7 @@ def claim_events(
     stale_seconds: int = 300,
 ) -> DataFrame:
     """Outcome per attempt: processed, duplicate, in_flight or reclaimed. ``attempt`` is unique per key."""
+    ship(deliveries.sparkSession)
     stale = stale_seconds * 1_000_000
     rows = deliveries.select(
         F.col(key).alias("key"),

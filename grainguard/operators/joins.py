@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType
 
 from grainguard.plans.shapes import (
     as_list,
@@ -116,6 +117,21 @@ def fanout_children(
     ).select("*", F.lit(offending).alias("offending_child"))
 
 
+def weighted(measure: str, weight: str, type_: DataType) -> Column:
+    """Measure times count, in the measure's own scale: exact for decimals and integers, DOUBLE stays DOUBLE.
+
+    The product takes the widest decimal that keeps the scale and 18 digits of the weight.
+    """
+    if isinstance(type_, (DoubleType, FloatType)):
+        return F.col(measure).cast("double") * F.col(weight).cast("double")
+    scale = type_.scale if isinstance(type_, DecimalType) else 0
+    # Spark cuts the scale of wider products to six digits; scaled up to integers, none is lost.
+    shift = max(0, scale - 6)
+    whole = (F.col(measure).cast(f"decimal(38,{scale})") * F.lit(10**shift).cast("decimal(19,0)")).cast(f"decimal(38,{scale - shift})")
+    product = (whole.cast(f"decimal(28,{min(6, scale)})") * F.col(weight).cast("decimal(18,0)")).cast(f"decimal(38,{min(6, scale)})")
+    return product if not shift else (product / F.lit(10**shift).cast("decimal(19,0)")).cast(f"decimal(38,{scale})")
+
+
 def inflated_measure(
     fact: DataFrame,
     key: Keys,
@@ -152,7 +168,7 @@ def inflated_measure(
         .withColumn("w", weight)
         .groupBy(*by)
         .agg(
-            F.sum(F.col("m").cast("decimal(28,2)") * F.col("w").cast("decimal(18,0)")).alias("naive_sum"),
+            F.sum(weighted("m", "w", per_key.schema["m"].dataType)).alias("naive_sum"),
             F.sum("m").alias("true_sum"),
             F.sum(times("n", "w")).alias("naive_n"),
             F.sum("n").alias("true_n"),
@@ -231,14 +247,14 @@ def grain_mismatch(base: DataFrame, base_key: Keys, other: DataFrame, other_key:
         .agg(F.count(F.lit(1)).alias("rows"), F.sum(measure).alias("m"), F.count(measure).alias("n"))
         .join(key_counts(other, other_key, "w"), names, "left")
     )
-    weighted = F.col("m").cast("decimal(28,2)") * F.col("w").cast("decimal(18,0)")
+    joined = weighted("m", "w", per_key.schema["m"].dataType)
     return per_key.agg(
         total("rows").alias("base_count"),
         F.sum("m").alias("base_sum"),
         ratio(F.sum("m"), F.sum("n")).alias("base_avg"),
         total(times("rows", "w")).alias("joined_count"),
-        F.sum(weighted).alias("joined_sum"),
-        ratio(F.sum(weighted), F.sum(times("n", "w"))).alias("joined_avg"),
+        F.sum(joined).alias("joined_sum"),
+        ratio(F.sum(joined), F.sum(times("n", "w"))).alias("joined_avg"),
     )
 
 

@@ -208,13 +208,26 @@ def snapshot_loss(before: DataFrame, after: DataFrame | None, keys: Sequence[str
 
 # From this many rows a table counts as large; names of event-like tables.
 LARGE_TABLE_ROWS = 1_000_000
+WIDTHS = {
+    "boolean": 1, "byte": 1, "short": 2, "integer": 4, "date": 4, "float": 4, "long": 8, "double": 8, "timestamp": 8,
+    "timestamp_ntz": 8,
+}
 EVENT_TABLES = ("transactions", "events", "logs", "audit", "pageviews", "clicks")
 
 
+def _bytes(df: DataFrame, column: str) -> Column:
+    width = WIDTHS.get(df.schema[column].dataType.typeName())
+    value = F.col(column)
+    return F.octet_length(value.cast("string")).cast("bigint") if width is None else F.when(value.isNotNull(), F.lit(width).cast("bigint"))
+
+
 def column_footprint(df: DataFrame, used: Sequence[str], table_name: str = "") -> DataFrame:
-    """Bytes of text per column, its share, its rank, and what SELECT * reads beyond the ``used`` columns."""
+    """Bytes per column, its share, its rank, and what SELECT * reads beyond the ``used`` columns.
+
+    Text counts by its bytes, numbers and times by the width of their type, NULL not at all.
+    """
     names = df.columns
-    size = [F.octet_length(F.col(c).cast("string")).cast("bigint") for c in names]
+    size = [_bytes(df, c) for c in names]
     sums = df.agg(
         F.count(F.lit(1)).alias("n"), *[total(s).alias(f"b_{i}") for i, s in enumerate(size)]
     )

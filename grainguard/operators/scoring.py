@@ -64,10 +64,11 @@ def verdict(df: DataFrame, kind: str = "command_line", column: str = "risk_score
     return df.withColumn("verdict", label)
 
 
-def exit_gate(findings: DataFrame, run: Sequence[str], file: str, strict: bool = False) -> DataFrame:
-    """Per run: does it fail, and how many of its files do. Strict runs fail on warnings too."""
+def exit_gate(files: DataFrame, findings: DataFrame, run: Sequence[str], file: str, strict: bool = False) -> DataFrame:
+    """Per run: does it fail, and how many of its files do. Strict runs fail on warnings too; clean runs are listed."""
     fails = F.col("severity").isin("error", "warning") if strict else is_severity("error")
-    per_file = findings.groupBy(*run, file).agg(F.bool_or(fails).alias("fails"))
+    failing = findings.where(fails).select(file).distinct().withColumn("fails", F.lit(True))
+    per_file = files.select(*run, file).distinct().join(failing, file, "left")
     return (
         per_file.groupBy(*run)
         .agg(F.count(F.lit(1)).alias("files"), F.count_if("fails").alias("failing_files"))

@@ -95,6 +95,7 @@ def _of(words: Sequence[str]) -> Callable[[Draws], Column]:
 # A column called name, full_name or ..._name: what kind of name it holds.
 _A_NAME = r"^name$|full_?name|_name$"
 # Name rules in order of precedence: pattern, value, and whether the column must be a number.
+# What a column's name says about its content, first match first.
 NAME_RULES: tuple[tuple[str, Callable[[Draws], Column], bool], ...] = (
     (r"email", _email, False),
     (r"country.*(code|iso)|(code|iso).*country", _of(P.COUNTRY_CODES), False),
@@ -150,7 +151,7 @@ def value_of(table: str, spec: ColumnSpec, row_id: Column, seed: int, parents: M
     d = Draws(row_id, seed, f"{table}.{spec.name}")
     type_, name = spec.type.lower(), spec.name.lower()
     if spec.is_fk and spec.fk_table in parents:
-        return d.integer(1, parents[spec.fk_table])
+        return d.wide(1, parents[spec.fk_table])
     if spec.allowed:
         first, rest = spec.allowed[0], spec.allowed[1:]
         return F.when(d.unit() < 0.5, first).otherwise(d.pick(rest, 1)) if rest else F.lit(first)
@@ -181,7 +182,7 @@ def synth_fk(child_ids: DataFrame, parent: DataFrame, pk: str, column: str, seed
     """
     keys = exact_ranks(parent.select(pk).distinct(), [], pk, pk, kinds=["row_number"])
     n = parent.select(F.count_distinct(pk)).scalar()
-    drawn = child_ids.select("id", (Draws(F.col("id"), seed, column).raw() % n + 1).alias("row_number"))
+    drawn = child_ids.select("id", Draws(F.col("id"), seed, column).wide(1, n).alias("row_number"))
     return drawn.join(keys, "row_number").select("id", F.col(pk).alias(column))
 
 

@@ -22,6 +22,7 @@ CHUNK = "_chunk"
 # More rows than this in one key, and the key is spread over chunks. One window
 # task sorts so many rows with a few spills. Sessions may set their own limit.
 HOT_KEY_ROWS = 5_000_000
+CHUNK_ROWS = 5_000_000
 HOT_KEY_SETTING = "spark.grainguard.hotKeyRows"
 
 
@@ -45,8 +46,10 @@ def sorted_chunks(
     the summary have to see the same chunk numbers.
     """
     cols = [*keys, *order]
-    # A stated number is kept by adaptive execution, so small rows with much work still use all cores.
-    chunks = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    # As many as the rows ask for. A stated number is kept by adaptive execution, so small rows with much work
+    # still use all cores.
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = df.repartitionByRange(max(least, -(-df.count() // CHUNK_ROWS)), *cols)
     if sort_inside:
         chunks = chunks.sortWithinPartitions(*cols)
     return cut(chunks.withColumn(CHUNK, F.spark_partition_id()))
@@ -176,13 +179,13 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     )
     chunks = rows.groupBy(*keys, CHUNK).agg(F.lit(1).alias("_one"))
     carried = (
-        chunks.join(ends, [*keys, CHUNK], "left")
+        chunks.join(_null_safe(ends, keys), _on(chunks, keys)[0], "left")
         .select(*keys, CHUNK, F.last("_end", ignorenulls=True).over(earlier_chunks(keys)).alias("_carried"))
         .where(F.col("_carried").isNotNull())
     )
     return (
         rows.withColumn("_local", F.last(value, ignorenulls=True).over(local))
-        .join(carried, [*keys, CHUNK], "left")
+        .join(_null_safe(carried, keys), _on(rows, keys)[0], "left")
         .withColumn(name, F.coalesce("_local", "_carried"))
         .select(*df.columns, name)
     )
@@ -204,7 +207,7 @@ def next_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     ).where(F.col("_following").isNotNull())
     return (
         rows.withColumn("_local", F.lead(F.struct(value)).over(local))
-        .join(following, [*keys, CHUNK], "left")
+        .join(_null_safe(following, keys), _on(rows, keys)[0], "left")
         .withColumn(name, F.coalesce("_local", "_following")[value])
         .select(*df.columns, name)
     )

@@ -63,14 +63,14 @@ def validation_rows(queries: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def file_summary(findings: DataFrame) -> DataFrame:
-    """One line per checked file: counts, score, verdict, number of issues."""
-    per_file = (
-        findings.groupBy("query_id")
-        .agg(*severity_counts(), F.count(F.lit(1)).alias("issues"))
-        .select("query_id", "errors", "warnings", "suggestions", "issues", score().alias("risk_score"))
+def file_summary(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """One line per checked file, clean ones too: counts, score, verdict, number of issues."""
+    counted = findings.groupBy("query_id").agg(*severity_counts(), F.count(F.lit(1)).alias("issues"))
+    counts = [c for c in counted.columns if c != "query_id"]
+    per_file = files.select("query_id").distinct().join(counted, "query_id", "left").fillna(0, counts)
+    return verdict(
+        per_file.select("query_id", "errors", "warnings", "suggestions", "issues", score().alias("risk_score")), "command_line"
     )
-    return verdict(per_file, "command_line")
 
 
 def report_nest(findings: DataFrame, page_size: int = 1000) -> DataFrame:

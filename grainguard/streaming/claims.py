@@ -1,78 +1,46 @@
-"""Event claims on a stream: the one job that needs state of its own shape."""
+"""Event claims on a stream, exact in whatever order the attempts arrive."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from grainguard.operators.claims import FREE, fold
-
-
-class ClaimProcessor(StatefulProcessor):
-    """Keeps one number per delivery key, the gate; a timer forgets keys that have been quiet for long."""
-
-    def __init__(self, stale: int, forget_after_ms: int, key: str, attempt: str):
-        self.stale = stale
-        self.forget_after_ms = forget_after_ms
-        self.key = key
-        self.attempt = attempt
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.gate = handle.getValueState("gate", "gate bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # One key's rows of one micro-batch; the trigger limit bounds them.
-        batch = pd.concat(list(rows)).sort_values(["t", "attempt"])
-        gate = self.gate.get()[0] if self.gate.exists() else FREE
-        found, gate = fold(*(batch[c].tolist() for c in ("t", "completed", "failed")), gate, self.stale)
-        self.gate.update((gate,))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(int(batch["t"].max()) // 1000 + self.forget_after_ms)
-        yield pd.DataFrame({self.key: key[0], self.attempt: batch["attempt"].to_numpy(), "outcome": found})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.gate.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+from grainguard.operators.claims import claim_events
+from grainguard.streaming import files
 
 
 def stream_claims(
     deliveries: DataFrame,
+    out: str,
     key: str,
     ts: str,
     attempt: str,
     completed: str,
     failed: str | None = None,
     stale_seconds: int = 300,
-    delay: str = "1 day",
-    forget_after_days: int = 30,
-) -> DataFrame:
-    """Outcome per attempt as in claim_events (append mode).
+) -> str:
+    """Run the stream over all there is; the path of its outcomes, for ``outcomes_of``.
 
-    Attempts that arrive later than the watermark are left out. A key's gate is
-    forgotten ``forget_after_days`` after its last attempt.
+    An attempt's outcome depends on all earlier attempts of its key, and a late one may change those after it. So
+    attempts are kept, by micro-batch, and each batch labels the whole history of the keys it touches anew, as
+    claim_events does. Nothing is dropped for being late and no key is forgotten. A repeated batch overwrites its
+    own attempts and outcomes.
     """
-    rows = deliveries.select(
-        F.col(key).alias("key"),
-        F.col(ts).cast("timestamp").alias("event_time"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
-        F.col(attempt).alias("attempt"),
-        F.col(completed).alias("completed"),
-        (F.col(failed) if failed else F.lit(False)).alias("failed"),
-    ).withWatermark("event_time", delay)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    processor = ClaimProcessor(stale_seconds * 1_000_000, forget_after_days * 86_400_000, key, attempt)
-    return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=processor,
-        outputStructType=f"`{key}` {types['key']}, `{attempt}` {types['attempt']}, outcome string",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    columns = [c for c in (key, ts, attempt, completed, failed) if c]
+
+    def label(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        own = f"{out}/attempts/{files.BATCH}={batch_id}"
+        batch.select(*columns).write.mode("overwrite").parquet(own)
+        written = spark.read.option("basePath", f"{out}/attempts").parquet(f"{out}/attempts")
+        known = written.where(F.col(files.BATCH) <= batch_id).drop(files.BATCH)
+        touched = spark.read.parquet(own).select(F.col(key).alias("__key")).distinct()
+        history = known.join(touched, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+        return claim_events(history, key, ts, attempt, completed, failed, stale_seconds)
+
+    return files.run_available(deliveries, out, "append", label)
+
+
+def outcomes_of(spark, path: str, key: str, attempt: str) -> DataFrame:
+    """The last outcome of each attempt."""
+    return files.latest_per_key(spark, path, [key, attempt])

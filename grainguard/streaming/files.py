@@ -29,8 +29,10 @@ def read_files(
     return reader.parquet(folder)
 
 
-def run_available(df: DataFrame, out: str, mode: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> str:
-    """Run a stream over all data there is and write each micro-batch to ``out``.
+def run_available(
+    df: DataFrame, out: str, mode: str, prepare: Callable[[DataFrame, int], DataFrame] = lambda batch, batch_id: batch
+) -> str:
+    """Run a stream over all data there is and write what ``prepare`` makes of each micro-batch to ``out``.
 
     A batch goes to its own folder and overwrites it, so a batch repeated after
     a failure leaves no second copy. State lives in RocksDB, outside the heap.
@@ -39,7 +41,7 @@ def run_available(df: DataFrame, out: str, mode: str, prepare: Callable[[DataFra
     spark = df.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{out}/data/{BATCH}={batch_id}")
+        prepare(batch, batch_id).write.mode("overwrite").parquet(f"{out}/data/{BATCH}={batch_id}")
 
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, ROCKSDB)

@@ -1,7 +1,8 @@
 """Running usage, de-duplication, digests, alerts and scores.
 
-Event-time columns are TIMESTAMP; parquet files without time zone have to be
-cast first, because watermarks refuse TIMESTAMP_NTZ.
+What these jobs keep can be added up, so they hold no state: each micro-batch is reduced to its own partial result
+(``stream_*``), written under the batch's number, and the parts are folded when they are read (``*_of``). Rows
+may come in any order and as late as they like; none is dropped, and memory is that of one micro-batch.
 """
 
 from __future__ import annotations
@@ -19,58 +20,45 @@ def event_time(column: str) -> Column:
     return F.col(column).cast("timestamp")
 
 
-def stream_usage(runs: DataFrame, ts: str = "created_at", delay: str = "7 days") -> DataFrame:
-    """Running count per user and day (update mode).
+def stream_usage(batch: DataFrame, ts: str = "created_at") -> DataFrame:
+    """Runs per user and day of one micro-batch."""
+    day = F.to_date(event_time(ts)).alias("day")
+    return batch.groupBy("user_id", day).agg(F.count(F.lit(1)).alias("runs"))
 
-    A calendar month is no fixed window, so grouping by it would keep state for
-    ever. Days are: a day's state leaves the store once the watermark passes it.
-    usage_by_month() folds the days.
-    """
-    return (
-        runs.withColumn(ts, event_time(ts))
-        .withWatermark(ts, delay)
-        .groupBy("user_id", F.window(ts, "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("runs"))
-        .select("user_id", F.col("w.start").alias("day"), "runs")
-    )
 
+def usage_by_month(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("user_id", F.trunc("day", "month").alias("month")).agg(F.sum("runs").alias("runs"))
 
-def usage_by_month(days: DataFrame) -> DataFrame:
-    return days.groupBy("user_id", F.trunc(F.col("day").cast("date"), "month").alias("month")).agg(
-        F.sum("runs").alias("runs")
-    )
 
+def stream_dedup(batch: DataFrame, key: str) -> DataFrame:
+    """The delivery keys of one micro-batch, each once."""
+    return batch.select(key).distinct()
 
-def stream_dedup(deliveries: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """Each delivery key once (append mode); a repeat within ``delay`` is dropped, then the key's state is.
 
-    Which repeat survives is not defined, so only the key is returned.
-    """
-    return (
-        deliveries.select(key, event_time(ts).alias(ts))
-        .withWatermark(ts, delay)
-        .dropDuplicatesWithinWatermark([key])
-        .select(key)
-    )
+def keys_of(parts: DataFrame) -> DataFrame:
+    """Each key once, however many batches it came in."""
+    return parts.distinct()
 
 
-def stream_digest(
-    runs: DataFrame, window: str = "7 days", slide: str | None = None, ts: str = "created_at", delay: str = "1 day"
-) -> DataFrame:
-    """Runs, runs with errors and mean score per user and window, tumbling or sliding (update mode)."""
+def stream_digest(batch: DataFrame, window: str = "7 days", slide: str | None = None, ts: str = "created_at") -> DataFrame:
+    """Runs, runs with errors and score total per user and window of one micro-batch, tumbling or sliding."""
     return (
-        runs.withColumn(ts, event_time(ts))
-        .withWatermark(ts, delay)
+        batch.withColumn(ts, event_time(ts))
         .groupBy("user_id", F.window(ts, window, slide or window).alias("w"))
         .agg(
             F.count(F.lit(1)).alias("runs"),
             F.count_if(F.col("error_count") > 0).alias("with_errors"),
-            total(F.col("risk_score").cast("bigint")).alias("_s"),
-        )
-        .select(
-            "user_id", F.col("w.start").alias("window_start"), "runs", "with_errors",
-            rounded_mean(F.col("_s"), F.col("runs")).alias("avg_score"),
+            total(F.col("risk_score").cast("bigint")).alias("scores"),
         )
+        .select("user_id", F.col("w.start").alias("window_start"), "runs", "with_errors", "scores")
+    )
+
+
+def digest_of(parts: DataFrame) -> DataFrame:
+    """Runs, runs with errors and mean score per user and window."""
+    sums = parts.groupBy("user_id", "window_start").agg(*(F.sum(c).alias(c) for c in ("runs", "with_errors", "scores")))
+    return sums.select(
+        "user_id", "window_start", "runs", "with_errors", rounded_mean(F.col("scores"), F.col("runs")).alias("avg_score")
     )
 
 
@@ -79,17 +67,13 @@ def stream_alerts(reports: DataFrame, configs: DataFrame, owner: str) -> DataFra
     return route_alerts(reports, configs, owner)
 
 
-def stream_risk(findings: DataFrame, query_ts: str | None = None, delay: str = "2 days") -> DataFrame:
-    """Score per query as findings arrive (update mode); it can only fall, and the last value is the batch value.
+def stream_risk(batch: DataFrame) -> DataFrame:
+    """Findings per query and severity of one micro-batch."""
+    return batch.groupBy("query_id").agg(*severity_counts())
 
-    With ``query_ts``, the time of the query and so equal on all its findings,
-    the state of old queries leaves the store.
-    """
-    if query_ts is None:
-        grouped = findings.groupBy("query_id")
-    else:
-        timed = findings.withColumn(query_ts, event_time(query_ts)).withWatermark(query_ts, delay)
-        grouped = timed.groupBy("query_id", F.window(query_ts, "1 day"))
-    return grouped.agg(*severity_counts()).select(
-        "query_id", "errors", "warnings", "suggestions", score().alias("risk_score")
-    )
+
+def risk_of(parts: DataFrame) -> DataFrame:
+    """Score per query; it can only fall as findings arrive, and ends at the batch value."""
+    counts = [c for c in parts.columns if c != "query_id"]
+    sums = parts.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in counts))
+    return sums.select("query_id", "errors", "warnings", "suggestions", score().alias("risk_score"))
