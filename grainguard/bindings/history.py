@@ -166,6 +166,73 @@ def _(t):
     return H.score_distribution(t.validations)
 
 
+@bind(
+    "overview_by_team",
+    """
+    SELECT team_id, COUNT(*) AS total, COUNT(*) FILTER (WHERE error_count > 0) AS errors_caught,
+           COUNT(*) FILTER (WHERE warning_count > 0) AS warnings_caught,
+           COUNT(*) FILTER (WHERE error_count = 0 AND warning_count = 0) AS clean_queries FROM validations GROUP BY 1""",
+)
+def _(t):
+    return H.overview(t.validations, ["team_id"])
+
+
+@bind(
+    "source_stats_by_team",
+    """
+    WITH s AS (SELECT team_id, COALESCE(source, 'unknown') AS source, COUNT(*) AS n,
+                      COUNT(*) FILTER (WHERE error_count > 0) AS e,
+                      COUNT(*) FILTER (WHERE error_count = 0 AND warning_count > 0) AS w FROM validations GROUP BY 1, 2)
+    SELECT team_id, source,
+           CASE source WHEN 'manual' THEN 'Hand-written' WHEN 'cursor' THEN 'Cursor' WHEN 'copilot' THEN 'Copilot'
+                       WHEN 'chatgpt' THEN 'ChatGPT' WHEN 'unknown' THEN 'Unknown' ELSE source END AS label,
+           n AS validations, e AS errors, w AS warnings, CAST(FLOOR((n - e - w) / n * 100 + 0.5) AS BIGINT) AS pass_rate,
+           CASE source WHEN 'manual' THEN 0 WHEN 'cursor' THEN 1 WHEN 'copilot' THEN 2 WHEN 'chatgpt' THEN 3
+                       WHEN 'unknown' THEN 4 ELSE 99 END AS place FROM s""",
+)
+def _(t):
+    return H.source_stats(t.validations, by=["team_id"])
+
+
+@bind(
+    "top_issue_types_by_team",
+    """
+    WITH r AS (SELECT team_id, COUNT(*) AS runs FROM validations GROUP BY 1),
+         c AS (SELECT team_id, issue_id, COUNT(*) AS n FROM findings JOIN validations ON id = query_id
+               WHERE severity IN ('error', 'warning') GROUP BY 1, 2
+               QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY COUNT(*) DESC, issue_id) <= 10)
+    SELECT c.team_id, issue_id AS issue_type, n AS count, CAST(FLOOR(n / runs * 100 + 0.5) AS BIGINT) AS pct
+    FROM c JOIN r ON r.team_id = c.team_id""",
+)
+def _(t):
+    return H.top_issue_types(t.findings, t.validations, 10, ["team_id"])
+
+
+@bind(
+    "score_distribution_by_team",
+    """
+    SELECT team_id, COUNT(*) FILTER (WHERE risk_score <= 40) AS risky,
+           COUNT(*) FILTER (WHERE risk_score BETWEEN 41 AND 69) AS review,
+           COUNT(*) FILTER (WHERE risk_score BETWEEN 70 AND 84) AS caution,
+           COUNT(*) FILTER (WHERE risk_score >= 85) AS safe FROM validations GROUP BY 1""",
+)
+def _(t):
+    return H.score_distribution(t.validations, ["team_id"])
+
+
+@bind(
+    "risky_log_by_team",
+    """
+    WITH r AS (SELECT * FROM validations WHERE risk_score < 70
+               QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY created_at DESC, id) <= 20)
+    SELECT team_id, id, user_id, risk_score, created_at,
+           COALESCE((SELECT issue_id FROM findings WHERE query_id = id AND severity IN ('error', 'warning')
+                     ORDER BY severity, seq, issue_id LIMIT 1), '—') AS top_issue FROM r""",
+)
+def _(t):
+    return H.risky_log(t.validations, t.findings, 20, by=["team_id"])
+
+
 _BOARD = """
     SELECT {cols}, COUNT(*) AS validations,
            CAST(FLOOR(COUNT(*) FILTER (WHERE error_count = 0 AND warning_count = 0) / COUNT(*) * 100 + 0.5) AS BIGINT) AS pass_rate,

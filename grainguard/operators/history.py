@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ def _reported(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("severity").isin("error", "warning"))
 
 
-def overview(df: DataFrame) -> DataFrame:
-    return df.agg(
+def overview(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Runs, and runs with errors, with warnings and clean; for everyone, or per owner or team in ``by``."""
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(_has_error()).alias("errors_caught"),
         F.count_if(F.col("warning_count") > 0).alias("warnings_caught"),
@@ -46,7 +48,7 @@ SOURCE_LABELS = {
 }
 
 
-def source_stats(df: DataFrame, report_source: str | None = None) -> DataFrame:
+def source_stats(df: DataFrame, report_source: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Runs per source: known sources first in display order, others by volume."""
     fallback = [F.col(report_source)] if report_source else []
     place = F.lit(99)
@@ -55,13 +57,14 @@ def source_stats(df: DataFrame, report_source: str | None = None) -> DataFrame:
         place = F.when(F.col("source") == name, i).otherwise(place)
         label = F.when(F.col("source") == name, text).otherwise(label)
     return (
-        df.groupBy(F.coalesce(F.col("source"), *fallback, F.lit("unknown")).alias("source"))
+        df.groupBy(*by, F.coalesce(F.col("source"), *fallback, F.lit("unknown")).alias("source"))
         .agg(
             F.count(F.lit(1)).alias("validations"),
             F.count_if(_has_error()).alias("errors"),
             F.count_if(~_has_error() & (F.col("warning_count") > 0)).alias("warnings"),
         )
         .select(
+            *by,
             "source",
             label.alias("label"),
             "validations",
@@ -70,12 +73,24 @@ def source_stats(df: DataFrame, report_source: str | None = None) -> DataFrame:
             percent(F.col("validations") - F.col("errors") - F.col("warnings"), F.col("validations")).alias("pass_rate"),
             place.alias("place"),
         )
-        .orderBy("place", F.desc("validations"), "source")
+        .orderBy(*by, "place", F.desc("validations"), "source")
     )
 
 
-def top_issue_types(findings: DataFrame, runs: DataFrame, n: int = 5) -> DataFrame:
-    """Most frequent issues among errors and warnings, as counts and percent of runs."""
+def top_issue_types(findings: DataFrame, runs: DataFrame, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """Most frequent issues among errors and warnings, as counts and percent of runs.
+
+    With ``by``, columns of ``runs``, the first n of each owner or team; findings meet their run by id.
+    """
+    if by:
+        owned = _reported(findings).join(runs.select(F.col("id").alias("query_id"), *by), "query_id")
+        counts = owned.groupBy(*by, F.col("issue_id").alias("issue_type")).agg(F.count(F.lit(1)).alias("count"))
+        # One row per owner and issue id: the window is small.
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "issue_type"))
+        wholes = runs.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_runs"))
+        mine = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+        top = counts.withColumn("_place", place).where(F.col("_place") <= n).join(wholes, mine)
+        return top.select(*by, "issue_type", "count", percent(F.col("count"), F.col("_runs")).alias("pct"))
     whole = F.greatest(runs.select(F.count(F.lit(1))).scalar(), F.lit(1))
     return (
         _reported(findings)
@@ -87,10 +102,10 @@ def top_issue_types(findings: DataFrame, runs: DataFrame, n: int = 5) -> DataFra
     )
 
 
-def score_distribution(df: DataFrame) -> DataFrame:
-    """Runs per band: up to 40, 69, 84, and above."""
+def score_distribution(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Runs per band: up to 40, 69, 84, and above; for everyone, or per owner or team in ``by``."""
     s = F.col("risk_score")
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count_if(s <= 40).alias("risky"),
         F.count_if((s > 40) & (s <= 69)).alias("review"),
         F.count_if((s > 69) & (s <= 84)).alias("caution"),
@@ -162,29 +177,37 @@ def team_overview(df: DataFrame, findings: DataFrame, team: str = "team_id", mem
     )
 
 
-def risky_log(df: DataFrame, findings: DataFrame, n: int = 20, below: int = 70) -> DataFrame:
+def risky_log(df: DataFrame, findings: DataFrame, n: int = 20, below: int = 70, by: Sequence[str] = ()) -> DataFrame:
     """Newest runs under a score, with their first error or else first warning.
 
-    The n runs are picked first, so the findings are only semi-filtered by n ids.
+    The runs are picked first, so the findings are only semi-filtered by their ids. With ``by``, the newest n of
+    each owner or team: the limit of a rank is applied in every task before rows move, so a large team costs no more.
     """
-    runs = df.where(F.col("risk_score") < below).orderBy(F.desc("created_at"), "id").limit(n)
+    low = df.where(F.col("risk_score") < below)
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("created_at"), "id"))
+        runs = low.withColumn("_place", place).where(F.col("_place") <= n)
+        ids = runs.select(F.col("id").alias("query_id"))
+    else:
+        runs = low.orderBy(F.desc("created_at"), "id").limit(n)
+        ids = F.broadcast(runs.select(F.col("id").alias("query_id")))  # n rows at most
     rank = F.when(F.col("severity") == "error", 0).otherwise(1)
     first = (
         _reported(findings)
-        .join(F.broadcast(runs.select(F.col("id").alias("query_id"))), "query_id", "left_semi")  # n rows at most
+        .join(ids, "query_id", "left_semi")
         .groupBy("query_id")
         .agg(F.min_by("issue_id", F.struct(rank, "seq", "issue_id")).alias("top_issue"))
     )
     return runs.join(first, F.col("id") == F.col("query_id"), "left").select(
-        "id", "user_id", "risk_score", "created_at", F.coalesce("top_issue", F.lit("—")).alias("top_issue")
+        *by, "id", "user_id", "risk_score", "created_at", F.coalesce("top_issue", F.lit("—")).alias("top_issue")
     )
 
 
 def period_digest(df: DataFrame, findings: DataFrame, as_of: str, days: int = 7, top: int = 3) -> DataFrame:
     """Per user: this period against the one before, and the most frequent issues of this period.
 
-    One pass for all users; the reference point is ``as_of``. Both inputs are cut
-    to the two periods before anything is shuffled.
+    One pass for all users; the reference point is ``as_of``. Runs are cut to the two periods where they are read,
+    and findings meet the runs of this period before they are counted.
     """
     start, before = days_before(naive(as_of), days), days_before(naive(as_of), 2 * days)
     at = F.col("created_at")
@@ -201,11 +224,9 @@ def period_digest(df: DataFrame, findings: DataFrame, as_of: str, days: int = 7,
     # Counts per (user, issue) are at most one row per issue id and user, so the window stays small.
     counts = (
         _reported(findings)
-        .groupBy("query_id", "issue_id")
-        .agg(F.count(F.lit(1)).alias("n"))
         .join(both.where(now).select(F.col("id").alias("query_id"), "user_id"), "query_id")
         .groupBy("user_id", "issue_id")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "issue_id"))
     tops = (
@@ -233,7 +254,8 @@ def certification(
     recent = df.where(
         (F.col("created_at") >= days_before(naive(as_of), days)) & (F.col("created_at") <= naive(as_of))
     )
-    bad = findings.where((F.col("severity") == "error") & F.col("issue_id").isin(*DESTRUCTIVE)).select("query_id").distinct()
+    destructive = findings.where((F.col("severity") == "error") & F.col("issue_id").isin(*DESTRUCTIVE)).select("query_id")
+    bad = destructive.join(recent.select(F.col("id").alias("query_id")), "query_id", "left_semi").distinct()
     flagged = recent.join(bad.withColumn("_bad", F.lit(1)), F.col("id") == F.col("query_id"), "left")
     n = F.col("validations")
     return (
