@@ -364,3 +364,35 @@ def _(t):
 )
 def _(t):
     return J.semi_join(t.customer.select("c_custkey", "c_name"), "c_custkey", t.events, "user_id")
+
+
+def _chain(t):
+    return [(t.orders, "o_custkey", "o_orderkey"), (t.lineitem, "l_orderkey", None)]
+
+
+@bind(
+    "fanout_proof_chain",
+    """
+    SELECT COUNT(*) AS joined_rows, COUNT(DISTINCT c_custkey) AS grain_rows,
+           ROUND(COUNT(*) / greatest(1, COUNT(DISTINCT c_custkey)), 6) AS factor
+    FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey""",
+)
+def _(t):
+    return _round(J.fanout_proof_chain(t.customer, "c_custkey", _chain(t)), "factor")
+
+
+@bind(
+    "inflated_measure_chain",
+    """
+    WITH c AS (SELECT *, CAST(c_acctbal AS DECIMAL(18,2)) AS m FROM customer),
+         naive AS (SELECT c_mktsegment, SUM(m) AS s FROM c JOIN orders ON o_custkey = c_custkey
+                   JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+         good AS (SELECT c_mktsegment, SUM(m) AS s FROM c WHERE EXISTS
+                  (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) GROUP BY 1)
+    SELECT naive.c_mktsegment, CAST(naive.s AS DOUBLE) AS naive_sum, CAST(good.s AS DOUBLE) AS true_sum,
+           ROUND(CAST(naive.s AS DOUBLE) / CAST(good.s AS DOUBLE), 6) AS factor, naive.s <> good.s AS is_error
+    FROM naive JOIN good ON naive.c_mktsegment = good.c_mktsegment""",
+)
+def _(t):
+    df = J.inflated_measure_chain(_money(t.customer, "c_acctbal"), "c_custkey", "c_acctbal", _chain(t), ["c_mktsegment"])
+    return _round(_dbl(df, "naive_sum", "true_sum"), "factor")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType
 
 from grainguard.plans.shapes import (
+    WIDE,
     as_list,
     key_counts,
     key_names,
@@ -117,6 +118,53 @@ def fanout_children(
     ).select("*", F.lit(offending).alias("offending_child"))
 
 
+# One link of a chain of joins: a table, its key to the table above, and its own key for the one below.
+Link = tuple[DataFrame, Keys, Keys | None]
+
+
+def chained_counts(chain: Sequence[Link]) -> DataFrame:
+    """(k0, ..., n): joined rows below each key of the top table, folded from the last link up.
+
+    One aggregate per link, so the exploded join is never built and a hot key is one row after each fold. Rows
+    without a partner below count nothing, as an inner join drops them.
+    """
+    below = None
+    for df, up, down in reversed(chain):
+        ups = as_list(up)
+        if below is None:
+            below = key_counts(df, ups, "n")
+            continue
+        downs = as_list(down)
+        names = key_names(ups)
+        rows = df.select(*[F.col(c).alias(f"u{i}") for i, c in enumerate(ups)], *[F.col(c).alias(f"k{i}") for i, c in enumerate(downs)])
+        met = rows.join(below, key_names(downs)).where(not_null([f"u{i}" for i in range(len(ups))]))
+        below = met.groupBy(*[F.col(f"u{i}").alias(n) for i, n in enumerate(names)]).agg(F.sum(F.col("n").cast(WIDE)).cast(WIDE).alias("n"))
+    return below
+
+
+def fanout_proof_chain(fact: DataFrame, key: Keys, chain: Sequence[Link]) -> DataFrame:
+    """joined_rows, grain_rows and factor of a fact joined down a chain of tables; ``key`` is the fact's unique key."""
+    names = key_names(as_list(key))
+    per_key = keyed(fact, as_list(key)).join(chained_counts(chain), names)
+    return per_key.agg(total("n").cast("bigint").alias("joined_rows"), F.count(F.lit(1)).alias("grain_rows")).select(
+        "joined_rows", "grain_rows", ratio("joined_rows", F.greatest(F.col("grain_rows"), F.lit(1))).alias("factor")
+    )
+
+
+def inflated_measure_chain(
+    fact: DataFrame, key: Keys, measure: str, chain: Sequence[Link], by: Sequence[str]
+) -> DataFrame:
+    """SUM of a fact's measure after joining down a chain, beside its SUM over the fact rows that have a match."""
+    names = key_names(as_list(key))
+    rows = keyed(fact, as_list(key), measure, *by).join(chained_counts(chain), names)
+    naive = F.sum(weighted(measure, "n", fact.schema[measure].dataType))
+    sums = rows.groupBy(*by).agg(naive.alias("naive_sum"), F.sum(measure).alias("true_sum"))
+    return sums.select(
+        *by, "naive_sum", "true_sum", ratio("naive_sum", "true_sum").alias("factor"),
+        (F.col("naive_sum") != F.col("true_sum")).alias("is_error"),
+    )
+
+
 def weighted(measure: str, weight: str, type_: DataType) -> Column:
     """Measure times count, in the measure's own scale: exact for decimals and integers, DOUBLE stays DOUBLE.
 
