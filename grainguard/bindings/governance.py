@@ -85,9 +85,9 @@ def _(t):
 
 
 _KEYS_SQL = """
-    keys AS (SELECT sha256(CAST(c_custkey AS VARCHAR)) AS key_hash, c_custkey AS user_id,
+    keys AS (SELECT CASE WHEN c_mktsegment <> 'FURNITURE' THEN sha256(CAST(c_custkey AS VARCHAR)) END AS key_hash, c_custkey AS user_id,
                     CASE WHEN c_mktsegment = 'MACHINERY' THEN TIMESTAMP '2024-01-01 00:00:00' END AS revoked_at
-             FROM customer WHERE c_mktsegment <> 'FURNITURE'),
+             FROM customer),
     a AS (SELECT event_id, ts, sha256(CAST(events.user_id AS VARCHAR)) AS key_hash,
                  CASE WHEN revoked_at IS NULL THEN k.user_id END AS user_id,
                  k.user_id IS NOT NULL AND revoked_at IS NULL AS accepted
@@ -95,8 +95,9 @@ _KEYS_SQL = """
 
 
 def _requests(t):
-    keys = t.customer.where("c_mktsegment <> 'FURNITURE'").select(
-        F.sha2(F.col("c_custkey").cast("string").cast("binary"), 256).alias("key_hash"),
+    hashed = F.sha2(F.col("c_custkey").cast("string").cast("binary"), 256)
+    keys = t.customer.select(
+        F.when(F.col("c_mktsegment") != "FURNITURE", hashed).alias("key_hash"),  # NULL: a user without a key
         F.col("c_custkey").alias("user_id"),
         F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("2024-01-01 00:00:00")).cast("timestamp_ntz").alias("revoked_at"),
     )
@@ -197,9 +198,9 @@ def _(t):
 @bind(
     "approval_backlog",
     f"""
-    WITH d AS (SELECT l_orderkey AS id, CASE l_returnflag WHEN 'R' THEN 'rejected' ELSE 'approved' END AS decision,
+    WITH d AS (SELECT CASE WHEN l_quantity > 25 THEN l_orderkey END AS id, CASE l_returnflag WHEN 'R' THEN 'rejected' ELSE 'approved' END AS decision,
                       l_shipdate AS decided_at, l_returnflag || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS decision_id
-               FROM lineitem WHERE l_quantity > 25),
+               FROM lineitem),
          l AS (SELECT id, ARG_MAX(decision, (decided_at, decision_id)) AS decision, MAX(decided_at) AS decided_at FROM d GROUP BY 1),
          r AS (SELECT v.team_id, v.created_at, l.decision, date_diff('second', v.created_at, l.decided_at) / 3600 AS h
                FROM validations v LEFT JOIN l ON l.id = v.id WHERE v.risk_score < 70)
@@ -210,8 +211,8 @@ def _(t):
     FROM r GROUP BY 1""",
 )
 def _(t):
-    decisions = t.lineitem.where("l_quantity > 25").select(
-        F.col("l_orderkey").alias("request_id"),
+    decisions = t.lineitem.select(
+        F.when(F.col("l_quantity") > 25, F.col("l_orderkey")).alias("request_id"),  # NULL: decides no request
         F.when(F.col("l_returnflag") == "R", "rejected").otherwise("approved").alias("decision"),
         F.col("l_shipdate").alias("decided_at"),
         F.expr("l_returnflag || l_partkey || '-' || l_suppkey || '-' || l_linenumber").alias("decision_id"),
@@ -224,8 +225,7 @@ _SHARED_SQL = """
     members AS (SELECT CAST(c_custkey % 20 AS INT) AS team_id, c_custkey AS user_id,
                        CASE WHEN c_nationkey < 3 THEN 'owner' WHEN c_nationkey < 6 THEN 'manager' ELSE 'analyst' END AS role
                 FROM customer
-                UNION ALL SELECT CAST((c_custkey + 7) % 20 AS INT), c_custkey, 'analyst' FROM customer
-                WHERE c_mktsegment = 'BUILDING')"""
+                UNION ALL SELECT CAST((c_custkey + 7) % 20 AS INT), c_custkey, 'analyst' FROM customer)"""
 
 
 def _shared(t):
@@ -236,7 +236,7 @@ def _shared(t):
     first = t.customer.select(
         F.expr("cast(c_custkey % 20 as int)").alias("team_id"), F.col("c_custkey").alias("user_id"), role.alias("role")
     )
-    second = t.customer.where("c_mktsegment = 'BUILDING'").select(
+    second = t.customer.select(
         F.expr("cast((c_custkey + 7) % 20 as int)").alias("team_id"), F.col("c_custkey").alias("user_id"),
         F.lit("analyst").alias("role"),
     )
@@ -275,12 +275,12 @@ def _(t):
 _TEAMS_SQL = """
     members AS (SELECT CAST(c_custkey % 20 AS INT) AS team_id, c_custkey AS user_id, 'owner' AS role,
                        lower(c_name) AS email, TIMESTAMP '2023-06-01 00:00:00' AS joined_at
-                FROM customer WHERE c_mktsegment = 'BUILDING'),
-    invites AS (SELECT 'tok' || event_id AS token, CAST(event_id % 20 AS INT) AS team_id,
+                FROM customer),
+    invites AS (SELECT CASE WHEN event_type <> 'signup' THEN 'tok' || event_id END AS token, CAST(event_id % 20 AS INT) AS team_id,
                        CASE event_type WHEN 'view' THEN 'manager' ELSE 'analyst' END AS role,
                        CASE event_type WHEN 'error' THEN ts - INTERVAL 1 DAY WHEN 'click' THEN NULL ELSE ts + INTERVAL 1 DAY END AS expires_at,
                        CAST(NULL AS TIMESTAMP) AS accepted_at
-                FROM events WHERE event_type <> 'signup'),
+                FROM events),
     accepts AS (SELECT 'tok' || event_id AS token, user_id, '  USER' || user_id || '@Mail.Example ' AS email, ts AS accepted_at
                 FROM events),
     valid AS (SELECT a.*, i.team_id, i.role FROM accepts a JOIN invites i ON i.token = a.token
@@ -292,15 +292,15 @@ _TEAMS_SQL = """
 
 
 def _teams(t):
-    members = t.customer.where("c_mktsegment = 'BUILDING'").select(
+    members = t.customer.select(
         F.expr("cast(c_custkey % 20 as int)").alias("team_id"), F.col("c_custkey").alias("user_id"),
         F.lit("owner").alias("role"), F.lower("c_name").alias("email"),
         F.lit("2023-06-01 00:00:00").cast("timestamp_ntz").alias("joined_at"),
     )
     token = F.concat(F.lit("tok"), F.col("event_id").cast("string")).alias("token")
     kind = F.col("event_type")
-    invites = t.events.where(kind != "signup").select(
-        token,
+    invites = t.events.select(
+        F.when(kind != "signup", token).alias("token"),  # NULL: no invitation was sent
         F.expr("cast(event_id % 20 as int)").alias("team_id"),
         F.when(kind == "view", "manager").otherwise("analyst").alias("role"),
         F.when(kind == "error", F.col("ts") - F.expr("INTERVAL 1 DAY"))
@@ -484,7 +484,7 @@ _HOOKS_SQL = """
                      CASE c_mktsegment WHEN 'BUILDING' THEN ['all'] WHEN 'MACHINERY' THEN ['warning']
                                        WHEN 'FURNITURE' THEN NULL ELSE ['error', 'other'] END AS trigger_on
               FROM customer
-              UNION ALL SELECT c_custkey, 'second' || c_custkey, NULL, ['warning', 'error'] FROM customer WHERE c_nationkey < 4)"""
+              UNION ALL SELECT c_custkey, 'second' || c_custkey, CASE WHEN c_nationkey >= 4 THEN FALSE END, ['warning', 'error'] FROM customer)"""
 
 
 def hooks(t):
@@ -498,10 +498,10 @@ def hooks(t):
         .when(segment != "FURNITURE", F.array(F.lit("error"), F.lit("other")))
         .alias("trigger_on"),
     )
-    second = t.customer.where("c_nationkey < 4").select(
+    second = t.customer.select(
         F.col("c_custkey").alias("user_id"),
         F.concat(F.lit("second"), F.col("c_custkey").cast("string")).alias("webhook_id"),
-        F.lit(None).cast("boolean").alias("active"),
+        F.when(F.col("c_nationkey") >= 4, F.lit(False)).alias("active"),
         F.array(F.lit("warning"), F.lit("error")).alias("trigger_on"),
     )
     return first.unionByName(second)

@@ -248,14 +248,14 @@ def _(t):
 _PEOPLE_SQL = """
     members AS (SELECT CAST(c_custkey % 20 AS INT) AS team_id, c_custkey AS user_id,
                        CASE WHEN c_nationkey < 10 THEN lower(c_name) || '@team.example' END AS email
-                FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+                FROM customer),
     users AS (SELECT c_custkey AS user_id, CASE WHEN c_nationkey < 20 THEN lower(c_name) || '@user.example' END AS email
               FROM customer)"""
 
 
 def _people(t):
     c = t.customer
-    members = c.where("c_mktsegment <> 'MACHINERY'").select(
+    members = c.select(
         F.expr("cast(c_custkey % 20 as int)").alias("team_id"),
         F.col("c_custkey").alias("user_id"),
         F.when(F.col("c_nationkey") < 10, F.concat(F.lower("c_name"), F.lit("@team.example"))).alias("email"),
