@@ -28,17 +28,79 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.shard_by_bytes(docs, 40, stored=True))
 
 
+ORACLE["op1_histogram_sort"] = """
+WITH table_ AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes
+  FROM documents
+), placed AS (
+  SELECT doc_id, size, bytes, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(size) OVER () AS total FROM sized
+), sharded AS (SELECT *, CAST(before * 40 // total AS INT) AS shard FROM placed
+)
+SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)
+    AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM sharded, table_
+"""
+
+
 @query
 def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.digests(repeats.remove_repeats(docs))
 
 
+ORACLE["op2_recompression"] = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words
+), windows AS (
+  SELECT doc_id, p, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM places
+  WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), repeats AS (
+  SELECT doc_id, p FROM windows WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM repeats
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 @query
 def op3_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("content")
 
 
+ORACLE["op3_coordinate_join"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: w[i + 1 : i + 5])) AS s
+  FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)
+), sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (SELECT x, y FROM sides UNION SELECT r.x, b.y FROM reach r JOIN sides b ON b.x = r.y
+), least AS (SELECT x, min(y) AS m FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(m, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.x = d.doc_id
+"""
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
