@@ -51,7 +51,10 @@ def unordered_window_audit(df: DataFrame, part: Sequence[str]) -> DataFrame:
 
 
 def qualify_latest(df: DataFrame, part: Sequence[str], order: str, tiebreak: str) -> DataFrame:
-    """The latest row per partition (QUALIFY row_number() ... = 1) as a map-side combined aggregate, not a sort."""
+    """The latest row per partition (QUALIFY row_number() ... = 1) in one exchange.
+
+    An aggregate that combines before it shuffles; the engine sorts for it, as structs do not fit its hash buffers.
+    """
     rest = [c for c in df.columns if c not in part]
     best = F.max_by(F.struct(*rest), F.struct(order, tiebreak))
     return df.groupBy(*part).agg(best.alias("_best")).select(*part, "_best.*").select(*df.columns)
