@@ -34,6 +34,8 @@ STEPS = 4
 #: Percentiles are exact to one rank in this many.
 RANKS = 10_000
 LEAST_ROWS = 100
+#: Parts that each group is joined in.
+SALTS = 32
 #: Least standard deviation of each feature; what clean texts may differ by without notice.
 FEATURES = {"x1": 5.0, "x2": 0.35, "x3": 0.75, "x4": 0.75, "x5": 0.6}
 NAMES = list(FEATURES)
@@ -131,7 +133,9 @@ def factors(estimates: DataFrame, scale: float = CONSISTENCY) -> DataFrame:
 
 def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` joined with their group's estimates, and ``d2``, the squared Mahalanobis distance."""
-    df = rows.join(estimates, "g")
+    # Copies of the few estimates: a group with a third of all rows is joined and summed up in many tasks.
+    copies = estimates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    df = rows.withColumn("__salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(copies, ["g", "__salt"]).drop("__salt")
     for i, x in enumerate(NAMES):
         rest = F.col(x) - F.col(f"m{i}")
         for j in range(i):
@@ -146,7 +150,8 @@ def estimate(rows: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimate per group, with ``unit``: what its distances are divided by."""
     rows = rows.select("g", "key", *NAMES)
     centre = rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, RANKS).alias(f"m{i}") for i, x in enumerate(NAMES)))
-    off = rows.join(centre, "g")
+    copies = centre.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    off = rows.withColumn("__salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(copies, ["g", "__salt"])
     mad = off.groupBy("g").agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(len(NAMES))),
         *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, RANKS).alias(f"__d{i}") for i, x in enumerate(NAMES)),
@@ -159,7 +164,7 @@ def estimate(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         far = distances(rows, now)
         limits = stored(far.groupBy("g", "s").agg(F.percentile_approx("d2", KEPT_SHARE, RANKS).alias("__q")), "limits")
-        near = far.join(limits, ["g", "s"]).where("d2 <= __q")
+        near = distances(rows, now.join(limits, ["g", "s"])).where("d2 <= __q")
         now = stored(factors(moments(near)), "estimates")
     best = now.groupBy("g").agg(F.min_by("s", F.struct("logdet", "s")).alias("s"))
     now = stored(now.join(best, ["g", "s"]), "estimates")
@@ -182,10 +187,11 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", cutoff: floa
         F.xxhash64(F.col(text), F.col("lang"), F.col("source")).alias("content"),
     )
     counted = counts(named, "__text", "doc_id", "lang", "source", "content")
-    rows = stored(features(counted.withColumn("base_failed", base_failed())), "statistics")
+    counted = counted.withColumns({"base_failed": base_failed(), "key": F.xxhash64("doc_id", "content")})
+    rows = stored(features(counted), "statistics")
     rows = stored(grouped(rows), "statistics")
     passing = rows.where("NOT base_failed")
-    estimates = estimate(passing.withColumn("key", F.xxhash64("doc_id", "content")))
+    estimates = estimate(passing)
     wide = rows.join(estimates.select(F.col("g").alias("__g")), F.col("g") == F.col("__g"), "left_anti")
     far = distances(rows, estimates.withColumnRenamed("unit", "__unit")).withColumn("distance", F.col("d2") / F.col("__unit"))
     out = ["doc_id", "content", *COUNTS, "base_failed", "distance"]
@@ -199,4 +205,5 @@ def keep_inliers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     bad = judge(docs, key, text).where("NOT kept")
     bad = stored(bad.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct(), "rejected")
     content = F.xxhash64(F.col(text), F.col("lang"), F.col("source"))
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__id")) & (content == F.col("__content")), "left_anti")
+    # The list grows with the documents, so it is never broadcast: one plan at every size.
+    return docs.join(bad.hint("merge"), F.col(key).eqNullSafe(F.col("__id")) & (content == F.col("__content")), "left_anti")
