@@ -85,4 +85,5 @@ def contained_items(
 def without_items(docs: DataFrame, items: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """``docs`` without those that hold an item; columns and other rows are unchanged."""
     held = contained_items(docs, items, percent).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("__held")), "left_anti")
+    # The list grows with the documents, so it is never broadcast: one plan at every size.
+    return docs.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__held")), "left_anti")
