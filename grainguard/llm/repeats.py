@@ -11,7 +11,7 @@ that the border depends on; equal windows thus have equal keys. A window without
 1. One scan writes a row per stretch of windows with one key, about one for six words. Stretches whose key is
    met twice in the corpus are candidates; keys that repeat within a block are settled there, so a key that is in
    a third of all texts reaches the shuffle once per block.
-2. The windows of candidates are verified by 128 hash bits of their twenty words, again first within blocks, and
+2. The windows of candidates are verified by 96 hash bits of their twenty words, again first within blocks, and
    ordered by document and start: all but the first are repeats.
 3. Each text loses the words that its repeats cover.
 
@@ -144,7 +144,10 @@ ASKS, KNOWN, SIGN = 0, 1, 2
 
 
 def candidate_rows(docs: DataFrame) -> DataFrame:
-    """(k, kind, key, tie, low, high): stretches of windows, and signs of keys, to be counted by ``k``."""
+    """(k, key, tie, place): stretches of windows, and signs of keys, to be counted by ``k``.
+
+    ``place`` packs the first start (above 32 bits), how many starts follow (30 bits) and the kind: they are many rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,30 +159,31 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
                 key, tie = part["key"].to_numpy()[text], part["tie"].to_numpy()[text]
                 # Stretches known to repeat are not counted; they only need to be spread.
                 k = np.where(known, mix(key.view(U64) * STEP + low.astype(U64)), names)
-                rest = [np.zeros(len(signs), np.int64)] * 2 + [np.zeros(len(signs), np.int32)] * 2
-                own = [key, tie, low.astype(np.int32), high.astype(np.int32)]
-                kind = np.concatenate([np.where(known, KNOWN, ASKS), np.full(len(signs), SIGN)]).astype(np.int8)
-                columns = [np.concatenate([k, signs]).view(np.int64), kind, *(np.concatenate(p) for p in zip(own, rest, strict=True))]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["k", "kind", "key", "tie", "low", "high"])
+                zero = np.zeros(len(signs), np.int64)
+                place = (low << 32) | ((high - low) << 2) | np.where(known, KNOWN, ASKS)
+                columns = [np.concatenate([k, signs]).view(np.int64)]
+                columns += [np.concatenate(p) for p in ((key, zero), (tie, zero), (place, zero + SIGN))]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["k", "key", "tie", "place"])
+
+    return docs.mapInArrow(run, "k long, key long, tie long, place long")
 
-    return docs.mapInArrow(run, "k long, kind byte, key long, tie long, low int, high int")
 
+def verified_rows(held: DataFrame, column: str) -> DataFrame:
+    """(h, g, __key, __tie, repeats): the first windows within a block by hash, and a text's repeats known there.
 
-def verified_rows(held: DataFrame) -> DataFrame:
-    """(h, g, key, tie, at, repeats): the first windows within a block by hash, and a text's repeats known there.
+    ``g`` packs 32 more bits of the hash with the window's start.
 
     Rows of the latter sort have ``repeats``, the starts as 32-bit integers, and a hash that only spreads them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_blocks(batch, "text"):
-                key, tie = part["key"].to_numpy(), part["tie"].to_numpy()
-                rank = np.empty(len(texts), np.int64)
+            for part, texts in text_blocks(batch, column):
+                key, tie = part["__key"].to_numpy(), part["__tie"].to_numpy()
                 ids = np.stack([key, tie], 1)
                 _, rank = np.unique(ids, axis=0, return_inverse=True)
                 h, g, text, at = [], [], [], []
-                for i, (raw, spans) in enumerate(zip(texts, part["spans"].to_pylist(), strict=True)):
+                for i, (raw, spans) in enumerate(zip(texts, part["__spans"].to_pylist(), strict=True)):
                     words = word_hashes(raw)
                     own = np.unique(np.concatenate([np.arange(s["low"], s["high"] + 1) for s in spans]))
                     first, second = np.zeros(len(own), U64), np.zeros(len(own), U64)
@@ -188,7 +192,7 @@ def verified_rows(held: DataFrame) -> DataFrame:
                         first += word * FIRST[j]
                         second += (word ^ SALTS[12]) * SECOND[j]
                     h.append(mix(first))
-                    g.append(mix(second))
+                    g.append(mix(second) >> U64(32))
                     text.append(np.full(len(own), i))
                     at.append(own)
                 if not h:
@@ -209,15 +213,14 @@ def verified_rows(held: DataFrame) -> DataFrame:
                 some = np.array(sorted(repeated), np.int64)
                 columns = [
                     np.concatenate([h[rows].view(np.int64), mix(key[some].view(U64)).view(np.int64)]),
-                    np.concatenate([g[rows].view(np.int64), some]),
+                    np.concatenate([((g[rows] << U64(32)) | at[rows].astype(U64)).view(np.int64), some]),
                     np.concatenate([key[text[rows]], key[some]]),
                     np.concatenate([tie[text[rows]], tie[some]]),
-                    np.concatenate([at[rows], np.zeros(len(some), np.int64)]).astype(np.int32),
                 ]
                 lists = pa.array([None] * len(rows) + [repeated[int(i)] for i in some], pa.binary())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["h", "g", "key", "tie", "at", "repeats"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["h", "g", "__key", "__tie", "repeats"])
 
-    return held.mapInArrow(run, "h long, g long, key long, tie long, at int, repeats binary")
+    return held.mapInArrow(run, "h long, g long, __key long, __tie long, repeats binary")
 
 
 def groups(labels: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -247,13 +250,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     narrow = keyed.select(F.col("__key").alias("key"), F.col("__tie").alias("tie"), F.col(text).alias("text"))
 
     rows = candidate_rows(narrow).withColumn("n", F.count("k").over(Window.partitionBy("k")))
-    found = rows.where((F.col("kind") == KNOWN) | ((F.col("kind") == ASKS) & (F.col("n") > 1)))
-    spans = found.groupBy("key", "tie").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-
-    held = narrow.join(spans, ["key", "tie"])
-    place = F.rank().over(Window.partitionBy("h", "g").orderBy("key", "tie", "at"))
-    judged = verified_rows(held).withColumn("place", place).where("repeats IS NOT NULL OR place > 1")
-    starts = judged.groupBy(F.col("key").alias("__key"), F.col("tie").alias("__tie")).agg(
+    kind = F.col("place").bitwiseAND(F.lit(3))
+    found = rows.where((kind == KNOWN) | ((kind == ASKS) & (F.col("n") > 1)))
+    low = F.shiftright("place", 32).cast("int")
+    high = low + F.shiftright(F.col("place").bitwiseAND(F.lit(2**32 - 1)), 2).cast("int")
+    spans = found.groupBy(F.col("key").alias("__key"), F.col("tie").alias("__tie")).agg(
+        F.collect_list(F.struct(low.alias("low"), high.alias("high"))).alias("__spans")
+    )
+    # Both joins take all columns of the texts, so they share one exchange of them.
+    held = keyed.join(spans, ["__key", "__tie"])
+    first = verified_rows(held, text).repartition("h")
+    first = first.withColumns({"at": F.col("g").bitwiseAND(F.lit(2**32 - 1)).cast("int"), "g": F.shiftright("g", 32)})
+    place = F.rank().over(Window.partitionBy("h", "g").orderBy("__key", "__tie", "at"))
+    judged = first.withColumn("place", place).where("repeats IS NOT NULL OR place > 1")
+    starts = judged.groupBy("__key", "__tie").agg(
         F.collect_list(F.when(F.col("repeats").isNull(), F.col("at"))).alias("__one"),
         F.collect_list("repeats").alias("__many"),
     )
