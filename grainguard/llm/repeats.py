@@ -246,6 +246,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ordered = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))
     shared = docs.groupBy(ordered.alias("k")).count().where("count > 1").limit(1).count()
     tie = F.xxhash64(F.col(text)) if shared else F.lit(0).cast("long")
+    # Grouped as they are joined, so that no group moves twice.
+    ids = ["__key", "__tie"] if shared else ["__key"]
     keyed = docs.select("*", ordered.alias("__key"), tie.alias("__tie"))
     narrow = keyed.select(F.col("__key").alias("key"), F.col("__tie").alias("tie"), F.col(text).alias("text"))
 
@@ -254,20 +256,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = rows.where((kind == KNOWN) | ((kind == ASKS) & (F.col("n") > 1)))
     low = F.shiftright("place", 32).cast("int")
     high = low + F.shiftright(F.col("place").bitwiseAND(F.lit(2**32 - 1)), 2).cast("int")
-    spans = found.groupBy(F.col("key").alias("__key"), F.col("tie").alias("__tie")).agg(
+    spans = found.withColumnsRenamed({"key": "__key", "tie": "__tie"}).groupBy(*ids).agg(
         F.collect_list(F.struct(low.alias("low"), high.alias("high"))).alias("__spans")
     )
     # Both joins take all columns of the texts, so they share one exchange of them.
-    held = keyed.join(spans, ["__key", "__tie"])
+    held = keyed.join(spans, ids)
     first = verified_rows(held, text).repartition("h")
     first = first.withColumns({"at": F.col("g").bitwiseAND(F.lit(2**32 - 1)).cast("int"), "g": F.shiftright("g", 32)})
     place = F.rank().over(Window.partitionBy("h", "g").orderBy("__key", "__tie", "at"))
     judged = first.withColumn("place", place).where("repeats IS NOT NULL OR place > 1")
-    starts = judged.groupBy("__key", "__tie").agg(
+    starts = judged.groupBy(*ids).agg(
         F.collect_list(F.when(F.col("repeats").isNull(), F.col("at"))).alias("__one"),
         F.collect_list("repeats").alias("__many"),
     )
-    joined = keyed.join(starts, ["__key", "__tie"], "left")
+    joined = keyed.join(starts, ids, "left")
     kept = [c for c in docs.columns]
     schema = docs.select(*kept).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
