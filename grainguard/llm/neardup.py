@@ -3,17 +3,19 @@
 1. One scan makes each text's set of distinct five-word shingles, its digest and a signature of ``COORDINATES``
    minima. Texts of equal sets become one class; only classes go on, so copies are never paired.
 2. A class is posted under (coordinate, value) pairs. Two sets of the wanted similarity agree in at least
-   ``MATCHES`` coordinates (all but about two in a million such pairs do), hence share a pair among the
+   ``MATCHES`` coordinates (all but about four in a million such pairs do), hence share a pair among the
    ``COORDINATES - MATCHES + 1`` rarest of each: this prefix alone is posted (*prefix merging*), and the most
    frequent pairs, the long lists, are never merged but only looked at in the candidates (*skip merging*).
    Rarity is one fixed order for all, from a table of counts of fixed size.
 3. Lists are not paired out. First every list links its members to its hub, the member whose values are most
    frequent (of copies with changes that is the text they come from). Candidates that agree in ``MATCHES``
    coordinates are verified on the full sets and joined to components. Then only pairs from one list that lie in
-   different components are left; their collisions are counted in blocks, and those above the threshold verified.
-   After that no pair that shares a posting is undecided, so no link between different texts is lost.
+   different components are left. In short lists their collisions are counted, and those above the threshold
+   verified. In long ones the members' shingles outside the hub decide (``beyond_hubs``): sets that miss the hub
+   must share some of these, or are too large to be linked. After that no pair that shares a posting is
+   undecided, so no link between different texts is lost, and no group is paired out.
 
-Lists and hubs with many members are split by salt. Sets travel only for classes that have a candidate.
+Lists and hubs with many members are split by salt. Sets travel only for classes that share a posting.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainguard.llm.columns import SHINGLE, SIMILAR_PERCENT, stored
@@ -37,6 +39,8 @@ PREFIX = COORDINATES - MATCHES + 1
 BUCKETS = 1 << 20
 #: A value seen this often in a batch is worth a place in the table of counts.
 SEEN = 3
+#: Members of a list up to which its open pairs are counted one by one: at most this many for each member.
+SHORT = 64
 #: Members of a list, or partners of a hub, that one task compares.
 BLOCK = 4096
 FACTORS, FLIPS = numbers(11, COORDINATES), numbers(12, COORDINATES)
@@ -130,21 +134,26 @@ def prefixes(classes: DataFrame, table: np.ndarray) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "name long, central long, node long")
 
 
-def hub_pairs(posted: DataFrame) -> DataFrame:
-    """(a, b): every member of a list with the list's hub, once."""
+def shared_lists(posted: DataFrame) -> DataFrame:
+    """(name, node, hub): the postings of lists with two members or more, with the list's hub."""
     rank = F.col("central") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
     # Map-side maxima: a list in which a third of all rows meet is a row per task.
     lists = posted.groupBy("name").agg(F.max_by("node", rank).alias("hub"), F.count("node").alias("n"))
-    pairs = posted.join(lists.where("n > 1").select("name", "hub"), "name").where("node <> hub")
+    return posted.select("name", "node").join(lists.where("n > 1").select("name", "hub"), "name")
+
+
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): every member of a list with the list's hub, once."""
+    pairs = lists.where("node <> hub")
     return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
-def above_threshold(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in at least ``MATCHES`` coordinates."""
-    signed = classes.select("node", "signature")
-    both = pairs.join(signed.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(
-        signed.withColumnsRenamed({"node": "b", "signature": "sb"}), "b"
-    )
+def above_threshold(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of near enough sizes whose signatures agree in at least ``MATCHES`` coordinates."""
+    signed = classes.select("node", "n_shingles", "signature")
+    both = pairs.join(signed.withColumnsRenamed({"node": "a", "n_shingles": "na", "signature": "sa"}), "a")
+    both = both.join(signed.withColumnsRenamed({"node": "b", "n_shingles": "nb", "signature": "sb"}), "b")
+    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +164,12 @@ def above_threshold(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """(u, v): the pairs whose full sets are similar enough. The hub's set goes once to each block of its partners."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(nodes.join(classes.select("node", "doc_id", "digest"), "node"), "nodes")
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, set): the full shingle sets of the given classes, made anew from their texts and written."""
+    wanted = stored(nodes.distinct().join(classes.select("node", "doc_id", "digest"), "node"), "nodes")
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    own = own.join(wanted, "doc_id").select("node", "digest", "text")
+    # The list grows with the documents, so it is never broadcast: one plan at every size.
+    own = own.join(wanted.hint("merge"), "doc_id").select("node", "digest", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,60 +179,150 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
                 out = pa.RecordBatch.from_arrays([part["node"], pa.array(found, pa.binary())], ["node", "set"])
                 yield out.filter(pa.array(same, pa.bool_()))
 
-    full = stored(own.mapInArrow(sets, "node long, set binary"), "sets")
+    return stored(own.mapInArrow(sets, "node long, set binary"), "sets")
+
+
+def at_hubs(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """(hub, parts, salt, role, other, set): each block of a hub's partners behind the hub's own row (role 0).
+
+    ``parts`` is 0 where all of a hub's partners are one block.
+    """
+    sized = pairs.join(pairs.groupBy("hub").agg(F.floor(F.count("other") / BLOCK).alias("parts")), "hub")
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("parts") + 1))
+    spokes = salted.join(full, salted.other == full.node).select("hub", "parts", "salt", F.lit(1).alias("role"), "other", "set")
+    centres = salted.select("hub", "parts", "salt").distinct().join(full, F.col("hub") == full.node)
+    centres = centres.select("hub", "parts", "salt", F.lit(0).alias("role"), F.col("hub").alias("other"), "set")
+    return centres.unionByName(spokes).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+
+
+def beside_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bool, int, np.ndarray, np.ndarray]]]:
+    """For each batch of ``at_hubs``: (hub, is it one block, other, the other's set, the hub's set) of its partners."""
+    at, mine = None, np.empty(0, U64)
+    for batch in batches:
+        out = []
+        columns = [batch[c].to_pylist() for c in ("hub", "parts", "salt", "role", "other", "set")]
+        for hub, parts, salt, role, other, raw in zip(*columns, strict=True):
+            own = np.frombuffer(raw, U64)
+            if role == 0:
+                at, mine = (hub, salt), own
+            elif at == (hub, salt):
+                out.append((hub, parts == 0, other, own, mine))
+        yield out
+
+
+def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pairs whose full sets are similar enough. A hub's set goes once to each block of its partners."""
     # The end with more partners is the hub of its pairs.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     sized = pairs.join(ends.select(F.col("node").alias("a"), F.col("count").alias("na")), "a").join(
         ends.select(F.col("node").alias("b"), F.col("count").alias("nb")), "b"
     )
     first = F.col("na") >= F.col("nb")
-    turned = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.floor(F.greatest("na", "nb") / BLOCK).alias("parts"))
-    salted = turned.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("parts") + 1))
-    spokes = salted.join(full, salted.other == full.node).select("hub", "salt", F.lit(1).alias("role"), "other", "set")
-    centres = salted.select("hub", "salt").distinct().join(full, F.col("hub") == full.node)
-    centres = centres.select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("other"), "set")
+    hub, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, np.empty(0, U64)
-        for batch in batches:
-            hubs, salts, roles, others = (batch[c].to_pylist() for c in ("hub", "salt", "role", "other"))
+        for rows in beside_hubs(batches):
             found = []
-            for i, raw in enumerate(batch["set"]):
-                own = np.frombuffer(raw.as_py(), U64)
-                if roles[i] == 0:
-                    at, mine = (hubs[i], salts[i]), own
-                elif at == (hubs[i], salts[i]) and 100 * min(len(own), len(mine)) >= percent * max(len(own), len(mine)):
-                    shared = len(np.intersect1d(own, mine, assume_unique=True))
-                    if 100 * shared >= percent * (len(own) + len(mine) - shared):
-                        found.append((hubs[i], others[i]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"]
-            )
+            for u, _, v, own, mine in rows:
+                shared = len(np.intersect1d(own, mine, assume_unique=True))
+                if 100 * shared >= percent * (len(own) + len(mine) - shared):
+                    found.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    return at_hubs(sized.select(hub.alias("hub"), other.alias("other")), full).mapInArrow(compare, "u long, v long")
 
-    together = centres.unionByName(spokes).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return together.mapInArrow(compare, "u long, v long")
 
+def beyond_hubs(lists: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that long open lists leave, found through what their members do not share with the hub.
 
-def remaining_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of one list in different components whose collisions reach the threshold."""
-    named = posted.select("name", "node").join(labels, "node", "left").select(
-        "name", "node", F.coalesce("component", "node").alias("component")
+    Let *o* be what a member shares with its hub. Two members share at most the smaller *o* inside the hub, so a
+    pair whose sizes ask for more must share shingles outside it, as many as are wanting. A member that is not
+    linked with the hub (a *straggler*) therefore probes the members with its outer shingles, all but as many as
+    are wanting less one, the rarest first; pairs whose sizes do not ask for more are joined by size.
+    """
+    members = stored(lists.select("hub", F.col("node").alias("other")).where("hub <> other").distinct(), "members")
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block of one hub's members at a time. In a hub of one block, shingles that no other member has go out."""
+        hub, whole, block = None, False, []
+
+        def members_of() -> Iterator[pa.RecordBatch]:
+            if block:
+                outer = [x[2] for x in block]
+                if whole:
+                    values, seen = np.unique(np.concatenate(outer), return_counts=True)
+                    outer = [np.intersect1d(x, values[seen > 1], assume_unique=True) for x in outer]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([hub] * len(block), pa.int64()),
+                        pa.array([x[0] for x in block], pa.int64()),
+                        pa.array([x[1] for x in block], pa.int64()),
+                        pa.array([x[1] - len(x[2]) for x in block], pa.int64()),
+                        pa.array([x.view(np.int64) for x in outer], pa.list_(pa.int64())),
+                    ],
+                    ["hub", "other", "n", "o", "outer"],
+                )
+
+        for rows in beside_hubs(batches):
+            for name, single, other, own, mine in rows:
+                if name != hub or len(block) >= 2 * BLOCK:
+                    yield from members_of()
+                    block.clear()
+                hub, whole = name, single
+                block.append((other, len(own), np.setdiff1d(own, mine, assume_unique=True)))
+        yield from members_of()
+
+    parted = at_hubs(members, full).mapInArrow(outside, "hub long, other long, n long, o long, outer array<long>")
+    named = parted.join(labels.withColumnRenamed("node", "other"), "other", "left").join(
+        labels.select(F.col("node").alias("hub"), F.col("component").alias("core")), "hub", "left"
+    )
+    parted = stored(
+        named.withColumns({"component": F.coalesce("component", "other"), "core": F.coalesce("core", "hub")}), "parted"
     )
+    least = parted.groupBy("hub").agg(F.min("n").alias("least"))
+    both = 100 + percent
+    wanting = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / both) - F.col("o")
+    stragglers = stored(parted.where("component <> core").join(least, "hub").withColumn("wanting", wanting), "stragglers")
+
+    # All but as many as are wanting less one: those that were not sent, the rarest, are among them.
+    outer = parted.select("hub", F.col("other").alias("y"), F.col("component").alias("cy"), F.explode("outer").alias("s"))
+    often = outer.groupBy("hub", "s").agg(F.count("y").alias("often"))
+    probes = stragglers.select(
+        "hub", F.col("other").alias("x"), F.col("component").alias("cx"), F.explode("outer").alias("s"),
+        (F.size("outer") - F.greatest("wanting", F.lit(1)) + 1).alias("some"),
+    ).join(often, ["hub", "s"])
+    rank = F.row_number().over(Window.partitionBy("hub", "x").orderBy("often", "s"))
+    probes = probes.withColumn("rank", rank).where("rank <= some AND often > 1").select("hub", "x", "cx", "s")
+    met = probes.join(outer, ["hub", "s"]).where("cx <> cy").select("x", "y")
+    inner = stragglers.where("wanting <= 0").select("hub", F.col("other").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("o").alias("ox"))
+    near = inner.join(parted.select("hub", F.col("other").alias("y"), F.col("component").alias("cy"), "n", "o"), "hub")
+    near = near.where((F.col("cx") != F.col("cy")) & (F.least("ox", "o") * both >= (F.col("nx") + F.col("n")) * percent))
+    pairs = met.union(near.select("x", "y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, node, hub, component, n): the lists whose members lie in different components."""
+    named = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = named.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("node").alias("n"))
-    open_lists = spread.where("low < high").select("name", F.floor(F.col("n") / BLOCK).cast("int").alias("parts"))
-    members = named.join(open_lists, "name")
-    own = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts") + 1).cast("int"))
+    return named.join(spread.where("low < high").select("name", "n"), "name")
+
+
+def remaining_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of one list in different components, of near enough sizes, whose collisions reach the threshold."""
+    own = lists.withColumn("parts", F.floor(F.col("n") / BLOCK).cast("int"))
+    own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts") + 1).cast("int"))
     blocks = own.select("name", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("other"))
     blocks = blocks.select("name", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    signed = blocks.join(classes.select("node", "signature"), "node")
+    signed = blocks.join(classes.select("node", "n_shingles", "signature"), "node")
 
     def pairs_in(rows: list[tuple], signed: np.ndarray) -> np.ndarray:
-        own, node, component = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+        own, node, component, size = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 3))
         inner = len(set(own.tolist())) == 1
         found = []
         for k in range(len(node) - 1):
             later = np.arange(k + 1, len(node))
             later = later[(component[later] != component[k]) & (inner | (own[later] != own[k]))]
+            later = later[100 * np.minimum(size[later], size[k]) >= percent * np.maximum(size[later], size[k])]
             later = later[(signed[later] == signed[k]).sum(1) >= MATCHES]
             found.append(np.stack([np.minimum(node[later], node[k]), np.maximum(node[later], node[k])]))
         return np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
@@ -241,16 +340,16 @@ def remaining_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame) ->
             if not batch.num_rows:
                 continue
             values = matrix(batch["signature"])
-            columns = [batch[c].to_pylist() for c in ("name", "i", "j", "own", "node", "component")]
-            for k, (name, i, j, own, node, component) in enumerate(zip(*columns, strict=True)):
+            columns = [batch[c].to_pylist() for c in ("name", "i", "j", "own", "node", "component", "n_shingles")]
+            for k, (name, i, j, own, node, component, size) in enumerate(zip(*columns, strict=True)):
                 if (name, i, j) != at:
                     yield from block()
                     at, rows, parts = (name, i, j), [], []
-                rows.append((own, node, component))
+                rows.append((own, node, component, size))
                 parts.append(values[k])
         yield from block()
 
-    ordered = signed.select("name", "i", "j", "own", "node", "component", "signature").repartition("name", "i", "j")
+    ordered = signed.select("name", "i", "j", "own", "node", "component", "n_shingles", "signature").repartition("name", "i", "j")
     return ordered.sortWithinPartitions("name", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -271,20 +370,25 @@ def near_duplicates(
     rows = stored(sketched(docs, key, text), "sketches")
     keyed = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     least = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    own = keyed.join(least, "digest").where("doc_id = least").dropDuplicates(["digest"]).drop("n_shingles", "content", "least")
+    own = keyed.join(least, "digest").where("doc_id = least").dropDuplicates(["digest"]).drop("content", "least")
     # A class is named by its least key, or by its digest where texts share a key.
     shared = stored(own.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("shared")), "shared")
     named = own.join(shared, F.col("doc_id") == F.col("shared"), "left")
     spare = -1 - F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1))
     node = F.when(F.col("shared").isNull(), F.col("doc_id")).otherwise(spare)
-    classes = stored(named.select(node.alias("node"), "doc_id", "digest", "signature"), "classes")
+    classes = stored(named.select(node.alias("node"), "doc_id", "digest", "n_shingles", "signature"), "classes")
 
-    posted = stored(prefixes(classes, frequencies(classes)), "postings")
-    pairs = stored(above_threshold(hub_pairs(posted), classes), "pairs")
-    links = stored(verified(pairs, classes, docs, key, text, percent), "links")
+    lists = stored(shared_lists(stored(prefixes(classes, frequencies(classes)), "postings")), "lists")
+    pairs = stored(above_threshold(hub_pairs(lists), classes, percent), "pairs")
+    # The sets of all classes that share a list with another, made once.
+    full = sets_of(lists.select("node"), classes, docs, key, text)
+    links = stored(verified(pairs, full, percent), "links")
     labels = stored(components(links), "labels")
-    rest = stored(remaining_pairs(posted, labels, classes), "pairs")
-    links = links.unionByName(verified(rest, classes, docs, key, text, percent))
+    left = stored(open_lists(lists, labels), "lists")
+    short = remaining_pairs(left.where(F.col("n") <= SHORT), classes, percent)
+    long = beyond_hubs(left.where(F.col("n") > SHORT), labels, full, percent)
+    rest = stored(short.union(above_threshold(stored(long, "pairs"), classes, percent)).distinct(), "pairs")
+    links = links.unionByName(verified(rest, full, percent))
     labels = stored(components(links), "labels")
 
     grouped = classes.select("digest", "doc_id", "node").join(labels, "node", "left").select(
@@ -306,4 +410,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     gone = near_duplicates(docs, key, text).where("NOT kept")
     gone = stored(gone.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct(), "copies")
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__content"))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone.hint("merge"), same, "left_anti")  # grows with the documents: never broadcast

@@ -60,9 +60,11 @@ def made(seed):
         own = text(150)
         for _ in range(size):
             copy = list(own)
-            for _ in range(r.choice([0, 1, 2, 3, 4])):
+            for _ in range(r.choice([0, 1, 2, 3, 4, 6, 8, 12])):
                 copy[r.randrange(len(copy))] = r.choice(vocabulary)
             rows.append(copy)
+    own = text(100)  # parts of a text, of sizes that differ
+    rows += [own[r.randint(0, 25) : r.randint(60, 100)] for _ in range(60)]
     chain = text(120)
     for _ in range(40):
         chain = chain[3:] + text(3)
@@ -76,14 +78,15 @@ SCHEMA = "doc_id long, text string, component_id string"
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("block", [4096, 8])
-def test_against_all_pairs(spark, seed, block, monkeypatch):
+@pytest.mark.parametrize("block,short", [(4096, 64), (8, 64), (8, 2)])
+def test_against_all_pairs(spark, seed, block, short, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SHORT", short)
     rows = made(seed)
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
     out = [tuple(r) for r in neardup.near_duplicates(df).drop("content").collect()]
     assert sorted(out) == sorted(brute(rows))
-    if block == 8:
+    if short == 2:
         kept = neardup.keep_one(df)
         assert kept.columns == df.columns
         assert sorted(kept.groupBy("doc_id").count().collect()) == sorted(
