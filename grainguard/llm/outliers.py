@@ -9,8 +9,11 @@ Mahalanobis distance is beyond the cutoff is rejected.
 
 Every step is an aggregate with map-side combination over all rows, so a source with a third of all rows costs
 no more than others, and the estimates (a few numbers per group) are joined back at a size Spark knows. Nothing
-is sampled; groups of fewer than ``LEAST_ROWS`` rows are estimated together with the other small ones of their
-language. A ridge keeps covariances regular where a statistic hardly varies.
+is sampled, and every group is estimated by itself, however small. What few rows can't tell is taken from the
+estimate of the whole language: mean, covariance and unit are mixed with the language's by the weight
+n / (n + ``PRIOR_ROWS``) of the group's own n rows. The mixture's covariance holds the way between both means, so
+that a small source unlike its language is not rejected as a whole, unless it is of one to three texts. A ridge
+keeps covariances regular where a statistic hardly varies.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ MEDIAN, CUTOFF = 4.351, 30.86
 STEPS = 4
 #: Percentiles are exact to one rank in this many.
 RANKS = 10_000
-LEAST_ROWS = 100
+#: How many rows of a group weigh as much as the estimate of its language.
+PRIOR_ROWS = 100
 #: Parts that each group is joined in.
 SALTS = 32
 #: Least standard deviation of each feature; what clean texts may differ by without notice.
@@ -101,13 +105,9 @@ def features(counted: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``g``: language and source, or the language alone where they have few rows together."""
+    """``rows`` with ``g``, language and source, and ``l``, the language alone; no two of their values are equal."""
     name = lambda c: F.concat(F.coalesce(F.length(c), F.lit(-1)), F.lit(":"), F.coalesce(c, F.lit("")))
-    rows = rows.withColumn("__g", F.concat(name("lang"), F.lit("/"), name("source")))
-    sizes = rows.where("NOT base_failed").groupBy("__g").count()
-    large = stored(sizes.where(F.col("count") >= LEAST_ROWS).select(F.col("__g").alias("__l")), "groups")
-    joined = rows.join(large, F.col("__g") == F.col("__l"), "left")
-    return joined.withColumn("g", F.coalesce("__l", name("lang"))).drop("__g", "__l")
+    return rows.withColumns({"g": F.concat(name("lang"), F.lit("/"), name("source")), "l": name("lang")})
 
 
 def moments(rows: DataFrame) -> DataFrame:
@@ -146,9 +146,8 @@ def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return df.withColumn("d2", d2).drop(*used, "logdet")
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimate per group, with ``unit``: what its distances are divided by."""
-    rows = rows.select("g", "key", *NAMES)
+def concentrated(rows: DataFrame) -> DataFrame:
+    """(g, mean and covariance): the minimum-covariance-determinant estimate of each group."""
     centre = rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, RANKS).alias(f"m{i}") for i, x in enumerate(NAMES)))
     copies = centre.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     off = rows.withColumn("__salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(copies, ["g", "__salt"])
@@ -165,13 +164,42 @@ def estimate(rows: DataFrame) -> DataFrame:
         far = distances(rows, now)
         limits = stored(far.groupBy("g", "s").agg(F.percentile_approx("d2", KEPT_SHARE, RANKS).alias("__q")), "limits")
         near = distances(rows, now.join(limits, ["g", "s"])).where("d2 <= __q")
-        now = stored(factors(moments(near)), "estimates")
+        found = stored(moments(near), "estimates")
+        now = factors(found)
     best = now.groupBy("g").agg(F.min_by("s", F.struct("logdet", "s")).alias("s"))
-    now = stored(now.join(best, ["g", "s"]), "estimates")
-    unit = distances(rows, now).groupBy("g").agg(
+    return stored(found.join(best, ["g", "s"]), "estimates").drop("s")
+
+
+def mixed(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(g, s, mean and covariance) of each group, mixed with its language's; ``sizes`` has g, l and the ``weight``."""
+    named = lambda c: f"__{c}"
+    language = found.select(*(F.col(c).alias(named(c)) for c in found.columns))
+    df = found.join(sizes, "g").join(language, F.col("l") == F.col("__g"))
+    w = F.col("weight")
+    mix = lambda c: w * F.col(c) + (1 - w) * F.col(named(c))
+    way = lambda i: F.col(f"m{i}") - F.col(f"__m{i}")
+    means = [mix(f"m{i}").alias(f"m{i}") for i in range(len(NAMES))]
+    return df.select("g", F.lit(0).alias("s"), *means, *((mix(f"c{i}{j}") + w * (1 - w) * way(i) * way(j)).alias(f"c{i}{j}") for i, j in PAIRS))
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """Estimate per group, mixed with its language's, with ``unit``: what its distances are divided by."""
+    own = rows.select("g", "l", "key", *NAMES)
+    n = F.col("count")
+    sizes = own.groupBy("g", "l").count().select("g", "l", (n / (n + PRIOR_ROWS)).alias("weight"))
+    # A language is a group of itself.
+    languages = sizes.select("l").distinct().select(F.col("l").alias("g"), "l", F.lit(1.0).alias("weight"))
+    sizes = stored(sizes.unionByName(languages), "sizes")
+    both = own.unionByName(own.withColumn("g", F.col("l"))).drop("l")
+    now = stored(factors(mixed(concentrated(both), sizes)), "estimates")
+    units = distances(both, now).groupBy("g").agg(
         F.greatest(F.percentile_approx("d2", 0.5, RANKS) / MEDIAN, F.lit(1.0)).alias("unit")
     )
-    return stored(now.join(unit, "g"), "estimates").drop("s")
+    units = stored(units, "units")
+    language = units.select(F.col("g").alias("l"), F.col("unit").alias("__unit"))
+    units = units.join(sizes, "g").join(language, "l")
+    units = units.select("g", (F.col("weight") * F.col("unit") + (1 - F.col("weight")) * F.col("__unit")).alias("unit"))
+    return stored(now.join(units, "g"), "estimates").drop("s")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
@@ -188,8 +216,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", cutoff: floa
     )
     counted = counts(named, "__text", "doc_id", "lang", "source", "content")
     counted = counted.withColumns({"base_failed": base_failed(), "key": F.xxhash64("doc_id", "content")})
-    rows = stored(features(counted), "statistics")
-    rows = stored(grouped(rows), "statistics")
+    rows = stored(grouped(features(counted)), "statistics")
     passing = rows.where("NOT base_failed")
     estimates = estimate(passing)
     wide = rows.join(estimates.select(F.col("g").alias("__g")), F.col("g") == F.col("__g"), "left_anti")

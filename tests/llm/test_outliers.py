@@ -117,3 +117,16 @@ def test_empty_and_tiny_tables(spark):
     one = spark.createDataFrame([(1, "one two three four five six seven eight nine ten", None, None, "x")], SCHEMA)
     assert outliers.judge(one).first().kept
     assert outliers.judge(one.withColumn("text", one.text.substr(1, 7))).first().kept is False
+
+
+def test_small_sources_are_judged_by_themselves(spark):
+    r = random.Random(6)
+    marked = lambda n: " ".join(x + "###" for x in clean(r, n, "en").split())
+    rows = [(i, clean(r, 60, "en"), "en", "big") for i in range(300)]
+    rows += [(1000 + i, clean(r, 60, "en"), "en", f"prose{i % 5}") for i in range(200)]
+    rows += [(2000 + i, marked(r.choice([50, 60])), "en", "code") for i in range(40)]
+    rows += [(3000 + i, marked(60), "en", f"prose{i}") for i in range(5)] + [(4000, marked(60), "en", "lone"), (4001, clean(r, 60, "en"), "en", "tidy")]
+    kept = {r.doc_id: r.kept for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[d] for d in kept if d < 3000 or d == 4001)  # code is clean where all are code
+    assert not any(kept[d] for d in range(3000, 3005))  # but not among prose
+    assert not kept[4000]
