@@ -130,3 +130,22 @@ def test_small_sources_are_judged_by_themselves(spark):
     assert all(kept[d] for d in kept if d < 3000 or d == 4001)  # code is clean where all are code
     assert not any(kept[d] for d in range(3000, 3005))  # but not among prose
     assert not kept[4000]
+
+
+def test_one_statistic_alone_rejects(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, text(r.choice([100, 300, 500])), "en", "one") for i in range(150)]
+    single = [word() for _ in range(25)]
+    lines = "\n".join(r.sample(single * 3, 75))
+    rows.append((200, f"{text(25)}\n{lines}", "en", "one"))  # half of the words are lines again
+    passage = text(50)
+    rows.append((201, f"{passage} {text(400)} {passage}", "en", "one"))  # all but what the base rule rejects
+    few = text(5)
+    rows.append((202, f"{few} {text(90)} {few}", "en", "one"))  # one repeat by chance
+    out = {x.doc_id: x for x in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(x.base_failed for x in out.values())
+    assert out[200].n_dup_lines == 50 and out[200].n_repeat_words == 0 and not out[200].kept
+    assert out[201].n_repeat_words == 100 and out[201].n_dup_lines == 0 and not out[201].kept
+    assert all(out[d].kept for d in out if d < 200 or d == 202)
