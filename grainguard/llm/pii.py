@@ -224,32 +224,42 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     return Model(probability, prior, shares)
 
 
-def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def find(docs: DataFrame, model: Model, text: str = "text", overlapping: bool = False) -> DataFrame:
     """``docs`` with ``spans``: base spans and those the classifier adds, by start, then kind as listed.
 
     A span is (kind, start, end, base); positions are code points, ends exclusive. An added span overlaps no base
-    span. NULL and empty texts have none. A column ``spans`` of ``docs`` is replaced. Empty tables stay empty.
+    span; with ``overlapping``, it may, but does not lie within one. NULL and empty texts have none. A column ``spans`` of ``docs`` is replaced. Empty tables stay empty.
     """
     df = candidates(without(docs, "spans"), text, "__found")
     df = df.withColumn("__base", F.filter("__found", lambda s: s["base"]))
     sure = [F.lit(f) for f in model.sure()] or [F.lit("")]
-    free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    meets = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    covers = lambda s, b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])
+    free = lambda s: ~F.exists("__base", lambda b: (covers if overlapping else meets)(s, b))
     stay = F.filter("__found", lambda s: s["base"] | (s["valid"] & s["features"].isin(*sure) & free(s)))
     spans = F.transform(stay, lambda s: F.struct(s["kind"], s["start"], s["end"], s["base"]))
     return df.withColumn("spans", spans).drop("__found", "__base")
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with each span of the text replaced by its kind in brackets; of overlapping spans, the first."""
-    df = find(docs.withColumnRenamed("spans", "__spans"), model, text)
-    # A span counts unless one before it reaches beyond its start.
-    apart = F.filter("spans", lambda s, i: ~F.exists("spans", lambda o: (o["start"] < s["start"]) & (o["end"] > s["start"])))
-    df = df.withColumn("__apart", apart)
-    firsts = F.filter("__apart", lambda s, i: F.coalesce(F.get("__apart", i - 1)["start"] < s["start"], F.lit(True)))
-    df = df.withColumn("__apart", firsts)
+    """``docs`` with each span of the text replaced by its kind in brackets, and overlapping spans, or chains of them,
+    by all their kinds (``[IP+CARD]``): nothing that any span covers stays."""
+    df = find(docs.withColumnRenamed("spans", "__spans"), model, text, overlapping=True)
+    none = F.array().cast("array<struct<start:int,end:int,kinds:array<string>>>")
+
+    def merge(unions: Column, s: Column) -> Column:
+        last = F.get(unions, F.size(unions) - 1)
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array(s["kind"]).alias("kinds"))
+        both = F.struct(
+            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.array_union(last["kinds"], F.array(s["kind"])).alias("kinds")
+        )
+        before = F.slice(unions, F.lit(1), F.greatest(F.size(unions) - 1, F.lit(0)))
+        return F.when(last["end"] > s["start"], F.concat(before, F.array(both))).otherwise(F.concat(unions, F.array(own)))
+
+    df = df.withColumn("__apart", F.aggregate("spans", none, merge))
     t = F.col(quoted(text))
     after = lambda s, i: F.concat(
-        F.lit("["), F.upper(s["kind"]), F.lit("]"),
+        F.lit("["), F.upper(F.array_join(s["kinds"], "+")), F.lit("]"),
         F.substring(t, s["end"] + 1, F.coalesce(F.get("__apart", i + 1)["start"], F.length(t)) - s["end"]),
     )
     clean = F.concat(F.substring(t, F.lit(1), F.get("__apart", F.lit(0))["start"]), F.array_join(F.transform("__apart", after), ""))
