@@ -32,11 +32,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE token ids of the kept, cleaned texts."""
+    """Byte-level BPE token ids of the kept, cleaned texts; ``text`` is what they decode to, or the job fails."""
     import public_tokenizers
 
     ranks = bpe.ranks_in(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="__decoded")
+    text, back = F.col("text"), F.col("__decoded")
+    same = back == F.coalesce(text, F.lit("")).cast("binary")
+    failed = F.raise_error(F.concat(F.lit("ids decode to other bytes than the text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("NULL"))))
+    whole = F.when(same, F.when(text.isNotNull(), back.cast("string"))).otherwise(failed.cast("string"))
+    return coded.withColumn("text", whole).drop("__decoded")
 
 
 STAGES = [

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -79,6 +80,25 @@ def test_tokens(stages):
     assert all(np.frombuffer(r.token_ids, "<u4").tolist() == library.encode_ordinary(r.text) for r in rows.values())
 
 
+def test_ids_are_decoded(spark, stages, monkeypatch):
+    before, after = stages[4]
+    assert {r.doc_id: r.text for r in after.collect()} == {r.doc_id: r.text for r in before.collect()}
+    encode, called = bpe.encode, []
+
+    def spoiled(*args, decoded=None, **others):
+        called.append(decoded)
+        out = encode(*args, decoded=decoded, **others)
+        return out.withColumn(decoded, F.concat(decoded, F.lit(b"?"))) if decoded else out
+
+    texts = [(1, "wörd 😀\n"), (2, ""), (3, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.encode_tokens(spark, df, SF).orderBy("doc_id").collect()] == texts
+    monkeypatch.setattr(bpe, "encode", spoiled)
+    with pytest.raises(Exception, match="decode to other bytes"):
+        corpus_pipeline.encode_tokens(spark, df, SF).collect()
+    assert all(called)
+
+
 def test_run_and_registration(spark, stages):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     got = {r.doc_id: bytes(r.token_ids) for r in corpus_pipeline.run(spark, SF).collect()}
