@@ -178,8 +178,10 @@ def flag(p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payload of each block; blocks are ordered by length, longest first, and not empty."""
+    """Payload of each block; blocks are ordered by length, longest first, and not empty. Ids have 16 bits."""
     lengths = np.array([len(b) for b in blocks])
+    if any(b.min() < 0 or b.max() >= 1 << 16 for b in map(np.asarray, blocks)):
+        raise ValueError("ids beyond 65,535 can't be coded")
     ids = np.zeros((lengths[0], len(blocks)), np.int32)
     for i, block in enumerate(blocks):
         ids[: len(block), i] = block

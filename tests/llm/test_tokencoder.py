@@ -41,6 +41,12 @@ def test_round_trip(seed):
         assert np.array_equal(tokencoder.decode_blocks([one], np.array([len(block)]))[0], block)
 
 
+def test_ids_beyond_16_bits_are_refused():
+    assert tokencoder.decode_blocks(tokencoder.encode_blocks([np.array([65535, 1])]), np.array([2]))[0].tolist() == [65535, 1]
+    with pytest.raises(ValueError, match="65,535"):
+        tokencoder.encode_blocks([np.array([65536, 1], np.int32)])
+
+
 def test_file_set(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokencoder, "BATCH_CHARS", 50)
     rows = [(i * 13 % 101, f"text {i} wörd <|endoftext|> " * (i % 9)) for i in range(101)]
