@@ -135,7 +135,7 @@ def op7_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.messages_of(table(spark, sf_dir, "conversations"))
-    return toolcalls.link_tool_calls(calls, results, toolcalls.SCHEMAS)
+    return toolcalls.link_tool_calls(calls, results, toolcalls.SCHEMAS, unlinked=True)
 
 
 ORACLE["op8_tool_call_linking"] = """

@@ -93,7 +93,7 @@ def levels(ready: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(
-    calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]
+    calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]], unlinked: bool = False
 ) -> DataFrame:
     """One row per identifier that is called or answered in a conversation.
 
@@ -104,8 +104,9 @@ def link_tool_calls(
     invalid (errors in name or arguments), missing_dependency, cycle (waits for itself), unanswered, linked.
 
     Of calls or results that share an identifier the first by turn counts (ties: by their text); the others only
-    add to n_calls and n_results. Rows with a NULL conversation or identifier can't be linked and are left out;
-    NULL arguments are malformed, a NULL turn is before all others, NULL dependencies are none and a repeated
+    add to n_calls and n_results. Rows with a NULL conversation or identifier can't be linked and are left out or,
+    if ``unlinked``, stay as rows of their own: calls that have an identifier as invalid or unanswered, others as
+    orphan_result with a NULL message. NULL arguments are malformed, a NULL turn is before all others, NULL dependencies are none and a repeated
     dependency counts once. Empty tables give what the other one has.
     """
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long"))
@@ -128,8 +129,17 @@ def link_tool_calls(
         .join(level, NODE, "left")
         .join(lost.select(*NODE).distinct().withColumn("lost", F.lit(True)), NODE, "left")
     )
+    linked = linked.withColumn("called", F.col("n_calls").isNotNull())
+    if unlinked:
+        one = F.when(F.col("call_id").isNotNull(), F.lit(1).cast("long"))
+        lone = calls.where(f"NOT ({known})").select(*NODE, own.alias("c"), "turn", one.alias("n_calls"), F.lit(True).alias("called"))
+        lone = lone.select(*NODE, F.col("turn").cast("long").alias("turn"), "c.name", "c.arguments", "c.depends_on", "n_calls", "called")
+        plain = F.struct(F.col("turn").cast("long").alias("turn"), "content")
+        lost_results = results.where(f"NOT ({known})").select(*NODE, plain.alias("r"), one.alias("n_results"), F.lit(False).alias("called"))
+        for more in (lone, lost_results):
+            linked = linked.unionByName(more, allowMissingColumns=True)
     wrong = errors(F.col("name"), F.col("arguments"), schemas)
-    linked = linked.withColumn("errors", F.when(F.col("n_calls").isNotNull(), wrong).otherwise(F.array().cast("array<string>")))
+    linked = linked.withColumn("errors", F.when(F.col("called"), wrong).otherwise(F.array().cast("array<string>")))
     status = (
         F.when(F.col("n_calls").isNull(), "orphan_result")
         .when(F.size("errors") > 0, "invalid")
@@ -154,7 +164,7 @@ def link_tool_calls(
         F.coalesce("n_calls", zero).alias("n_calls"), F.coalesce("n_results", zero).alias("n_results"),
         F.coalesce("ready_turn", "r.turn").alias("ready_turn"),
         F.when(F.col("waits").isNull(), 0).otherwise(F.col("level")).alias("level"),
-        message.alias("message"),
+        F.when(F.col("call_id").isNotNull(), message).alias("message"),
     )
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from grainguard.llm import toolcalls
+from grainguard.llm.queries import ORACLE, QUERIES
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>, status int"
 RESULTS = "conv_id long, call_id string, turn long, content string, level string"
@@ -97,3 +98,17 @@ def test_repeats_nulls_and_hot_conversation(spark):
 def test_empty_tables(spark):
     assert linked(spark, [], []) == {}
     assert [r.status for r in linked(spark, [], [(1, "a", 0, "x")]).values()] == ["orphan_result"]
+
+
+def test_rows_without_conversation_or_turn_against_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["a", "bb", "seven77", "x" * 11, "four", "threefivexthree", "y" * 13]
+    rows = [(conv, turn, role, t) for conv, turn in [(None, 2), (5, None), (None, None)] for role in ("user", "assistant") for t in texts]
+    rows += [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "dddd"), (2, 3, "assistant", "orphan")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    wanted = db.execute(ORACLE["op8_tool_call_linking"]).fetchall()
+    got = [tuple(r) for r in QUERIES["op8_tool_call_linking"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) - 1
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
