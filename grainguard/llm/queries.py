@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainguard.llm import bpe, decontam, neardup, outliers, pii, repeats, sharding, tokencoder, toolcalls, urls
+from grainguard.llm import bpe, decontam, neardup, outliers, pii, repeats, sharding, tokencoder, toolcalls, transducer, urls
 from grainguard.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,13 @@ def op10_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-ids")
     tokencoder.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, folder)
     return tokencoder.digests(spark.read.parquet(folder))
+
+
+@query
+def op11_streaming_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return transducer.digests(transducer.encode(docs, tokenizer, decoded="decoded"))
