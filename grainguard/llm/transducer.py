@@ -37,7 +37,8 @@ SHORT = 64
 CACHED_WORDS = 400_000
 CACHED_LETTERS = 256
 # White space as the tokenizers library knows it.
-SPACE = regex.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACE = regex.compile("[" + "".join(map(chr, WHITE)) + "]+")
 
 
 def byte_letters() -> list[str]:

@@ -40,6 +40,12 @@ def test_any_text(text):
     assert own(text) == ids_of(text)
 
 
+def test_every_blank_and_letter():
+    for code in [*range(0x3100), 0xFEFF, 0x1F600]:
+        text = f"a{chr(code)}b"
+        assert own(text) == ids_of(text), hex(code)
+
+
 @pytest.mark.parametrize("letters", ["ab", "aeinrst", "theinro", "abcdefghijklmnopqrstuvwxyz", "éèaß"])
 def test_long_words_in_small_steps(letters, monkeypatch):
     monkeypatch.setattr(transducer, "STEP", 16)
