@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainguard.llm import bpe, decontam, neardup, outliers, pii, repeats, sharding, tokencoder, toolcalls, transducer, urls
+from grainguard.llm import bpe, decontam, lexical, neardup, outliers, pii, repeats, sharding, tokencoder, toolcalls, transducer, urls
 from grainguard.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +248,31 @@ def op11_streaming_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokenizer = file.read()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return transducer.digests(transducer.encode(docs, tokenizer, decoded="decoded"))
+
+
+@query
+def op13_shared_subexpressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_shared_subexpressions"] = """
+WITH folded AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), terms AS (
+  SELECT kind, id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM folded
+), counts AS (SELECT id, t, count(*) AS tf FROM terms WHERE kind = 'd' GROUP BY id, t
+), lengths AS (SELECT id, count(*) AS n FROM terms WHERE kind = 'd' GROUP BY id
+), totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals GROUP BY t
+), scored AS (
+  SELECT i.id AS item_id, c.id AS doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // words))))) AS BIGINT) AS score
+  FROM (SELECT DISTINCT id, t FROM terms WHERE kind = 'i') i JOIN counts c ON c.t = i.t JOIN weights g ON g.t = i.t
+  JOIN lengths l ON l.id = c.id, totals GROUP BY i.id, c.id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
