@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainguard.llm import bpe, decontam, lexical, neardup, outliers, pii, repeats, sharding, tokencoder, toolcalls, transducer, urls
+from grainguard.llm import bpe, decontam, lexical, neardup, outliers, pii, prefixtrie, repeats, sharding, tokencoder, toolcalls, transducer, urls
 from grainguard.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,6 +250,49 @@ def op11_streaming_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.digests(transducer.encode(docs, tokenizer, decoded="decoded"))
 
 
+@query
+def op12_rollup_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op12_rollup_trie"] = """
+WITH table_ AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), plain AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS p,
+    {'role': role, 'text': text} AS said FROM plain
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295,
+    list_transform(regexp_extract_all(CAST(conv_id AS VARCHAR), '.'), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), table_
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, p, said FROM convs c JOIN turns t ON t.conv_id = c.base AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, said FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND p > h
+), paths AS (
+  SELECT c.conv_id, coalesce(path, []) AS path, len(coalesce(path, [])) AS n
+  FROM convs c LEFT JOIN (SELECT conv_id, list(said ORDER BY part, p) AS path FROM rebuilt GROUP BY conv_id) r USING (conv_id)
+), nodes AS (
+  SELECT path[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM (SELECT conv_id, path, n, unnest(range(n + 1)) AS d FROM paths) GROUP BY ALL
+), children AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), counted AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1)
+    * len(regexp_extract_all(n.k[-1]['text'], '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN children c ON c.k = n.k
+), below AS (
+  SELECT k[1:a] AS k, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT k, saved, n_children, unnest(range(d + 1)) AS a FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, CAST(c.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+  CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below b ON b.k = c.k LEFT JOIN nodes p ON c.d > 0 AND p.k = c.k[1:c.d - 1]
+"""
+
+
 @query
 def op13_shared_subexpressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
