@@ -10,7 +10,7 @@ emitted; the rest is read on from there, as no merge crosses a final border.
 
 A word of any length is coded with a buffer of ``STEP`` symbols, the lookahead and one token. The decoder keeps at
 most three bytes of an unfinished character. Only the map side works: no shuffle, so copies and hot sources cost
-nothing extra. Besides the row itself, a task holds a block of texts and a bounded cache of words.
+nothing extra. Besides the row itself, a task holds a block of texts and bounded caches of words and pieces.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import codecs
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ from grainguard.session import ship
 
 STEP = 4096
 SHORT = 64
-CACHED_WORDS = 400_000
+NEVER = 1 << 62
+ID = (1 << 32) - 1
+CACHED = 200_000
 CACHED_LETTERS = 256
 # White space as the tokenizers library knows it.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -63,38 +67,60 @@ def sufficient_lookahead(merges: list[tuple[str, str]], end: str) -> int:
     return most
 
 
-def merge(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
-    """Merge the leftmost pair of the lowest rank until none is left; ``pairs`` maps left << 32 | right to (rank, id)."""
+def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """Merge the leftmost pair of the lowest rank until none is left; ``pairs`` maps left << 32 | right to rank << 32 | id."""
+    ids, find = list(ids), pairs.get
+    ranks = [find(a << 32 | b, NEVER) for a, b in pairwise(ids)]
     if len(ids) <= SHORT:
-        ids = list(ids)
-        while len(ids) > 1:
-            found = [(rank[0], k, rank[1]) for k in range(len(ids) - 1) if (rank := pairs.get(ids[k] << 32 | ids[k + 1]))]
-            if not found:
-                break
-            _, k, new = min(found)
+        while ranks and (best := min(ranks)) != NEVER:
+            k = ranks.index(best)
+            new = best & ID
             ids[k : k + 2] = [new]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = find(ids[k - 1] << 32 | new, NEVER)
+            if k < len(ranks):
+                ranks[k] = find(new << 32 | ids[k + 1], NEVER)
         return ids
-    ids, n = list(ids), len(ids)
+    n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(rank[0], k, key) for k in range(n - 1) if (rank := pairs.get(key := ids[k] << 32 | ids[k + 1]))]
+    heap = [(rank, k, ids[k] << 32 | ids[k + 1]) for k, rank in enumerate(ranks) if rank != NEVER]
     heapq.heapify(heap)
     while heap:
-        _, k, key = heapq.heappop(heap)
+        rank, k, key = heapq.heappop(heap)
         j = after[k]
         if j >= n or ids[k] < 0 or ids[k] << 32 | ids[j] != key:
             continue  # one of both has been merged meanwhile
-        ids[k], ids[j] = pairs[key][1], -1
+        ids[k], ids[j] = rank & ID, -1
         j = after[k] = after[j]
         if j < n:
             before[j] = k
-            if rank := pairs.get(key := ids[k] << 32 | ids[j]):
-                heapq.heappush(heap, (rank[0], k, key))
+            if rank := find(key := ids[k] << 32 | ids[j]):
+                heapq.heappush(heap, (rank, k, key))
         i = before[k]
-        if i >= 0 and (rank := pairs.get(key := ids[i] << 32 | ids[k])):
-            heapq.heappush(heap, (rank[0], i, key))
+        if i >= 0 and (rank := find(key := ids[i] << 32 | ids[k])):
+            heapq.heappush(heap, (rank, i, key))
     return [i for i in ids if i >= 0]
 
 
+class Remembered(dict):
+    """Values by key, made when missing. Two generations of ``CACHED`` keys are kept, so frequent ones stay."""
+
+    def __init__(self, make: Callable):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHED_LETTERS:
+            if len(self) >= CACHED:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def parts_of(spec: dict, kind: str, inner: str) -> list[dict]:
     part = spec.get(kind) or {"type": "Sequence", inner: []}
     return part[inner] if part["type"] == "Sequence" else [part]
@@ -138,12 +164,12 @@ class Transducer:
         self.endings = {letter: vocab[letter + self.end] for letter in letters}
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         known = {*letters, *(letter + self.end for letter in letters)}
-        self.pairs: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}
         for rank, (left, right) in enumerate(merges):
             if left not in known or right not in known:
                 raise ValueError(f"rule {rank} uses a token that no earlier rule makes")
             known.add(left + right)
-            self.pairs[vocab[left] << 32 | vocab[right]] = (rank, vocab[left + right])
+            self.pairs[vocab[left] << 32 | vocab[right]] = rank << 32 | vocab[left + right]
         self.lookahead = sufficient_lookahead(merges, self.end)
         self.tokens = {i: token for token, i in vocab.items()} | {i: token for token, i in self.added.items()}
         self.widths = {i: len(token) - (len(self.end) if self.end and token.endswith(self.end) else 0) for token, i in vocab.items()}
@@ -153,8 +179,8 @@ class Transducer:
         own = Tokenizer.from_str(file)
         self.normalize = own.normalizer.normalize_str if own.normalizer else str
         self.split = own.pre_tokenizer.pre_tokenize_str
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words = Remembered(lambda word: b"".join(self.encode_word(word)))
+        self.pieces = Remembered(lambda piece: b"".join(array("i", ids).tobytes() for ids in self.stable(piece)))
 
     def stable(self, piece: str) -> Iterator[list[int]]:
         """Token ids of one piece, as soon as nothing that follows can change them."""
@@ -174,45 +200,26 @@ class Transducer:
             pending = pending[emitted:]
             yield ids
 
-    def pieces_of(self, word: str) -> Iterator[str]:
+    def pieces_of(self, word: str) -> Iterable[str]:
         """The pieces of a run without white space, in byte letters."""
-        if word.isascii():
-            word = word.lower() if self.lower else word
-            for found in self.pattern.finditer(word):
-                yield found[0].translate(self.letters)
-        else:
-            yield from (piece for piece, _ in self.split(self.normalize(word)))
-
-    def encode_word(self, word: str) -> Iterator[list[int]]:
+        if not word.isascii():
+            return (piece for piece, _ in self.split(self.normalize(word)))
+        word = word.lower() if self.lower else word
+        if not word.isprintable():  # printable ASCII letters stand for themselves
+            return (piece.translate(self.letters) for piece in self.pattern.findall(word))
+        return self.pattern.findall(word)
+
+    def encode_word(self, word: str) -> Iterator[bytes]:
+        """Ids of a run without white space as native 32-bit integers."""
         for part in self.specials.split(word) if self.specials else [word]:
             if part in self.added:
-                yield [self.added[part]]
-                continue
-            for piece in self.pieces_of(part):
-                if len(piece) > CACHED_LETTERS:
-                    yield from self.stable(piece)
-                    continue
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    if len(self.pieces) >= CACHED_WORDS:
-                        self.pieces.clear()
-                    ids = self.pieces[piece] = [i for part in self.stable(piece) for i in part]
-                yield ids
-
-    def word(self, word: str) -> bytes:
-        """Ids of a run without white space as little-endian 32-bit integers."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = b"".join(np.array(part, "<i4").tobytes() for part in self.encode_word(word))
-            if len(word) <= CACHED_LETTERS:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+                yield array("i", [self.added[part]]).tobytes()
+            else:
+                yield from map(self.pieces.__getitem__, self.pieces_of(part))
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text; a text longer than a block is taken word by word."""
-        return b"".join(map(self.word, SPACE.split(text)))
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text, word by word."""
+        return np.frombuffer(b"".join(map(self.words.__getitem__, SPACE.split(text))), "i4")
 
 
 class Decoder:
@@ -298,7 +305,7 @@ def encode(docs: DataFrame, file: str, text: str = "text", decoded: str | None =
         model = transducer_of(*shared.value)
         for batch in batches:
             for part, texts in blocks(batch, text):
-                ids = [np.frombuffer(model.encode(t), "<i4") for t in texts]
+                ids = [model.encode(t) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 columns = [lists, pa.array(np.diff(ends).astype(np.int64))]
