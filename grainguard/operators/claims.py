@@ -5,23 +5,20 @@ ones are duplicates once the claim completed, are in flight while the claim is
 younger than the stale limit, and otherwise take the claim over. A handled
 failure releases the claim at once.
 
-Everything an attempt must know of its predecessors is one number, the gate:
-attempts from that time on are accepted. So a key whose attempts fill many
-chunks needs one small table per chunk (gate in -> gate out), which is then
-composed chunk by chunk.
+Attempts that do not fail are spaced: the next one that is accepted is the first that comes at least the stale limit
+later, and none comes after a completed one. All else follows from that chain. A key of up to ``FOLDED`` attempts is
+folded as one array. A longer one finds each attempt's successor by an as-of lookup and marks the chain from its
+first attempt by doubling the steps, so its work is spread over all tasks, in a number of rounds that grows with the
+logarithm of the chain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainguard.plans.sorted_chunks import CHUNK, sorted_chunks
-from grainguard.session import ship
+from grainguard.plans.sorted_chunks import HOT_KEY_SETTING, carry_last, exact_ranks, next_value
+from grainguard.session import cut
 
 # Gates outside the range of any timestamp: no claim yet / completed for good.
 FREE = -(2**62)
@@ -49,20 +46,8 @@ def fold(t: list, completed: list, failed: list, gate: int, stale: int) -> tuple
     return found, gate
 
 
-def _gate_table(t: np.ndarray, completed: np.ndarray, failed: np.ndarray, stale: int):
-    """(highest gate, gate out) steps of one sorted chunk; a gate above the last step passes through."""
-    n = len(t)
-    gates = np.where(completed, DONE, np.where(failed, FREE, t + stale))
-    following = np.where(completed, n, np.maximum(np.arange(1, n + 1), np.searchsorted(t, gates)))
-    out = gates.tolist()
-    for i, j in zip(range(n - 1, -1, -1), following[::-1].tolist()):
-        if j < n:
-            out[i] = out[j]
-    out = np.array(out, dtype=np.int64)
-    # Gates that come in are DONE, or at most the first time plus the stale limit.
-    reachable = min(n, int(np.searchsorted(t, t[0] + stale)) + 1)
-    step_ends = np.append(out[1:reachable] != out[: reachable - 1], True)
-    return t[:reachable][step_ends], out[:reachable][step_ends]
+FOLDED = 4096
+OUTCOMES = ["processed", "duplicate", "in_flight", "reclaimed"]
 
 
 def claim_events(
@@ -74,67 +59,88 @@ def claim_events(
     failed: str | None = None,
     stale_seconds: int = 300,
 ) -> DataFrame:
-    """Outcome per attempt: processed, duplicate, in_flight or reclaimed. ``attempt`` is unique per key."""
-    ship(deliveries.sparkSession)
+    """Outcome per attempt: processed, duplicate, in_flight or reclaimed.
+
+    ``attempt`` is unique per key and orders attempts of the same time. A NULL key is a key like any other, a NULL time
+    comes before all others, a NULL flag is false.
+    """
+    spark = deliveries.sparkSession
     stale = stale_seconds * 1_000_000
     rows = deliveries.select(
-        F.col(key).alias("key"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
+        F.struct(F.col(key).alias("key")).alias("key"),
+        F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(FREE // 2)).alias("t"),
         F.col(attempt).alias("attempt"),
-        F.col(completed).alias("completed"),
-        (F.col(failed) if failed else F.lit(False)).alias("failed"),
+        F.coalesce(F.col(completed), F.lit(False)).alias("completed"),
+        F.coalesce(F.col(failed) if failed else F.lit(False), F.lit(False)).alias("failed"),
     )
-    key_type = rows.schema["key"].dataType.simpleString()
-    attempt_type = rows.schema["attempt"].dataType.simpleString()
-    rows = sorted_chunks(rows, ["key"], ["t", "attempt"], sort_inside=True)
-
-    # Neighbouring chunks share at most one key, so fewer keys than chunks span several.
-    spans = rows.groupBy("key").agg(F.min(CHUNK).alias("a"), F.max(CHUNK).alias("b")).where("a < b").select("key")
-
-    def tables(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "attempt"])
-        until, out = _gate_table(
-            group["t"].to_numpy(), group["completed"].to_numpy(), group["failed"].to_numpy(), stale
+    limit = min(FOLDED, int(spark.conf.get(HOT_KEY_SETTING, str(FOLDED))))
+    long_keys = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key"))
+    if long_keys.isEmpty():
+        found = folded(rows, stale)
+    else:
+        short = folded(rows.join(long_keys, "key", "left_anti"), stale)
+        found = short.union(chained(cut(rows.join(long_keys, "key", "left_semi")), stale))
+    return found.select(F.col("key.key").alias(key), F.col("attempt").alias(attempt), "outcome")
+
+
+def folded(rows: DataFrame, stale: int) -> DataFrame:
+    """Keys of few attempts: each one's attempts, sorted in an array, are taken in order with the gate as state."""
+    in_order = F.sort_array(F.collect_list(F.struct("t", "attempt", "completed", "failed")))
+
+    def step(state: Column, a: Column) -> Column:
+        accepted = a["t"] >= state["gate"]
+        left = F.when(a["completed"], F.lit(DONE)).when(a["failed"], F.lit(FREE)).otherwise(a["t"] + F.lit(stale))
+        code = (
+            F.when(accepted, F.when(state["gate"] == FREE, 0).otherwise(3))
+            .when(state["gate"] == DONE, 1)
+            .otherwise(2)
+            .cast("tinyint")
         )
-        return pd.DataFrame({"key": group["key"].iloc[0], CHUNK: group[CHUNK].iloc[0], "until": until, "gate_out": out})
-
-    def compose(steps: pd.DataFrame) -> pd.DataFrame:
-        gate, found = FREE, []
-        for chunk, part in steps.groupby(CHUNK, sort=True):
-            found.append((steps["key"].iloc[0], chunk, gate))
-            if gate != DONE:
-                part = part.sort_values("until")
-                i = int(np.searchsorted(part["until"].to_numpy(), gate))
-                if i < len(part):
-                    gate = int(part["gate_out"].iloc[i])
-        return pd.DataFrame(found, columns=["key", CHUNK, "gate_in"])
-
-    steps = (
-        rows.join(F.broadcast(spans), "key", "left_semi")
-        .groupBy("key", CHUNK)
-        .applyInPandas(tables, f"key {key_type}, {CHUNK} int, until bigint, gate_out bigint")
+        return F.struct(F.when(accepted, left).otherwise(state["gate"]).alias("gate"), F.concat(state["codes"], F.array(code)).alias("codes"))
+
+    start = F.struct(F.lit(FREE).alias("gate"), F.array().cast("array<tinyint>").alias("codes"))
+    labelled = rows.groupBy("key").agg(in_order.alias("a")).select("key", "a", F.aggregate("a", start, step)["codes"].alias("codes"))
+    pairs = labelled.select("key", F.explode(F.arrays_zip(F.col("a.attempt").alias("attempt"), "codes")).alias("p"))
+    return pairs.select("key", F.col("p.attempt").alias("attempt"), F.get(F.array(*map(F.lit, OUTCOMES)), F.col("p.codes")).alias("outcome"))
+
+
+def chained(rows: DataFrame, stale: int) -> DataFrame:
+    """Keys of many attempts: the chain of accepted attempts that did not fail, then every attempt by its place in it."""
+    ranked = cut(exact_ranks(rows, ["key"], "t", "attempt", kinds=["row_number"]).withColumnRenamed("row_number", "pos"))
+    spaced = ranked.where("NOT failed")
+    # Backwards in time, the last attempt met at or before a probe is the first one at or after its time.
+    here = spaced.select("key", (-F.col("t")).alias("back"), F.lit(0).alias("probe"), (-F.col("pos")).alias("last"), "pos", F.col("pos").alias("met"))
+    ahead = spaced.where("NOT completed").select(
+        "key", (-(F.col("t") + F.lit(stale))).alias("back"), F.lit(1).alias("probe"), (-F.col("pos")).alias("last"), "pos", F.lit(None).cast("long").alias("met")
+    )
+    met = carry_last(here.union(ahead), ["key"], ["back", "probe", "last"], "met", "next")
+    jumps = cut(met.where("probe = 1 AND next IS NOT NULL").select("key", "pos", "next"))
+    chain = reached = cut(spaced.groupBy("key").agg(F.min("pos").alias("pos")))
+    while True:  # after k rounds the chain's first 2^k attempts are marked
+        reached = cut(chain.join(jumps, ["key", "pos"]).select("key", F.col("next").alias("pos")))
+        if reached.isEmpty():
+            break
+        chain = cut(chain.union(reached))
+        further = jumps.select("key", F.col("pos").alias("next"), F.col("next").alias("after"))
+        jumps = cut(jumps.join(further, ["key", "next"]).select("key", "pos", F.col("after").alias("next")))
+
+    claims = spaced.join(chain, ["key", "pos"]).select(
+        "key", (F.col("pos") * 2 + 1).alias("place"), F.struct("t", "completed").alias("claim"), F.lit(None).cast(ranked.schema["attempt"].dataType).alias("attempt"),
+        "t", "failed", F.lit(False).alias("asks"),
+    )
+    asking = ranked.select(
+        "key", (F.col("pos") * 2).alias("place"), F.lit(None).cast("struct<t:bigint,completed:boolean>").alias("claim"), "attempt", "t", "failed", F.lit(True).alias("asks")
     )
-    gates = steps.groupBy("key").applyInPandas(compose, f"key {key_type}, {CHUNK} int, gate_in bigint")
-
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, gate = None, FREE
-        for batch in batches:
-            if batch.empty:
-                continue
-            keys, chunks = batch["key"].to_numpy(), batch[CHUNK].to_numpy()
-            t, done, bad, gate_in = (batch[c].tolist() for c in ("t", "completed", "failed", "gate_in"))
-            changes = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
-            edges = [0, *changes.tolist(), len(keys)]
-            found = []
-            for a, b in zip(edges, edges[1:]):
-                if (keys[a], chunks[a]) != current:
-                    current, gate = (keys[a], chunks[a]), gate_in[a]
-                part, gate = fold(t[a:b], done[a:b], bad[a:b], gate, stale)
-                found += part
-            yield pd.DataFrame({key: batch["key"], attempt: batch["attempt"], "outcome": found})
-
-    # Sorted chunks are read back as written; the broadcast join (fewer rows than twice the chunks) keeps their order.
-    entered = rows.join(F.broadcast(gates), ["key", CHUNK], "left").withColumn(
-        "gate_in", F.coalesce("gate_in", F.lit(FREE))
+    seen = carry_last(asking.union(claims), ["key"], ["place"], "claim", "held").where("asks")
+    held = F.col("held")
+    accepted = held.isNull() | (~held["completed"] & (F.col("t") >= held["t"] + F.lit(stale)))
+    seen = seen.withColumns({"accepted": accepted, "back": -F.col("place")})
+    seen = seen.withColumn("released", F.col("accepted") & F.col("failed"))
+    # Right after an accepted failure, and only there, a later attempt finds the claim free again.
+    seen = next_value(seen, ["key"], ["back"], "released", "free")
+    outcome = (
+        F.when(F.col("accepted"), F.when(F.coalesce("free", held.isNull()), "processed").otherwise("reclaimed"))
+        .when(held["completed"], "duplicate")
+        .otherwise("in_flight")
     )
-    return entered.mapInPandas(label, f"`{key}` {key_type}, `{attempt}` {attempt_type}, outcome string")
+    return seen.select("key", "attempt", outcome.alias("outcome"))

@@ -6,9 +6,8 @@ from grainguard.bindings import QUERIES
 from tests.oracle import DATA
 
 FOLDER = f"{DATA}/sf0.001"
-# The one operator whose purpose is a product, and those that fold events in Python.
+# The one operator whose purpose is a product.
 PRODUCT = {"cross_join_bounded"}
-PYTHON = {"claim_events", "claim_events_two_days"}
 STREAMS = {k for k in QUERIES if k.startswith("stream_")}
 
 
@@ -20,8 +19,7 @@ def plan(spark, key):
 def test_no_products_and_no_python(spark, key):
     text = plan(spark, key)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if key not in PYTHON:
-        assert "Python" not in text and "InPandas" not in text
+    assert "Python" not in text and "InPandas" not in text
 
 
 def test_filters_and_columns_reach_the_scan(spark):
