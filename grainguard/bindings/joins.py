@@ -263,6 +263,25 @@ def _(t):
     )
 
 
+# Every tier stays valid for 150 days beyond its successor's start.
+_OVERLAPPING = "h AS (SELECT cust, tier, valid_from, valid_to + INTERVAL 150 DAYS AS valid_to FROM customer_history)"
+
+
+def _overlapping(t):
+    return t.customer_history.withColumn("valid_to", F.col("valid_to") + F.expr("INTERVAL 150 DAYS"))
+
+
+@bind(
+    "effective_date_join_overlapping",
+    f"""
+    WITH {_DATED_FACTS}, {_OVERLAPPING}
+    SELECT f.*, h.tier FROM f JOIN h
+      ON h.cust = f.o_custkey AND h.valid_from <= f.l_shipdate AND (h.valid_to IS NULL OR f.l_shipdate < h.valid_to)""",
+)
+def _(t):
+    return J.effective_date_join(_dated_facts(t), "o_custkey", "l_shipdate", _overlapping(t), "cust", "valid_from", "valid_to", ["tier"])
+
+
 @bind(
     "scd_version_inflation",
     f"""

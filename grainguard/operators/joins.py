@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType
 
+from grainguard.plans.intervals import overlapping_keys, points_in_intervals
 from grainguard.plans.shapes import (
     WIDE,
     as_list,
@@ -28,6 +29,7 @@ from grainguard.plans.shapes import (
     unpivot_row,
 )
 from grainguard.plans.sorted_chunks import carry_last
+from grainguard.session import cut
 
 Keys = str | Sequence[str]
 
@@ -425,25 +427,39 @@ def effective_date_join(
     valid_to: str,
     attributes: Sequence[str],
 ) -> DataFrame:
-    """Give each fact row the version valid at its time: valid_from <= t AND (valid_to IS NULL OR t < valid_to).
+    """Give each fact row every version valid at its time: valid_from <= t AND (valid_to IS NULL OR t < valid_to).
 
-    Versions of one key must not overlap. Facts and versions are merged in time
-    order and the latest version is carried forward, so the work is linear in
-    rows even for a key with millions of both; facts without a valid version drop out.
+    Keys whose versions do not overlap are merged in time order and the latest version is carried forward, linear in
+    rows even for a key with millions of both. Keys with overlapping versions, found by one look at each version's
+    successor, are joined by blocks of facts (``plans.intervals``). Facts without a valid version, a key or a time
+    drop out, and so do versions without a start; empty versions are valid at no time.
     """
     version = F.struct(F.col(valid_to).alias("valid_to"), *attributes)
-    versions = history.where(F.col(valid_to).isNull() | (F.col(valid_from) < F.col(valid_to))).select(
-        F.col(history_key).alias("_key"), F.col(valid_from).alias("_t"), F.lit(0).alias("_kind"), version.alias("_version")
+    begun = F.col(valid_from).isNotNull() & (F.col(valid_to).isNull() | (F.col(valid_from) < F.col(valid_to)))
+    versions = history.where(begun & F.col(history_key).isNotNull()).select(
+        F.col(history_key).alias("_key"), F.col(valid_from).alias("_t"), F.col(valid_to).alias("_until"), version.alias("_version")
     )
-    facts = fact.where(F.col(fact_key).isNotNull()).select(
-        F.col(fact_key).alias("_key"), F.col(fact_ts).alias("_t"), F.lit(1).alias("_kind"), F.struct(*fact.columns).alias("_fact")
+    facts = fact.where(F.col(fact_key).isNotNull() & F.col(fact_ts).isNotNull()).select(
+        F.col(fact_key).alias("_key"), F.col(fact_ts).alias("_t"), F.struct(*fact.columns).alias("_fact")
     )
-    merged = versions.unionByName(facts, allowMissingColumns=True)
-    found = carry_last(merged, ["_key"], ["_t", "_kind"], "_version", "_current").where("_kind = 1")
-    valid = F.col("_current").isNotNull() & (
-        F.col("_current.valid_to").isNull() | (F.col("_t") < F.col("_current.valid_to"))
+    result = ["_fact.*", *[F.col(f"_version.{a}").alias(a) for a in attributes]]
+    crossing = cut(overlapping_keys(versions, "_key", "_t", "_until"))
+    if crossing.isEmpty():
+        return _one_version(facts, versions).select(*result)
+    apart = _one_version(facts.join(crossing, "_key", "left_anti"), versions.join(crossing, "_key", "left_anti"))
+    own = cut(facts.join(crossing, "_key", "left_semi").withColumn("_id", F.monotonically_increasing_id()))
+    pairs = points_in_intervals(own, "_t", "_id", versions.join(crossing, "_key", "left_semi"), "_t", "_until", "_key", "_version")
+    return apart.select("_fact", "_version").union(own.join(pairs, "_id").select("_fact", "_version")).select(*result)
+
+
+def _one_version(facts: DataFrame, versions: DataFrame) -> DataFrame:
+    """The version of each fact, where a key has one at a time."""
+    merged = versions.select("_key", "_t", F.lit(0).alias("_kind"), F.col("_version").alias("_v")).unionByName(
+        facts.withColumn("_kind", F.lit(1)), allowMissingColumns=True
     )
-    return found.where(valid).select("_fact.*", *[F.col(f"_current.{a}").alias(a) for a in attributes])
+    found = carry_last(merged, ["_key"], ["_t", "_kind"], "_v", "_version").where("_kind = 1")
+    ends = F.col("_version.valid_to")
+    return found.where(F.col("_version").isNotNull() & (ends.isNull() | (F.col("_t") < ends)))
 
 
 def scd_version_inflation(

@@ -32,7 +32,7 @@ def test_matches_oracle(spark, con, key):
 
 
 HOT = [
-    "deterministic_rank", "deterministic_rank_hot_partition", "effective_date_join", "scd_version_inflation", "quota_gate",
+    "deterministic_rank", "deterministic_rank_hot_partition", "effective_date_join", "effective_date_join_overlapping", "scd_version_inflation", "quota_gate",
     "claim_events", "claim_events_two_days", "synth_fk",
 ]
 
