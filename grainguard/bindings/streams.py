@@ -9,7 +9,7 @@ from grainguard.bindings.history import COUNTS_SQL, SCORE_SQL
 from grainguard.bindings.registry import bind
 from grainguard.session import new_folder
 from grainguard.sources.tables import SCHEMAS, VIEWS
-from grainguard.streaming import files, jobs
+from grainguard.streaming import files, jobs, levels
 from grainguard.streaming.claims import outcomes_of, stream_claims
 
 
@@ -19,11 +19,14 @@ def _stream(t, view, table):
     return t.spark.sql(VIEWS[view].replace(f"FROM {table}", "FROM {source}"), source=source)
 
 
-def _parts(t, view, table, purpose, reduce):
-    """The partial results of all micro-batches."""
-    out = new_folder(t.spark, purpose)
-    path = files.run_available(_stream(t, view, table), out, "append", lambda batch, _: reduce(batch))
-    return files.all_batches(t.spark, path)
+def _parts(t, view, table, purpose, reduce, fold):
+    """The partial results of all micro-batches, merged by level."""
+    out = levels.run_folded(_stream(t, view, table), new_folder(t.spark, purpose), lambda batch, _: reduce(batch), fold)
+    return levels.read_parts(t.spark, out)
+
+
+def _added(*keys):
+    return lambda parts: jobs.added_up(parts, keys)
 
 
 @bind(
@@ -31,13 +34,13 @@ def _parts(t, view, table, purpose, reduce):
     "SELECT user_id, strftime(created_at, '%Y-%m') AS month, COUNT(*) AS runs FROM validations GROUP BY 1, 2",
 )
 def _(t):
-    months = jobs.usage_by_month(_parts(t, "validations", "orders", "usage", jobs.stream_usage))
+    months = jobs.usage_by_month(_parts(t, "validations", "orders", "usage", jobs.stream_usage, _added("user_id", "day")))
     return months.withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
 @bind("stream_dedup", "SELECT DISTINCT delivery_key FROM deliveries")
 def _(t):
-    return jobs.keys_of(_parts(t, "deliveries", "events", "dedup", lambda b: jobs.stream_dedup(b, "delivery_key")))
+    return jobs.keys_of(_parts(t, "deliveries", "events", "dedup", lambda b: jobs.stream_dedup(b, "delivery_key"), jobs.keys_of))
 
 
 @bind("stream_claims", _claims("5 MINUTES"))
@@ -61,7 +64,9 @@ def _windows(width, slide):
 
 
 def _digest(t, window, slide=None):
-    df = jobs.digest_of(_parts(t, "validations", "orders", "digest", lambda b: jobs.stream_digest(b, window, slide)))
+    df = jobs.digest_of(_parts(
+        t, "validations", "orders", "digest", lambda b: jobs.stream_digest(b, window, slide), _added("user_id", "window_start")
+    ))
     return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
@@ -89,4 +94,4 @@ def _(t):
     WHERE errors + warnings + suggestions > 0""",
 )
 def _(t):
-    return jobs.risk_of(_parts(t, "findings", "lineitem", "risk", jobs.stream_risk))
+    return jobs.risk_of(_parts(t, "findings", "lineitem", "risk", jobs.stream_risk, _added("query_id")))

@@ -29,20 +29,12 @@ def read_files(
     return reader.parquet(folder)
 
 
-def run_available(
-    df: DataFrame, out: str, mode: str, prepare: Callable[[DataFrame, int], DataFrame] = lambda batch, batch_id: batch
-) -> str:
-    """Run a stream over all data there is and write what ``prepare`` makes of each micro-batch to ``out``.
+def run_batches(df: DataFrame, out: str, mode: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over all data there is, ``write`` taking each micro-batch.
 
-    A batch goes to its own folder and overwrites it, so a batch repeated after
-    a failure leaves no second copy. State lives in RocksDB, outside the heap.
-    The stream's own checkpoint lies beside the output.
+    State lives in RocksDB, outside the heap. The stream's own checkpoint lies in ``out``.
     """
     spark = df.sparkSession
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        prepare(batch, batch_id).write.mode("overwrite").parquet(f"{out}/data/{BATCH}={batch_id}")
-
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, ROCKSDB)
     try:
@@ -59,18 +51,34 @@ def run_available(
         else:
             spark.conf.set(_PROVIDER, before)
     query.awaitTermination()
+
+
+def run_available(
+    df: DataFrame, out: str, mode: str, prepare: Callable[[DataFrame, int], DataFrame] = lambda batch, batch_id: batch
+) -> str:
+    """Run a stream over all data there is and write what ``prepare`` makes of each micro-batch to ``out``.
+
+    A batch goes to its own folder and overwrites it, so a batch repeated after
+    a failure leaves no second copy.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        prepare(batch, batch_id).write.mode("overwrite").parquet(f"{out}/data/{BATCH}={batch_id}")
+
+    run_batches(df, out, mode, write)
     return f"{out}/data"
 
 
+def latest(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last version of each key, with its batch; versions of later batches win."""
+    rest = [c for c in log.columns if c not in keys]
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("_last"))
+    return newest.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
 def latest_per_key(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Fold an update-mode output: the last version of each key wins."""
-    log = spark.read.option("basePath", path).parquet(path)
-    rest = [c for c in log.columns if c not in keys and c != BATCH]
-    return (
-        log.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), BATCH).alias("_last"))
-        .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
-    )
+    return latest(spark.read.option("basePath", path).parquet(path), keys).drop(BATCH)
 
 
 def all_batches(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Running usage, de-duplication, digests, alerts and scores.
 
 What these jobs keep can be added up, so they hold no state: each micro-batch is reduced to its own partial result
-(``stream_*``), written under the batch's number, and the parts are folded when they are read (``*_of``). Rows
-may come in any order and as late as they like; none is dropped, and memory is that of one micro-batch.
+(``stream_*``), parts are merged level by level (``levels``; by ``added_up`` or ``keys_of``), and the few that are left
+are folded when they are read (``*_of``). Rows may come in any order and as late as they like; none is dropped, and
+memory is that of one micro-batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,12 @@ def event_time(column: str) -> Column:
     return F.col(column).cast("timestamp")
 
 
+def added_up(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Parts of a job as one part: every column that is no key is a sum."""
+    sums = [F.sum(c).cast(t).alias(c) for c, t in parts.dtypes if c not in keys]
+    return parts.groupBy(*keys).agg(*sums).select(*parts.columns)
+
+
 def stream_usage(batch: DataFrame, ts: str = "created_at") -> DataFrame:
     """Runs per user and day of one micro-batch."""
     day = F.to_date(event_time(ts)).alias("day")
