@@ -255,6 +255,29 @@ def _(t):
     return G.row_visibility(*_shared(t), 42)
 
 
+_GROUPS_SQL = """
+    sets AS (SELECT user_id, list(DISTINCT team_id ORDER BY team_id) AS teams FROM members GROUP BY 1),
+    groups AS (SELECT user_id, MIN(user_id) OVER (PARTITION BY teams) AS group_id, teams FROM sets)"""
+
+
+@bind("visibility_groups", f"WITH {_SHARED_SQL}, {_GROUPS_SQL} SELECT user_id, group_id FROM groups")
+def _(t):
+    return G.visibility_groups(_shared(t)[1])
+
+
+@bind(
+    "row_visibility_all",
+    f"""
+    WITH {_SHARED_SQL}, {_GROUPS_SQL}
+    SELECT *, owner_id AS owner, CAST(NULL AS BIGINT) AS group_id, TRUE AS can_change FROM rows_ WHERE owner_id IS NOT NULL
+    UNION ALL
+    SELECT r.*, CAST(NULL AS BIGINT), group_id, FALSE FROM rows_ r JOIN groups g ON g.user_id = g.group_id AND r.team_id IN g.teams
+    WHERE shared""",
+)
+def _(t):
+    return G.row_visibility(*_shared(t))
+
+
 @bind(
     "row_visibility_counts",
     f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grainguard.bindings.registry import bind
 from grainguard.operators import joins as J
+from grainguard.operators.jointrees import Joined, join_tree_proof
 
 
 def _money(df, column):
@@ -263,6 +264,47 @@ def _(t):
     )
 
 
+_TREE_SQL = """
+    SELECT COUNT(*) AS joined_rows, COUNT(DISTINCT {pk}) AS grain_rows,
+           ROUND(COUNT(*) / GREATEST(1, COUNT(DISTINCT {pk})), 6) AS factor
+    FROM {tables}"""
+
+
+@bind(
+    "fanout_join_tree",
+    _TREE_SQL.format(
+        pk="c_custkey",
+        tables="""customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+         LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON p_partkey = l_partkey
+         LEFT JOIN events ON user_id = c_custkey AND event_type <> 'error' JOIN supplier ON s_suppkey = l_suppkey""",
+    ),
+)
+def _(t):
+    """Three levels deep, inner and left: customer over orders over lines over part and supplier, beside events."""
+    lines = Joined(
+        t.lineitem, "l_orderkey", "o_orderkey",
+        joins=(Joined(t.part.where("p_size > 25"), "p_partkey", "l_partkey", "left"), Joined(t.supplier, "s_suppkey", "l_suppkey")),
+    )
+    orders = Joined(t.orders, "o_custkey", "c_custkey", joins=(lines,))
+    events = Joined(t.events.where("event_type <> 'error'"), "user_id", "c_custkey", "left")
+    return _round(_big(join_tree_proof(t.customer, "c_custkey", [orders, events]), "joined_rows"), "factor")
+
+
+@bind(
+    "fanout_join_tree_from_the_middle",
+    _TREE_SQL.format(
+        pk="o_orderkey",
+        tables="""orders LEFT JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
+         JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey""",
+    ),
+)
+def _(t):
+    region = Joined(t.region, "r_regionkey", "n_regionkey")
+    nation = Joined(t.nation, "n_nationkey", "c_nationkey", joins=(Joined(t.supplier, "s_nationkey", "n_nationkey"), region))
+    joins = [Joined(t.lineitem, "l_orderkey", "o_orderkey", "left"), Joined(t.customer, "c_custkey", "o_custkey", joins=(nation,))]
+    return _round(_big(join_tree_proof(t.orders, "o_orderkey", joins, pk_unique=True), "joined_rows"), "factor")
+
+
 # Every tier stays valid for 150 days beyond its successor's start.
 _OVERLAPPING = "h AS (SELECT cust, tier, valid_from, valid_to + INTERVAL 150 DAYS AS valid_to FROM customer_history)"
 

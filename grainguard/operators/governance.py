@@ -196,18 +196,45 @@ def approval_backlog(requests: DataFrame, decisions: DataFrame, as_of: str, belo
     )
 
 
-def row_visibility(rows: DataFrame, members: DataFrame, user) -> DataFrame:
-    """Rows (id, owner_id, team_id, shared) one user may read, and whether they may change them.
-
-    Own rows in full; shared rows of the user's teams read-only. One scan, no
-    join result wider than the rows themselves.
+def row_visibility(rows: DataFrame, members: DataFrame, user=None) -> DataFrame:
+    """Rows (id, owner_id, team_id, shared) a user may read, and whether they may change them: own rows in full, shared
+    rows of the user's teams read-only.
+
+    For one ``user``: those rows with ``can_change``; one scan, no join result wider than the rows themselves. For all
+    users (None): each row once per audience, with ``owner`` the user who owns it (NULL for a group) and ``group_id`` the
+    group of ``visibility_groups`` that reads it (NULL for an owner). Users who are in the same teams read the same
+    rows, so rows meet groups and never users; an owner who is in such a group keeps the right to change.
     """
+    if user is None:
+        own = rows.where(F.col("owner_id").isNotNull()).withColumns(
+            {"owner": F.col("owner_id"), "group_id": F.lit(None).cast(members.schema["user_id"].dataType), "can_change": F.lit(True)}
+        )
+        teams = members.join(visibility_groups(members).select("group_id").distinct(), F.col("user_id") == F.col("group_id"), "left_semi")
+        teams = teams.select("team_id", F.col("user_id").alias("group_id")).distinct()
+        shared = rows.where("shared").join(teams, "team_id").select(*rows.columns, "group_id")
+        return own.unionByName(shared.withColumn("can_change", F.lit(False)), allowMissingColumns=True)
     teams = members.where(F.col("user_id") == F.lit(user)).select("team_id").distinct()
     own = rows.where(F.col("owner_id") == F.lit(user)).withColumn("can_change", F.lit(True))
     foreign = rows.where("shared").where(F.col("owner_id").isNull() | (F.col("owner_id") != F.lit(user)))
     return own.unionByName(foreign.join(teams, "team_id", "left_semi").withColumn("can_change", F.lit(False)))
 
 
+def visibility_groups(members: DataFrame) -> DataFrame:
+    """(user_id, group_id): users who are in exactly the same teams share a group, named by its least user.
+
+    A set of teams is compared by its size and 128 bits that are combined map-side (XOR and sum of hashes), so nobody's
+    teams are gathered. Seats without a user or a team are none; users without a seat have no group.
+    """
+    seats = members.where(F.col("user_id").isNotNull() & F.col("team_id").isNotNull()).select("user_id", "team_id").distinct()
+    sets = seats.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("team_id")).alias("a"),
+        F.sum(F.xxhash64(F.lit(1), "team_id").cast("decimal(38,0)")).alias("b"),
+    )
+    groups = sets.groupBy("n", "a", "b").agg(F.min("user_id").alias("group_id"))
+    return sets.join(groups, ["n", "a", "b"]).select("user_id", "group_id")
+
+
 def visibility_counts(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Per user: own rows and foreign shared rows they can read, and teams they may manage.
 
