@@ -40,16 +40,23 @@ class Sql:
     def __init__(self, table, column, seed=SEED):
         self.place, self.seed = f"{table}.{column}" if table else column, seed
 
+    def lanes(self, draw=0):
+        low, high = f"(id % {MODULUS})", f"(id // {MODULUS} % {MODULUS})"
+        first, second = salt(self.seed, self.place, draw), salt(self.seed, f"{self.place}/", draw)
+        a = f"(({low} * {STEP} + {high} * {SECOND_STEP} + {first}) % {MODULUS})"
+        b = f"(({low} * {SECOND_STEP} + {high} * {STEP} + {second}) % {MODULUS})"
+        x = f"(({b} + {a} * ({a} + {SECOND_STEP}) % {MODULUS}) % {MODULUS})"
+        return x, f"(({a} + {x} * ({x} + {STEP}) % {MODULUS}) % {MODULUS})"
+
     def raw(self, draw=0):
-        s = salt(self.seed, self.place, draw)
-        a = f"((id % {MODULUS} * {STEP} + id // {MODULUS} * {SECOND_STEP} + {s}) % {MODULUS})"
-        return f"(({a} * ({a} + {SECOND_STEP}) + {s}) % {MODULUS})"
+        return self.lanes(draw)[1]
 
     def int(self, low, high, draw=0):
         return f"({self.raw(draw)} % {high - low + 1} + {low})"
 
     def wide(self, draw=0):
-        return f"({self.raw(draw)} * {MODULUS} + {self.raw(draw + 1)})"
+        x, y = self.lanes(draw)
+        return f"({x} * {MODULUS} + {y})"
 
     def unit(self, draw=0):
         return f"((CAST({self.raw(draw)} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({MODULUS} AS DOUBLE))"

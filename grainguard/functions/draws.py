@@ -1,6 +1,7 @@
 """Repeatable pseudo-random draws as column expressions: functions of (row id, seed, column, draw) only.
 
-No state, no partition order: any task may compute any row, again and alike.
+No state, no partition order: any task may compute any row, again and alike. A draw has 62 mixed bits, so no two rows
+are tied together through all their columns.
 """
 
 from __future__ import annotations
@@ -28,22 +29,30 @@ class Draws:
         self.seed = seed
         self.place = place
 
-    def raw(self, draw: int = 0) -> Column:
-        """Integer in [0, MODULUS): one linear and one quadratic mixing step, all products inside BIGINT.
+    def lanes(self, draw: int = 0) -> tuple[Column, Column]:
+        """Two integers in [0, MODULUS) that are different for different ids below MODULUS squared.
 
-        Row ids beyond the modulus enter with their quotient as well, so they do not repeat the ids below.
+        The id's remainder and quotient are turned into two numbers by an invertible linear step, and each of these
+        is then moved by a square of the other, which can be undone as well. All products stay inside BIGINT.
         """
-        s = salt(self.seed, self.place, draw)
-        quotient = F.call_function("div", self.row_id, F.lit(MODULUS))
-        a = (self.row_id % MODULUS * STEP + quotient * SECOND_STEP + s) % MODULUS
-        return (a * (a + SECOND_STEP) + s) % MODULUS
+        first, second = salt(self.seed, self.place, draw), salt(self.seed, f"{self.place}/", draw)
+        low, high = self.row_id % MODULUS, F.call_function("div", self.row_id, F.lit(MODULUS)) % MODULUS
+        a = (low * STEP + high * SECOND_STEP + first) % MODULUS
+        b = (low * SECOND_STEP + high * STEP + second) % MODULUS
+        x = (b + a * (a + SECOND_STEP) % MODULUS) % MODULUS
+        return x, (a + x * (x + STEP) % MODULUS) % MODULUS
+
+    def raw(self, draw: int = 0) -> Column:
+        """Integer in [0, MODULUS)."""
+        return self.lanes(draw)[1]
 
     def integer(self, low: int, high: int, draw: int = 0) -> Column:
         return self.raw(draw) % (high - low + 1) + low
 
     def wide(self, low: int, high: int, draw: int = 0) -> Column:
-        """As integer(), from two draws: even over ranges of up to MODULUS squared numbers."""
-        return (self.raw(draw) * MODULUS + self.raw(draw + 1)) % (high - low + 1) + low
+        """As integer(), from both lanes: even over ranges of up to MODULUS squared numbers."""
+        x, y = self.lanes(draw)
+        return (x * MODULUS + y) % (high - low + 1) + low
 
     def unit(self, draw: int = 0) -> Column:
         """Double strictly inside (0, 1)."""

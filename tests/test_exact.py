@@ -67,3 +67,16 @@ def test_clean_files_and_runs(spark):
     assert {tuple(r) for r in S.exit_gate(log, findings, ["run_id"], "query_id", True).collect()} == {(1, 2, 2, 1), (2, 1, 0, 0)}
     summary = {r.query_id: (r.issues, r.risk_score, r.verdict) for r in H.file_summary(log, findings).collect()}
     assert summary[3] == (0, 100, "SAFE") and len(summary) == 3
+
+
+def test_draws_of_ids_that_once_agreed(spark):
+    """Ids with the same 31-bit mix, ids a multiple of the modulus apart, and many random ones: no whole row repeats."""
+    ids = [1000, 2_692_374_532, 1000 + MODULUS, 1000 + 7 * MODULUS, *range(1, 3000), *(i * MODULUS + 1000 for i in range(8, 3000))]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    for place in ("t.c", "t.d"):
+        d = Draws(F.col("id"), 7, place)
+        pairs = df.select(*d.lanes(0)).collect()
+        assert len(set(map(tuple, pairs))) == len(set(ids)) and all(0 <= v < MODULUS for p in pairs for v in p)
+    values = [r[0] / MODULUS for r in df.select(Draws(F.col("id"), 7, "t.c").raw(0)).collect()]
+    assert abs(sum(values) / len(values) - 0.5) < 0.02
+    assert max(abs(sum(v < q for v in values) / len(values) - q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)) < 0.03
