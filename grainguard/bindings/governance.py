@@ -10,6 +10,8 @@ from grainguard.bindings.registry import bind
 from grainguard.operators import governance as G
 from grainguard.operators.claims import claim_events
 from grainguard.operators.history import period_digest
+from grainguard.session import new_folder
+from grainguard.sources import snapshots
 from grainguard.sources.tables import AS_OF
 
 _RUNS_SQL = """
@@ -374,9 +376,7 @@ _KEPT_SQL = f"""
     h AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')"""
 
 
-@bind(
-    "retention_purge",
-    f"""
+_PURGED_SQL = f"""
     WITH {_KEPT_SQL}
     SELECT d.*, CASE WHEN user_id NOT IN (SELECT user_id FROM h) AND CASE category
                WHEN 'history' THEN plan = 'free' AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 12 MONTHS
@@ -384,16 +384,30 @@ _KEPT_SQL = f"""
                WHEN 'logs' THEN created_at < TIMESTAMP '{AS_OF}' - INTERVAL 90 DAYS
                WHEN 'credentials' THEN created_at < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS
                WHEN 'payments' THEN created_at < TIMESTAMP '{AS_OF}' - INTERVAL 84 MONTHS ELSE FALSE END
-             THEN 'purge' ELSE 'keep' END AS action FROM d""",
-)
-def _(t):
+             THEN 'purge' ELSE 'keep' END AS action FROM d"""
+
+
+def _kept(t):
     category = F.lit("account")
     for source, name in (("manual", "history"), ("cursor", "links"), ("copilot", "logs"), ("chatgpt", "credentials"), ("inhouse", "payments")):
         category = F.when(F.col("source") == source, name).otherwise(category)
-    rows = t.validations.join(_plans(t), "user_id", "left").select(
+    return t.validations.join(_plans(t), "user_id", "left").select(
         "id", "user_id", "created_at", F.coalesce("plan", F.lit("free")).alias("plan"), category.alias("category")
     )
-    return G.retention_purge(rows, t.events.where("event_type = 'error'"), AS_OF)
+
+
+@bind("retention_purge", _PURGED_SQL)
+def _(t):
+    return G.retention_purge(_kept(t), t.events.where("event_type = 'error'"), AS_OF)
+
+
+@bind("retention_purge_written", f"SELECT * EXCLUDE (action) FROM ({_PURGED_SQL}) WHERE action = 'keep'")
+def _(t):
+    """Rows in the order they were made, so that old ones share files and the others' files stay as they are."""
+    root = new_folder(t.spark, "kept")
+    snapshots.create(_kept(t).repartitionByRange(8, "created_at"), root)
+    G.purge_table(t.spark, root, t.events.where("event_type = 'error'"), AS_OF)
+    return snapshots.read(t.spark, root)
 
 
 @bind(
@@ -422,6 +436,34 @@ def _erased(t):
     return G.erase_accounts(tables, requests, AS_OF)
 
 
+@bind(
+    "erase_accounts_written",
+    f"""
+    SELECT 'validations' AS table_name, id AS row_id, user_id FROM validations WHERE user_id NOT IN ({_GONE})
+    UNION ALL SELECT 'findings', f.query_id, CAST(NULL AS BIGINT) FROM findings f
+      WHERE f.query_id NOT IN (SELECT id FROM validations WHERE user_id IN ({_GONE}))
+    UNION ALL SELECT 'audit', attempt, CASE WHEN user_id NOT IN ({_GONE}) THEN user_id END FROM deliveries""",
+)
+def _(t):
+    requests = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    made = {"validations": t.validations, "findings": t.findings, "audit": t.deliveries.select("attempt", "user_id", "kind")}
+    roots = {name: new_folder(t.spark, name) for name in made}
+    for name, df in made.items():
+        snapshots.create(df, roots[name])
+    G.erase_from_tables(t.spark, {
+        "validations": ("delete", roots["validations"], "user_id"),
+        "findings": ("cascade", roots["findings"], "query_id", "validations", "id"),
+        "audit": ("anonymise", roots["audit"], "user_id"),
+    }, requests)
+    left = {name: snapshots.read(t.spark, root) for name, root in roots.items()}
+    nobody = F.lit(None).cast("long").alias("user_id")
+    return (
+        left["validations"].select(F.lit("validations").alias("table_name"), F.col("id").alias("row_id"), "user_id")
+        .union(left["findings"].select(F.lit("findings"), "query_id", nobody))
+        .union(left["audit"].select(F.lit("audit"), "attempt", "user_id"))
+    )
+
+
 @bind("erase_accounts", f"SELECT * FROM validations WHERE user_id NOT IN ({_GONE})")
 def _(t):
     return _erased(t)["validations"]

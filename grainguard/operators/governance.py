@@ -1,19 +1,21 @@
 """Governance jobs on tables: usage, quotas, subscriptions, approvals, visibility, retention, erasure, alerts.
 
-Tables are immutable snapshots: an upsert or purge returns the next snapshot,
-and the caller writes it to a new place.
+Tables are immutable snapshots: an upsert or purge returns the next snapshot, and the caller writes it to a new
+place. Purging and erasing can also be written back to tables of ``sources.snapshots``, file by file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainguard.operators.times import days_before, naive
 from grainguard.plans.shapes import ratio, salted_left_join, total
 from grainguard.plans.sorted_chunks import any_over_limit, exact_ranks
+from grainguard.sources.snapshots import ACTION, ALTER, DROP, KEEP, write_back
+from grainguard.sources.snapshots import read as read_snapshot
 
 
 def _month(ts: str | Column) -> Column:
@@ -336,6 +338,45 @@ def retention_purge(df: DataFrame, holds: DataFrame, as_of: str, policy: Sequenc
     )
 
 
+def purge_table(spark: SparkSession, root: str, holds: DataFrame, as_of: str, policy: Sequence[tuple] = RETENTION) -> dict:
+    """``retention_purge`` written back to a snapshot table: files with a row to purge are rewritten without it."""
+
+    def change(rows: DataFrame) -> DataFrame:
+        marked = retention_purge(rows, holds, as_of, policy)
+        return marked.withColumn(ACTION, F.when(F.col("action") == "purge", DROP).otherwise(KEEP))
+
+    return write_back(spark, root, change)
+
+
+def erase_from_tables(spark: SparkSession, tables: Mapping[str, tuple], requests: DataFrame) -> dict[str, dict]:
+    """``erase_accounts`` written back: files with rows of users who asked for it are rewritten without them, or with the
+    owner set to NULL.
+
+    ``tables`` maps a name to ("delete", root, user column), ("anonymise", root, user column) or ("cascade", root,
+    parent id, parent table name, parent key). What hangs on a table goes before it, so a run that dies halfway still
+    finds the parents and can be repeated.
+    """
+    gone = requests.select(F.col("user_id").alias("_gone")).where("_gone IS NOT NULL").distinct()
+
+    def marked(rows: DataFrame, column: str, ids: DataFrame, action: str) -> DataFrame:
+        found = rows.join(ids.select(F.col("_gone").alias("_id"), F.lit(action).alias("_hit")), F.col(column) == F.col("_id"), "left")
+        return found.withColumn(ACTION, F.coalesce("_hit", F.lit(KEEP)))
+
+    def change(how: str, args: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+        if how == "delete":
+            return lambda rows: marked(rows, args[0], gone, DROP)
+        if how == "anonymise":
+            return lambda rows: marked(rows, args[0], gone, ALTER).withColumn(args[0], F.when(F.col(ACTION) == KEEP, F.col(args[0])))
+        parent_id, parent, parent_key = args
+        _, parent_root, user = tables[parent]
+        parents = read_snapshot(spark, parent_root).join(gone, F.col(user) == F.col("_gone"), "left_semi")
+        lost = parents.select(F.col(parent_key).alias("_gone")).distinct()
+        return lambda rows: marked(rows, parent_id, lost, DROP)
+
+    order = sorted(tables, key=lambda name: tables[name][0] != "cascade")
+    return {name: write_back(spark, tables[name][1], change(tables[name][0], tables[name][2:])) for name in order}
+
+
 def link_expiry(df: DataFrame, as_of: str) -> DataFrame:
     """Live links (expires_at) with whole days left, rounded up; expired links are not found."""
     seconds = F.timestamp_diff("MICROSECOND", naive(as_of), F.col("expires_at")) / F.lit(1e6)

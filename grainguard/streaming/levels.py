@@ -2,61 +2,31 @@
 
 Each micro-batch adds one part of level 0. Where a level has ``fanout`` parts, they are folded into one of the next, so
 after n batches there are at most (fanout - 1) * log(n) parts, and a row is rewritten once a level. Which parts count
-is said by a manifest of a few lines, a new numbered file for every change, put in place by one rename that fails
-where the number is taken. A batch or a merge that dies before its rename has changed nothing: its folder is not
+is said by a manifest of a few lines (``sources.manifests``). A batch or a merge that dies before its rename has changed nothing: its folder is not
 listed, and the repetition overwrites it. One that is repeated after its rename finds its batch listed and adds
 nothing. Parts that have been folded stay for readers of an earlier manifest until ``vacuum``.
 """
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grainguard.sources import manifests
 from grainguard.streaming import files
 
 FANOUT = 8
 Fold = Callable[[DataFrame], DataFrame]
 
 
-def _path(spark: SparkSession, path: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _listed(spark: SparkSession, folder: str) -> list[str]:
-    path, fs = _path(spark, folder)
-    return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
-
-
 def manifest(spark: SparkSession, out: str) -> dict:
     """The latest manifest: its version, the last batch and the parts, each a folder, a level and its first batch."""
-    versions = [int(name[:-5]) for name in _listed(spark, f"{out}/manifest") if name.endswith(".json") and name[:-5].isdigit()]
-    if not versions:
-        return {"version": 0, "batch": -1, "parts": []}
-    path, fs = _path(spark, f"{out}/manifest/{max(versions)}.json")
-    stream = fs.open(path)
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    return {"batch": -1, "parts": []} | manifests.latest(spark, out)
 
 
 def publish(spark: SparkSession, out: str, now: dict, batch: int, parts: list[dict]) -> dict:
-    """Put the next manifest in place; fails if another writer has done so since ``now`` was read."""
-    found = {"version": now["version"] + 1, "batch": batch, "parts": parts}
-    draft, fs = _path(spark, f"{out}/manifest/{os.urandom(8).hex()}.draft")
-    stream = fs.create(draft)
-    stream.write(bytearray(json.dumps(found).encode()))
-    stream.close()
-    final, _ = _path(spark, f"{out}/manifest/{found['version']}.json")
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    no_overwrite = spark._sc._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-    context.rename(fs.makeQualified(draft), fs.makeQualified(final), no_overwrite)
-    return found
+    return manifests.publish(spark, out, now, batch=batch, parts=parts)
 
 
 def _read(spark: SparkSession, out: str, parts: list[dict]) -> DataFrame:
@@ -95,11 +65,9 @@ def vacuum(spark: SparkSession, out: str) -> list[str]:
     """Delete the parts and manifests that the latest manifest has replaced; for times without readers and writers."""
     now = manifest(spark, out)
     live = {part["folder"] for part in now["parts"]}
-    gone = [f"parts/{name}" for name in _listed(spark, f"{out}/parts") if name not in live]
-    gone += [f"manifest/{name}" for name in _listed(spark, f"{out}/manifest") if name != f"{now['version']}.json"]
-    for name in gone:
-        path, fs = _path(spark, f"{out}/{name}")
-        fs.delete(path, True)
+    gone = [f"parts/{name}" for name in manifests.listed(spark, f"{out}/parts") if name not in live]
+    gone += [f"manifest/{name}" for name in manifests.listed(spark, f"{out}/manifest") if name != f"{now['version']}.json"]
+    manifests.delete(spark, out, gone)
     return sorted(gone)
 
 
