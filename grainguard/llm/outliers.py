@@ -18,6 +18,8 @@ as wide as the statistics' own sampling error keeps covariances regular where a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,18 +125,46 @@ def moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g", "s").agg(*mean, *cov)
 
 
+def entry(i: Column | int, j: Column | int) -> Column:
+    """Place of row i, column j in a lower triangle laid out row by row."""
+    return (F.lit(i) * (F.lit(i) + 1) / 2).cast("int") + F.lit(j)
+
+
+def over_triangle(value: Callable[[Column, Column, Column], Column]) -> Column:
+    """Lower triangle as an array, row by row: each entry is ``value`` of its row, its column and the entries before it."""
+    places = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in PAIRS))
+    return F.aggregate(places, F.array().cast("array<double>"), lambda done, at: F.concat(done, F.array(value(at["i"], at["j"], done))))
+
+
+def total(first: Column, last: Column, term: Callable[[Column], Column]) -> Column:
+    """Sum of ``term`` over first, ..., last; 0 if there are none."""
+    return F.when(first > last, F.lit(0.0)).otherwise(F.aggregate(F.sequence(first, last), F.lit(0.0), lambda sum_, k: sum_ + term(k)))
+
+
 def factors(estimates: DataFrame, scale: float = CONSISTENCY) -> DataFrame:
-    """Means and the Cholesky factor of each covariance with the ridge; ``logdet`` is the determinant's logarithm."""
-    df = estimates
-    for i, j in PAIRS:
-        ridge = FEATURES[NAMES[i]] ** 2 if i == j else 0.0
-        rest = F.col(f"c{i}{j}") * scale + ridge
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        df = df.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    logdet = sum((2 * F.log(f"l{i}{i}") for i in range(len(NAMES))), F.lit(0.0))
-    means = [F.col(f"m{i}") for i in range(len(NAMES))]
-    return df.select("g", "s", *means, *(F.col(f"l{i}{j}") for i, j in PAIRS), logdet.alias("logdet"))
+    """Means and the inverse Cholesky factor of each covariance with the ridge; ``logdet`` is the determinant's logarithm.
+
+    Twenty-one numbers a group, written at once: what is joined to the rows carries no expression of how it was made.
+    """
+    cov, low, inverse = F.col("__c"), F.col("__l"), F.col("__w")
+    ridge = F.array(*(F.lit(FEATURES[x] ** 2) for x in NAMES))
+
+    def cholesky(i: Column, j: Column, done: Column) -> Column:
+        before = total(F.lit(0), j - 1, lambda k: F.get(done, entry(i, k)) * F.get(done, entry(j, k)))
+        rest = F.get(cov, entry(i, j)) * scale + F.when(i == j, F.get(ridge, i)).otherwise(0.0) - before
+        return F.when(i == j, F.sqrt(rest)).otherwise(rest / F.get(done, entry(j, j)))
+
+    def inverted(i: Column, j: Column, done: Column) -> Column:
+        before = total(j, i - 1, lambda k: F.get(low, entry(i, k)) * F.get(done, entry(k, j)))
+        return F.when(i == j, 1.0 / F.get(low, entry(i, i))).otherwise(-before / F.get(low, entry(i, i)))
+
+    means = [f"m{i}" for i in range(len(NAMES))]
+    df = estimates.select("g", "s", *means, F.array(*(f"c{i}{j}" for i, j in PAIRS)).alias("__c"))
+    df = df.select("g", "s", *means, over_triangle(cholesky).alias("__l"))
+    df = df.select("g", "s", *means, "__l", over_triangle(inverted).alias("__w"))
+    logdet = sum((2 * F.log(F.get(low, F.lit(PAIRS.index((i, i))))) for i in range(len(NAMES))), F.lit(0.0))
+    columns = [F.get(inverse, F.lit(t)).alias(f"w{i}{j}") for t, (i, j) in enumerate(PAIRS)]
+    return stored(df.select("g", "s", *means, *columns, logdet.alias("logdet")), "factors")
 
 
 def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -142,13 +172,11 @@ def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     # Copies of the few estimates: a group with a third of all rows is joined and summed up in many tasks.
     copies = estimates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     df = rows.withColumn("__salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(copies, ["g", "__salt"]).drop("__salt")
-    for i, x in enumerate(NAMES):
-        rest = F.col(x) - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * F.col(f"__y{j}")
-        df = df.withColumn(f"__y{i}", rest / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"__y{i}") * F.col(f"__y{i}") for i in range(len(NAMES))), F.lit(0.0))
-    used = [f"m{i}" for i in range(len(NAMES))] + [f"l{i}{j}" for i, j in PAIRS] + [f"__y{i}" for i in range(len(NAMES))]
+    scaled = (
+        sum((F.col(f"w{i}{j}") * (F.col(NAMES[j]) - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(len(NAMES))
+    )
+    d2 = sum((F.pow(y, F.lit(2.0)) for y in scaled), F.lit(0.0))
+    used = [f"m{i}" for i in range(len(NAMES))] + [f"w{i}{j}" for i, j in PAIRS]
     return df.withColumn("d2", d2).drop(*used, "logdet")
 
 
@@ -165,7 +193,7 @@ def concentrated(rows: DataFrame) -> DataFrame:
     starts = mad.select("g", F.lit(0).alias("s"), *(f"m{i}" for i in range(len(NAMES))), *spread)
     whole = moments(rows.withColumn("s", F.lit(1)))
     third = moments(rows.where(F.pmod(F.xxhash64("key"), F.lit(3)) == 0).withColumn("s", F.lit(2)))
-    now = stored(factors(starts.unionByName(whole).unionByName(third), 1.0), "estimates")
+    now = factors(starts.unionByName(whole).unionByName(third), 1.0)
     for _ in range(STEPS):
         far = distances(rows, now)
         limits = stored(far.groupBy("g", "s").agg(F.percentile_approx("d2", KEPT_SHARE, RANKS).alias("__q")), "limits")
@@ -197,7 +225,7 @@ def estimate(rows: DataFrame) -> DataFrame:
     languages = sizes.select("l").distinct().select(F.col("l").alias("g"), "l", F.lit(1.0).alias("weight"))
     sizes = stored(sizes.unionByName(languages), "sizes")
     both = own.unionByName(own.withColumn("g", F.col("l"))).drop("l")
-    now = stored(factors(mixed(concentrated(both), sizes)), "estimates")
+    now = factors(mixed(concentrated(both), sizes))
     units = distances(both, now).groupBy("g").agg(
         F.greatest(F.percentile_approx("d2", 0.5, RANKS) / MEDIAN, F.lit(1.0)).alias("unit")
     )
