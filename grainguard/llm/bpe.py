@@ -3,7 +3,8 @@
 A text is parted by the vocabulary's pattern. Pieces that are tokens themselves are looked up; the rest go,
 grouped by length, into padded matrices of token ids. In each round every row merges its leftmost pair of
 the lowest rank; the pairs' ranks come from a hashed table probed for whole matrices at once, and merged rows
-are compacted by one column. Rows without a known pair leave the matrix.
+are compacted by one column. Rows without a known pair leave the matrix. A round costs a row its length, so pieces of
+more than ``LONG_PIECE`` bytes are merged one by one with a heap of their pairs instead, to the same result.
 
 Only the map side works: no shuffle, so copies and hot sources cost nothing extra. Memory is bounded by a
 block of texts (``BLOCK_CHARS``), a bounded cache of pieces, and the longest single text.
@@ -11,6 +12,7 @@ block of texts (``BLOCK_CHARS``), a bounded cache of pieces, and the longest sin
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainguard.llm.columns import without
+from grainguard.llm.merging import merge
 from grainguard.session import ship
 
 BLOCK_CHARS = 1 << 20
 MATRIX_CELLS = 1 << 20
+LONG_PIECE = 1024
 CACHED_PIECES = 400_000
 NONE = np.int32(2**31 - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -87,6 +91,7 @@ class Merges:
             if token[:cut] in ranks and token[cut:] in ranks
         ]
         self.pairs = PairTable(*np.array(pairs or np.empty((0, 3)), np.int32).reshape(-1, 3).T)
+        self.single = {left << 32 | right: rank << 32 | rank for left, right, rank in pairs}
         self.forget()
 
     def forget(self) -> None:
@@ -141,6 +146,8 @@ class Merges:
             whole = self.ranks.get(piece)
             if whole is not None:
                 found[k] = np.array([whole], np.int32)
+            elif len(piece) > LONG_PIECE:
+                found[k] = np.array(merge(self.byte_ids[np.frombuffer(piece, np.uint8)].tolist(), self.single), np.int32)
             else:
                 buckets.setdefault(len(piece).bit_length(), []).append(k)
         for bucket, members in buckets.items():
@@ -194,10 +201,18 @@ class Merges:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-BUILT: dict[int, Merges] = {}
+BUILT: dict[str, Merges] = {}
 
 
-def merges_of(ranks: dict[bytes, int], pattern: str, key: int) -> Merges:
+def digest(ranks: dict[bytes, int], pattern: str) -> str:
+    """Names a vocabulary by all its tokens and ranks."""
+    whole = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        whole.update(b"%d:%d:%s" % (rank, len(token), token))
+    return whole.hexdigest()
+
+
+def merges_of(ranks: dict[bytes, int], pattern: str, key: str) -> Merges:
     """One vocabulary per worker process; it outlives a task."""
     if key not in BUILT:
         BUILT.clear()
@@ -238,7 +253,7 @@ def encode(
     added = ["token_ids", "n_tokens"] + ([decoded] if decoded else [])
     kept = without(docs, *added)
     # Fixed size: a vocabulary file, about 1 MB.
-    shared = spark.sparkContext.broadcast((ranks, pattern, hash((len(ranks), pattern, min(ranks), max(ranks)))))
+    shared = spark.sparkContext.broadcast((ranks, pattern, digest(ranks, pattern)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = merges_of(*shared.value)

@@ -68,3 +68,27 @@ def test_query_against_the_library(spark, name):
 def test_schema_is_stable(spark):
     coded = bpe.encode(frame(spark, []), RANKS, public_tokenizers.PATTERN)
     assert coded.schema["token_ids"].dataType == T.BinaryType()
+
+
+def test_two_vocabularies_of_one_size(spark):
+    df = spark.createDataFrame([(1, "cdcd abab")], "doc_id long, text string").coalesce(1)
+    for pair, want in ((b"ab", [99, 100, 99, 100, 32, 256, 256]), (b"cd", [256, 256, 32, 97, 98, 97, 98])):
+        ranks = {bytes([b]): b for b in range(256)} | {pair: 256, b"zz": 257}
+        row = bpe.encode(df, ranks, r"\S+|\s+").first()
+        assert np.frombuffer(row.token_ids, "<u4").tolist() == want
+
+
+def test_long_pieces_as_the_library():
+    import random
+    import time
+
+    merges = bpe.Merges(RANKS, public_tokenizers.PATTERN)
+    draw = random.Random(4)
+    for n in (1023, 1024, 1025, 5000, 30_000):
+        word = "".join(draw.choices("etaoinshrdlué", k=n))
+        assert merges.encode([word])[0].tolist() == LIBRARY.encode_ordinary(word)
+    word = "".join(draw.choices("etaoinshrdlu", k=1_000_000))
+    start = time.monotonic()
+    ids = merges.encode([word])[0]
+    assert time.monotonic() - start < 60
+    assert merges.decode(ids) == word.encode() and ids.tolist() == LIBRARY.encode_ordinary(word)
