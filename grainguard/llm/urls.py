@@ -24,6 +24,7 @@ PRIOR = 2.0
 ALPHABET = 256
 #: Scores are grouped to this many steps per unit to find the border.
 BINS = 200
+PIECE = 1000
 # Not in URLs: what stands before and after one.
 BEFORE, AFTER = "\x02", "\x03"
 SIDES = ("allow", "block")
@@ -48,12 +49,19 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 
 def grams(urls: DataFrame) -> DataFrame:
-    """(url, verdict, weight, size, gram): a row per character of each URL and its end, with what precedes it."""
+    """(id, verdict, weight, size, gram): a row per character of each URL and its end, with what precedes it.
+
+    Rows carry the URL's number, not the URL. A URL is cut into pieces that overlap by a context first, as finding a
+    place in a text takes as long as the way there.
+    """
     bare = F.regexp_replace("url", r"(?s)^.*?://", "")
     padded = F.concat(F.lit(BEFORE * (ORDER - 1)), bare, F.lit(AFTER))
-    sized = urls.select("url", "verdict", "weight", padded.alias("p"), (F.length(bare) + 1).alias("size"))
-    placed = sized.select("url", "verdict", "weight", "p", "size", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("i"))
-    return placed.select("url", "verdict", "weight", "size", F.substring("p", F.col("i"), F.lit(ORDER)).alias("gram"))
+    sized = urls.select("id", "verdict", "weight", padded.alias("p"), (F.length(bare) + 1).alias("size"))
+    starts = F.sequence(F.lit(1), F.col("size"), F.lit(PIECE))
+    cut = sized.select("id", "verdict", "weight", "p", "size", F.explode(starts).alias("k"))
+    cut = cut.select("id", "verdict", "weight", "size", F.substring("p", F.col("k"), F.lit(PIECE + ORDER - 1)).alias("p"))
+    placed = cut.select("*", F.explode(F.sequence(F.lit(1), F.length("p") - (ORDER - 1))).alias("i"))
+    return placed.select("id", "verdict", "weight", "size", F.substring("p", F.col("i"), F.lit(ORDER)).alias("gram"))
 
 
 def ratios(counted: DataFrame) -> DataFrame:
@@ -111,26 +119,28 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url")
 
     The verdict is the longest fitting rule's, else allow exactly if the score reaches the border. A NULL or
     empty URL has empty parts and is blocked. Equal URLs have equal verdicts; repeated rows stay and count each in
-    the models. Columns of ``pages`` with the added names are replaced. An empty table gives an empty table.
+    the models. Columns of ``pages`` with the added names are replaced. An empty table gives an empty table. A long URL
+    makes as many rows as it has characters, each of the same few bytes.
     """
     pages = without(pages, *({"host", "path", "rule", "verdict"} - {url}))
     host, path = parts(F.col("url"))
     distinct = pages.where(F.col(quoted(url)).isNotNull()).groupBy(F.col(quoted(url)).alias("url")).agg(F.count(F.lit(1)).alias("weight"))
     parted = distinct.withColumns({"host": host, "path": path})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    urls = stored(parted.withColumns({"rule": rule, "verdict": verdict}), "urls")
+    numbered = parted.withColumns({"rule": rule, "verdict": verdict, "id": F.monotonically_increasing_id()})
+    urls = stored(numbered, "urls")  # written once, so a URL keeps its number
 
     placed = grams(urls)
     side = lambda s: F.sum(F.when(F.col("verdict") == s, F.col("weight")).otherwise(0)).alias(s)
     counted = stored(placed.groupBy("gram").agg(*(side(s) for s in SIDES)), "grams")
     table = stored(ratios(counted), "ratios")
     part = F.when(F.col("verdict") == "allow", F.col("ratio_allow")).when(F.col("verdict") == "block", F.col("ratio_block"))
-    scored = placed.join(table, "gram").groupBy("url", "verdict", "weight", "size").agg(
+    scored = placed.join(table, "gram").groupBy("id", "verdict", "weight", "size").agg(
         F.sum(F.coalesce(part, F.col("ratio"))).alias("total")
     )
-    scores = stored(scored.select("url", "verdict", "weight", F.round(F.col("total") / F.col("size"), 9).alias("score")), "scores")
+    scores = stored(scored.select("id", "verdict", "weight", F.round(F.col("total") / F.col("size"), 9).alias("score")), "scores")
     limit = border(scores)
-    own = urls.drop("weight", "verdict").join(scores.select("url", "verdict", "score"), "url")
+    own = urls.drop("weight", "verdict").join(scores.select("id", "verdict", "score"), "id")
     judged = own.select(
         F.col("url").alias("__url"), "host", "path", "rule",
         F.coalesce("verdict", F.when((F.col("url") != "") & (F.col("score") >= limit), "allow").otherwise("block")).alias("verdict"),

@@ -106,3 +106,27 @@ def test_query(spark):
     rows = QUERIES["op7_url_model_ratio"](spark, sf).collect()
     assert sorted(r.page_id for r in rows) == sorted(pages)
     assert all(r.verdict == wanted[pages[r.page_id]] for r in rows)
+
+
+def test_a_url_of_a_million_letters(spark):
+    import time
+
+    long = "data://x.org/fr/" + "ab é😀c" * 170_000
+    rows = [(1, long), (2, long + "z"), (3, "http://a.net/b"), (4, "http://b.org/fr/c"), (5, "http://c.com/" + "q" * 2500), (6, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    start = time.monotonic()
+    got = {r.page_id: (r.host, r.rule) for r in urls.judge_urls(df, URL_RULES).select("page_id", "host", "rule", "verdict").collect()}
+    assert time.monotonic() - start < 60 and len(got) == 6
+    assert got[1] == ("x.org", "org/fr/") and got[5] == ("c.com", None)
+
+
+def test_pieces_hold_every_gram_once(spark):
+    text = "http://" + "".join(chr(97 + i % 23) for i in range(3 * urls.PIECE + 7))
+    df = spark.createDataFrame([(0, text, "allow", 1), (1, "u://", "block", 2)], "id long, url string, verdict string, weight long")
+    found = urls.grams(df).groupBy("id", "gram").count().collect()
+    padded = urls.BEFORE * (urls.ORDER - 1) + text[7:] + urls.AFTER
+    want = {}
+    for i in range(len(padded) - urls.ORDER + 1):
+        want[padded[i : i + urls.ORDER]] = want.get(padded[i : i + urls.ORDER], 0) + 1
+    assert {r.gram: r["count"] for r in found if r.id == 0} == want
+    assert [r["count"] for r in found if r.id == 1] == [1]
