@@ -13,6 +13,7 @@ are coded side by side, one id of each at a time, as numpy arrays; so memory is
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from grainguard.llm.columns import stored
 from grainguard.session import ship
 
 BLOCK = 4096
-SEGMENT_IDS = 1 << 22
-BATCH_CHARS = 1 << 21
+SEGMENT_IDS = 1 << 21
+BATCH_CHARS = 1 << 18
 END = 0
 
 FIRST, SECOND = 1 << 11, 1 << 12  # slots of order 1 and 2
@@ -284,10 +285,10 @@ def segments_of(docs: DataFrame, tokenizer: str, key: str, text: str) -> DataFra
     ordered = own.repartitionByRange("key", "hash", "tie").sortWithinPartitions("key", "hash", "tie").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker is one of many on its machine
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(shared.value)
-        library.encode_special_tokens = True
         part, segment, base = TaskContext.get().partitionId(), 0, 0
         keys, documents, size = [], [], 0
         schema = pa.schema(

@@ -12,7 +12,6 @@ from grainguard.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def expected(rows):
