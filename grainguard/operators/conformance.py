@@ -128,10 +128,10 @@ def _nearest_over_tables(missing: DataFrame, per_table: DataFrame) -> DataFrame:
 def unknown_qualifiers(refs: DataFrame, scope: DataFrame, max_distance: int = 2) -> DataFrame:
     """Qualifiers that are neither table nor alias in their query, with the nearest alias within two edits.
 
-    Queries without any scope row are not judged. A qualifier meets its query's
+    Queries without any alias in scope are not judged; a NULL alias is none. A qualifier meets its query's
     aliases as one array, split when a query has very many.
     """
-    aliases = scope.select("query_id", "alias").distinct()
+    aliases = scope.where(F.col("alias").isNotNull()).select("query_id", "alias").distinct()
     used = (
         refs.where("qualified AND table_name IS NOT NULL")
         .select("query_id", F.col("table_name").alias("qualifier"))

@@ -295,29 +295,39 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     aggregate would do. ``approximate`` keeps a fixed-size sketch instead of the values.
     """
     if approximate:
-        stats = [
-            df.agg(
-                F.count(F.lit(1)).alias("rows"),
-                (F.count(F.lit(1)) - F.count(c)).alias("nulls"),
-                F.approx_count_distinct(c).alias("distinct_values"),
-                F.min(c).cast("string").alias("min_value"),
-                F.max(c).cast("string").alias("max_value"),
+        # One aggregate over all columns, turned into one line each.
+        sums = {
+            f"{name}_{i}": value
+            for i, c in enumerate(df.columns)
+            for name, value in (
+                ("nulls", F.count(F.lit(1)) - F.count(F.col(c))),
+                ("distinct", F.approx_count_distinct(F.col(c))),
+                ("min", F.min(F.col(c)).cast("string")),
+                ("max", F.max(F.col(c)).cast("string")),
             )
-            for c in df.columns
-        ]
-    else:
-        stats = [
-            df.groupBy(F.col(c).alias("v"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .agg(
-                total("n").alias("rows"),
-                total(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls"),
-                F.count("v").alias("distinct_values"),
-                F.min("v").cast("string").alias("min_value"),
-                F.max("v").cast("string").alias("max_value"),
-            )
-            for c in df.columns
-        ]
+        }
+        one = df.agg(F.count(F.lit(1)).alias("rows"), *(value.alias(name) for name, value in sums.items()))
+        lines = {}
+        for i, c in enumerate(df.columns):
+            known = {"rows": F.col("rows"), "nulls": F.col(f"nulls_{i}"), "distinct_values": F.col(f"distinct_{i}")}
+            judged = {
+                "observed_nullable": F.col(f"nulls_{i}") > 0,
+                "observed_unique": (F.col("rows") > 0) & (F.col(f"nulls_{i}") == 0) & (F.col(f"distinct_{i}") == F.col("rows")),
+            }
+            lines[c] = known | {"min_value": F.col(f"min_{i}"), "max_value": F.col(f"max_{i}")} | judged
+        return unpivot_row(one, "column_name", lines)
+    stats = [
+        df.groupBy(F.col(c).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(
+            total("n").alias("rows"),
+            total(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls"),
+            F.count("v").alias("distinct_values"),
+            F.min("v").cast("string").alias("min_value"),
+            F.max("v").cast("string").alias("max_value"),
+        )
+        for c in df.columns
+    ]
     return reduce(DataFrame.unionByName, [s.select(*_profile_line(c)) for s, c in zip(stats, df.columns)])
 
 

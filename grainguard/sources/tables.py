@@ -77,11 +77,11 @@ VIEWS = {
                l_linenumber % 4 <> 0 AS qualified
         FROM lineitem""",
     "scope": """
-        SELECT o_orderkey AS query_id, 'orders' AS alias
-        FROM orders WHERE o_orderstatus <> 'P'
+        SELECT o_orderkey AS query_id, CASE WHEN o_orderstatus <> 'P' THEN 'orders' END AS alias
+        FROM orders
         UNION ALL
-        SELECT o_orderkey AS query_id, 'customer' AS alias
-        FROM orders WHERE o_orderstatus = 'F'""",
+        SELECT o_orderkey AS query_id, CASE WHEN o_orderstatus = 'F' THEN 'customer' END AS alias
+        FROM orders""",
     "query_log": """
         SELECT o_orderkey AS query_id,
                CASE WHEN o_orderkey % 2 = 0 THEN 'postgresql' ELSE 'snowflake' END AS dialect,

@@ -191,3 +191,17 @@ def test_draws_of_different_columns_are_not_tied(spark):
     df = Y.synth_table(Y.row_ids(spark, 20_000), "t", specs)
     assert abs(df.stat.corr("p", "q")) < 0.03
     assert df.select("p").distinct().count() > 15_000
+
+
+def test_approximate_profile_is_one_scan(spark):
+    df = spark.range(500).selectExpr("id", "CASE WHEN id % 10 > 0 THEN id % 7 END AS k", "CAST(NULL AS STRING) AS gone", "string(id % 3) AS s")
+    near = N.column_profile(df, approximate=True)
+    assert near.dtypes == N.column_profile(df).dtypes
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    exact = {r.column_name: r for r in N.column_profile(df).collect()}
+    for r in near.collect():
+        e = exact[r.column_name]
+        assert (r.rows, r.nulls, r.min_value, r.max_value, r.observed_nullable) == (e.rows, e.nulls, e.min_value, e.max_value, e.observed_nullable)
+        assert abs(r.distinct_values - e.distinct_values) <= 0.1 * e.distinct_values
+    empty = N.column_profile(df.limit(0), approximate=True).collect()
+    assert {(r.rows, r.nulls, r.observed_unique, r.observed_nullable) for r in empty} == {(0, 0, False, False)}
