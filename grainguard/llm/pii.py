@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainguard.llm.arrays import between, blocks, folded, let, pieces
 from grainguard.llm.columns import quoted, without
 
 # The base patterns, in the order of their kinds. Atomic groups and the look-behind only spare
@@ -111,14 +112,13 @@ def matches(text: Column, kind: str) -> Column:
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m"), m.alias("v"), g.alias("b")))
     spans = F.filter(lengths, lambda x: x["v"].isNotNull())
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        span = F.struct(start.alias("start"), (start + x["m"]).alias("end"), x["v"].alias("value"), F.right(x["b"], F.lit(CONTEXT)).alias("before"))
-        return F.struct((start + x["m"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start, end = at + x["g"], at + x["g"] + x["m"]
+        span = F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"), F.right(x["b"], F.lit(CONTEXT)).alias("before"))
+        return end, F.array(span)
 
-    return F.aggregate(spans, first, step, lambda s: s["out"])
+    return folded(spans, F.lit(0), "struct<start:int,end:int,value:string,before:string>", step)["out"]
 
 
 SPAN = "struct<kind:string,start:int,end:int,value:string,base:boolean,valid:boolean,votes:string,features:string>"
@@ -231,39 +231,52 @@ def find(docs: DataFrame, model: Model, text: str = "text", overlapping: bool =
     span; with ``overlapping``, it may, but does not lie within one. NULL and empty texts have none. A column ``spans`` of ``docs`` is replaced. Empty tables stay empty.
     """
     df = candidates(without(docs, "spans"), text, "__found")
-    df = df.withColumn("__base", F.filter("__found", lambda s: s["base"]))
     sure = [F.lit(f) for f in model.sure()] or [F.lit("")]
     meets = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
     covers = lambda s, b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])
-    free = lambda s: ~F.exists("__base", lambda b: (covers if overlapping else meets)(s, b))
-    stay = F.filter("__found", lambda s: s["base"] | (s["valid"] & s["features"].isin(*sure) & free(s)))
-    spans = F.transform(stay, lambda s: F.struct(s["kind"], s["start"], s["end"], s["base"]))
-    return df.withColumn("spans", spans).drop("__found", "__base")
+    # Base spans come by start, so of their blocks only those around a span are looked into.
+    ranged = lambda block: F.struct(
+        F.get(block, F.lit(0))["start"].alias("start"), F.array_max(F.transform(block, lambda b: b["end"])).alias("end"), block.alias("spans")
+    )
+    base = F.transform(blocks(F.filter("__found", lambda s: s["base"])), ranged)
+
+    def chosen(base: Column) -> Column:
+        inside = lambda s: F.exists(base, lambda k: meets(s, k) & F.exists(k["spans"], lambda b: (covers if overlapping else meets)(s, b)))
+        stay = F.filter("__found", lambda s: s["base"] | (s["valid"] & s["features"].isin(*sure) & ~inside(s)))
+        return F.transform(stay, lambda s: F.struct(s["kind"], s["start"], s["end"], s["base"]))
+
+    return df.withColumn("spans", let(base, chosen)).drop("__found")
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in brackets, and overlapping spans, or chains of them,
     by all their kinds (``[IP+CARD]``): nothing that any span covers stays."""
     df = find(docs.withColumnRenamed("spans", "__spans"), model, text, overlapping=True)
-    none = F.array().cast("array<struct<start:int,end:int,kinds:array<string>>>")
+    union = "struct<start:int,end:int,kinds:array<string>>"
 
-    def merge(unions: Column, s: Column) -> Column:
-        last = F.get(unions, F.size(unions) - 1)
+    def merge(open_: Column, s: Column) -> tuple[Column, Column]:
+        """The union that may still grow, and the one before it if this span begins behind its end."""
         own = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array(s["kind"]).alias("kinds"))
         both = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.array_union(last["kinds"], F.array(s["kind"])).alias("kinds")
+            open_["start"].alias("start"), F.greatest(open_["end"], s["end"]).alias("end"), F.array_union(open_["kinds"], F.array(s["kind"])).alias("kinds")
         )
-        before = F.slice(unions, F.lit(1), F.greatest(F.size(unions) - 1, F.lit(0)))
-        return F.when(last["end"] > s["start"], F.concat(before, F.array(both))).otherwise(F.concat(unions, F.array(own)))
+        grows = open_.isNotNull() & (open_["end"] > s["start"])
+        closed = F.when(grows | open_.isNull(), F.array().cast(f"array<{union}>")).otherwise(F.array(open_))
+        return F.when(grows, both).otherwise(own), closed
 
-    df = df.withColumn("__apart", F.aggregate("spans", none, merge))
+    merged = folded(F.col("spans"), F.lit(None).cast(union), union, merge)
+    df = df.withColumn("__apart", let(merged, lambda m: F.concat(m["out"], F.array_compact(F.array(m["carry"])))))
     t = F.col(quoted(text))
-    after = lambda s, i: F.concat(
-        F.lit("["), F.upper(F.array_join(s["kinds"], "+")), F.lit("]"),
-        F.substring(t, s["end"] + 1, F.coalesce(F.get("__apart", i + 1)["start"], F.length(t)) - s["end"]),
-    )
-    clean = F.concat(F.substring(t, F.lit(1), F.get("__apart", F.lit(0))["start"]), F.array_join(F.transform("__apart", after), ""))
-    df = df.withColumn(text, F.when(F.size("__apart") > 0, clean).otherwise(t)).drop("__apart", "spans")
+
+    def replaced(parts: Column) -> Column:
+        after = lambda s, i: F.concat(
+            F.lit("["), F.upper(F.array_join(s["kinds"], "+")), F.lit("]"),
+            between(parts, s["end"], F.coalesce(F.get("__apart", i + 1)["start"], F.length(t))),
+        )
+        first = between(parts, F.lit(0), F.get("__apart", F.lit(0))["start"])
+        return F.concat(first, F.array_join(F.transform("__apart", after), ""))
+
+    df = df.withColumn(text, F.when(F.size("__apart") > 0, let(pieces(t), replaced)).otherwise(t)).drop("__apart", "spans")
     return df.withColumnRenamed("__spans", "spans").select(*map(quoted, docs.columns))
 
 

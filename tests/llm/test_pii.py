@@ -155,3 +155,81 @@ def test_query(spark, name):
     assert sorted(r.doc_id for r in rows) == sorted(docs)
     for r in rows:
         assert r.base_sha256 == hashlib.sha256(",".join(plain_base(docs[r.doc_id])).encode()).hexdigest()
+
+
+def plain_find(text, sure, overlapping):
+    """Added spans by one look at each pair: those that are valid, sure and clear of (or not within) base spans."""
+    found = pii_spans[text]
+    base = [s for s in found if s.base]
+    out = []
+    for s in found:
+        hit = any((b.start <= s.start and s.end <= b.end) if overlapping else (b.start < s.end and s.start < b.end) for b in base)
+        if s.base or (s.valid and s.features in sure and not hit):
+            out.append((s.kind, s.start, s.end, s.base))
+    return out
+
+
+pii_spans = {}
+
+
+@pytest.mark.parametrize("overlapping", [False, True])
+def test_added_spans_against_brute_force(spark, overlapping, monkeypatch):
+    """Spans over many blocks, base and added ones mixed and overlapping."""
+    from grainguard.llm import arrays
+
+    monkeypatch.setattr(arrays, "BLOCK", 5)
+    r = random.Random(11)
+    bits = ["a@b.de", "10.0.0.4", "4111 1111 1111 1111", "(212) 555-0199", "219-09-9999", "anna (at) x.org", "DE89370400440532013000", "x", "-", " ", "call me", "+1 415 555 0100"]
+    rows = [(i, "".join(r.choice(bits) + r.choice((" ", "", "-")) for _ in range(r.choice((1, 8, 60))))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df)
+    pii_spans.update({x.text: x.spans for x in pii.candidates(df, "text", "spans").collect()})
+    added = 0
+    for row in pii.find(df, model, overlapping=overlapping).collect():
+        want = plain_find(row.text, set(model.sure()), overlapping)
+        assert [tuple(s) for s in row.spans] == want
+        added += sum(not s[3] for s in want)
+    assert added > 50
+
+
+def plain_redact(text, spans):
+    unions = []
+    for kind, start, end, _ in spans:
+        if unions and unions[-1][1] > start:
+            last = unions[-1]
+            unions[-1] = [last[0], max(last[1], end), last[2] + [kind] * (kind not in last[2])]
+        else:
+            unions.append([start, end, [kind]])
+    out, at = "", 0
+    for start, end, kinds in unions:
+        out, at = out + text[at:start] + "[" + "+".join(k.upper() for k in kinds) + "]", end
+    return out + text[at:]
+
+
+def test_redaction_over_pieces(spark, monkeypatch):
+    from grainguard.llm import arrays
+
+    monkeypatch.setattr(arrays, "PIECE", 7)
+    monkeypatch.setattr(arrays, "BLOCK", 3)
+    r = random.Random(12)
+    bits = ["a@b.de", "10.0.0.4", "4111 1111 1111 1111", "é", "wörd 😀", "a@b.de-4111 1111 1111 1111", "\n"]
+    rows = [(i, " ".join(r.choice(bits) for _ in range(r.choice((0, 1, 12, 40))))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df)
+    spans = {x.doc_id: [tuple(s) for s in x.spans] for x in pii.find(df, model, overlapping=True).collect()}
+    for row in pii.redact(df, model).collect():
+        assert row.text == plain_redact(dict(rows)[row.doc_id], spans[row.doc_id])
+
+
+def test_two_hundred_thousand_addresses(spark):
+    import time
+
+    n = 200_000
+    text = " ".join(f"u{i}@mail{i % 7}.example.org" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    row = pii.digests(pii.find(df, pii.Model({}, 0.5, []))).first()
+    assert row.n_email == n
+    clean = pii.redact(df, pii.Model({}, 0.5, [])).first().text
+    assert clean == " ".join(["[EMAIL]"] * n)
+    assert time.monotonic() - start < 90
