@@ -103,3 +103,33 @@ def test_run_and_registration(spark, stages):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     got = {r.doc_id: bytes(r.token_ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {r.doc_id: bytes(r.token_ids) for r in stages[-1][1].collect()}
+
+
+PLAIN_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ["content", "spans", "kept", "node", "key", "g", "distance", "item_id", "hub", "n_words", "digest", "component"]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, name):
+    """NULLs in every column, empty and repeated rows, names that operators use themselves, and no rows at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    prose = " ".join(f"word{i % 40} of{i % 7}" for i in range(60))
+    rows = [(1, prose, "en", "a", 9), (1, prose, "en", "a", 9), (2, None, "en", "a", None), (3, "", None, None, 0), (None, prose + " tail", None, "a", 1)]
+    rows += [(4, " \n\t", "en", None, 3), (5, "mail me at a@b.de or 10.0.0.4 " + prose[::-1], "en", "a", 5)]
+    schema = PLAIN_COLUMNS + "".join(f", {c} string" for c in CLASHES)
+    df = spark.createDataFrame([(*r, *(f"kept as it is: {c}" for c in CLASHES)) for r in rows], schema)
+    added = ["token_ids", "n_tokens"] if name == "encode_tokens" else []
+    out = stage(spark, df, SF)
+    assert out.columns == [*df.columns, *added]
+    got = out.collect()
+    assert all(r[c] == f"kept as it is: {c}" for r in got for c in CLASHES)
+    ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in got)
+    if name == "quality_rules":  # texts of fewer than ten words and those that repeat themselves go
+        assert set(ids) <= {-1, 1, 5}
+    else:  # equal rows have the least key of their group in common, and a row without a key links nothing itself
+        assert ids == [-1, 1, 1, 2, 3, 4, 5]
+    if name == "personal_data":
+        texts = {r.doc_id: r.text for r in got}
+        assert "[EMAIL]" in texts[5] and "[IP]" in texts[5] and texts[2] is None and texts[3] == ""
+    empty = stage(spark, df.limit(0), SF)
+    assert empty.columns == [*df.columns, *added] and empty.count() == 0
