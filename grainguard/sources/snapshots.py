@@ -28,7 +28,7 @@ KEEP, DROP, ALTER = "keep", "drop", "alter"
 
 def _relative() -> Column:
     """Path of a row's file below the table's folder."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
+    return F.substring_index(F.col("_metadata.file_path"), "/", -2)
 
 
 def _new_files(spark: SparkSession, root: str, folder: str) -> list[str]:
