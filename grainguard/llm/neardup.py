@@ -8,14 +8,16 @@
    frequent pairs, the long lists, are never merged but only looked at in the candidates (*skip merging*).
    Rarity is one fixed order for all, from a table of counts of fixed size.
 3. Lists are not paired out. First every list links its members to its hub, the member whose values are most
-   frequent (of copies with changes that is the text they come from). Candidates that agree in ``MATCHES``
-   coordinates are verified on the full sets and joined to components. Then only pairs from one list that lie in
-   different components are left. In short lists their collisions are counted, and those above the threshold
-   verified. In long ones the members' shingles outside the hub decide (``beyond_hubs``): sets that miss the hub
-   must share some of these, or are too large to be linked. After that no pair that shares a posting is
-   undecided, so no link between different texts is lost, and no group is paired out.
-
-Lists and hubs with many members are split by salt. Sets travel only for classes that share a posting.
+   frequent (of copies with changes that is the text they come from). Candidates of short lists that agree in
+   ``MATCHES`` coordinates, and all members of long lists, are compared with the hub on the full sets, and the links
+   joined to components. Then only pairs from one list that lie in different components are left. In short lists
+   their collisions are counted, and those above the threshold verified. In long ones the members' shingles outside
+   the hub decide (``beyond_hubs``): sets that miss the hub share some of these, or reach the similarity by the
+   hub's own shingles alone. After that no pair that shares a posting is undecided, so no link between different
+   texts is lost, and no group is paired out.
+
+Lists and hubs with many members are split by salt. A set is made from its text where it is compared: it travels once
+to each block of a hub's partners, and is never written.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ SEEN = 3
 SHORT = 64
 #: Members of a list, or partners of a hub, that one task compares.
 BLOCK = 4096
+#: Numbers of compared pairs that a task holds before it puts them out.
+HELD = 1 << 22
 FACTORS, FLIPS = numbers(11, COORDINATES), numbers(12, COORDINATES)
 
 
@@ -135,17 +139,17 @@ def prefixes(classes: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def shared_lists(posted: DataFrame) -> DataFrame:
-    """(name, node, hub): the postings of lists with two members or more, with the list's hub."""
+    """(name, node, hub, n): the postings of lists with two members or more, with the list's hub and length."""
     rank = F.col("central") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
     # Map-side maxima: a list in which a third of all rows meet is a row per task.
     lists = posted.groupBy("name").agg(F.max_by("node", rank).alias("hub"), F.count("node").alias("n"))
-    return posted.select("name", "node").join(lists.where("n > 1").select("name", "hub"), "name")
+    return posted.select("name", "node").join(lists.where("n > 1").select("name", "hub", "n"), "name")
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): every member of a list with the list's hub, once."""
-    pairs = lists.where("node <> hub")
-    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    """(hub, other, long): every member of a list with the list's hub, once; ``long`` if one such list is."""
+    pairs = lists.where("node <> hub").groupBy("hub", F.col("node").alias("other"))
+    return pairs.agg((F.max("n") > SHORT).alias("long"))
 
 
 def above_threshold(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -164,54 +168,112 @@ def above_threshold(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, set): the full shingle sets of the given classes, made anew from their texts and written."""
-    wanted = stored(nodes.distinct().join(classes.select("node", "doc_id", "digest"), "node"), "nodes")
+def at_hubs(pairs: DataFrame) -> DataFrame:
+    """(hub, parts, salt, long, role, other): each block of a hub's partners with the hub's own row (role 0).
+
+    ``parts`` is 0 where all of a hub's partners are one block.
+    """
+    sized = pairs.join(pairs.groupBy("hub").agg(F.floor(F.count("other") / BLOCK).alias("parts")), "hub")
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("parts") + 1))
+    centres = salted.select("hub", "parts", "salt").distinct()
+    centres = centres.select("hub", "parts", "salt", F.lit(False).alias("long"), F.lit(0).alias("role"), F.col("hub").alias("other"))
+    return centres.unionByName(salted.select("hub", "parts", "salt", "long", F.lit(1).alias("role"), "other"))
+
+
+def with_sets(places: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``places`` (from ``at_hubs``) with the full shingle set of ``other``, the rows of a block in one task, hub first."""
+    names = places.columns
+    named = classes.select(F.col("node").alias("other"), "doc_id", "digest")
+    wanted = stored(places.join(named, "other"), "places")
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # The list grows with the documents, so it is never broadcast: one plan at every size.
-    own = own.join(wanted.hint("merge"), "doc_id").select("node", "digest", "text")
+    own = own.join(wanted.hint("merge"), "doc_id").select(*names, "digest", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, own, digest = None, b"", b""
         for batch in batches:
             for part, texts in text_blocks(batch, "text"):
-                found = [shingle_set(t).tobytes() for t in texts]
-                same = [xxhash.xxh3_128_digest(f) == d.as_py() for f, d in zip(found, part["digest"], strict=True)]
-                out = pa.RecordBatch.from_arrays([part["node"], pa.array(found, pa.binary())], ["node", "set"])
+                found, same = [], []
+                for t, d in zip(texts, part["digest"].to_pylist(), strict=True):
+                    if t != before:  # the places of one text follow each other
+                        before, own = t, shingle_set(t).tobytes()
+                        digest = xxhash.xxh3_128_digest(own)
+                    found.append(own)
+                    same.append(digest == d)
+                columns = [*(part[c] for c in names), pa.array(found, pa.binary())]
+                out = pa.RecordBatch.from_arrays(columns, [*names, "set"])
                 yield out.filter(pa.array(same, pa.bool_()))
 
-    return stored(own.mapInArrow(sets, "node long, set binary"), "sets")
+    made = own.mapInArrow(sets, "hub long, parts long, salt long, long boolean, role int, other long, set binary")
+    return made.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "other")
 
 
-def at_hubs(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """(hub, parts, salt, role, other, set): each block of a hub's partners behind the hub's own row (role 0).
+def compared(
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int
+) -> DataFrame:
+    """(hub, parts, long, other, n, o, h, linked, outer, bits) of each pair (hub, other, long), from the full sets.
 
-    ``parts`` is 0 where all of a hub's partners are one block.
+    ``n`` and ``h`` are the sizes of both sets, ``o`` the shingles in both, ``linked`` whether these are enough. For
+    long pairs ``bits`` says which of the hub's shingles the partner has, and ``outer`` holds its other ones; where all
+    long partners of a hub stand side by side, those that no other has are left out.
     """
-    sized = pairs.join(pairs.groupBy("hub").agg(F.floor(F.count("other") / BLOCK).alias("parts")), "hub")
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("parts") + 1))
-    spokes = salted.join(full, salted.other == full.node).select("hub", "parts", "salt", F.lit(1).alias("role"), "other", "set")
-    centres = salted.select("hub", "parts", "salt").distinct().join(full, F.col("hub") == full.node)
-    centres = centres.select("hub", "parts", "salt", F.lit(0).alias("role"), F.col("hub").alias("other"), "set")
-    return centres.unionByName(spokes).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-
-
-def beside_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bool, int, np.ndarray, np.ndarray]]]:
-    """For each batch of ``at_hubs``: (hub, is it one block, other, the other's set, the hub's set) of its partners."""
-    at, mine = None, np.empty(0, U64)
-    for batch in batches:
-        out = []
-        columns = [batch[c].to_pylist() for c in ("hub", "parts", "salt", "role", "other", "set")]
-        for hub, parts, salt, role, other, raw in zip(*columns, strict=True):
-            own = np.frombuffer(raw, U64)
-            if role == 0:
-                at, mine = (hub, salt), own
-            elif at == (hub, salt):
-                out.append((hub, parts == 0, other, own, mine))
-        yield out
-
-
-def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the pairs whose full sets are similar enough. A hub's set goes once to each block of its partners."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, mine, block, held, parted = None, None, np.empty(0, U64), [], 0, False
+
+        def rows(whole: bool) -> pa.RecordBatch:
+            outer = [x[7] for x in block]
+            if whole and any(x is not None for x in outer):
+                values, seen = np.unique(np.concatenate([x for x in outer if x is not None]), return_counts=True)
+                values = values[seen > 1]
+                outer = [None if x is None else np.intersect1d(x, values, assume_unique=True) for x in outer]
+            longs, lists = pa.int64(), pa.list_(pa.int64())
+            types = [longs, longs, pa.bool_(), longs, longs, longs, longs]
+            columns = [pa.array([x[k] for x in block], t) for k, t in enumerate(types)]
+            columns.append(pa.array([100 * x[5] >= percent * (x[4] + x[6] - x[5]) for x in block], pa.bool_()))
+            columns.append(pa.array([None if x is None else x.view(np.int64) for x in outer], lists))
+            columns.append(pa.array([x[8] for x in block], lists))
+            return pa.RecordBatch.from_arrays(columns, ["hub", "parts", "long", "other", "n", "o", "h", "linked", "outer", "bits"])
+
+        for batch in batches:
+            columns = [batch[c].to_pylist() for c in ("hub", "parts", "salt", "long", "role", "other")]
+            for k, (hub, parts, salt, long, role, other) in enumerate(zip(*columns, strict=True)):
+                if (hub, salt, role, other) == last:
+                    continue  # a row that is there twice
+                last = (hub, salt, role, other)
+                if at != (hub, salt) or held > HELD:
+                    if block:
+                        ends = at != (hub, salt)
+                        yield rows(ends and not parted and block[0][1] == 0)
+                        parted = not ends
+                    else:
+                        parted = False
+                    block, held = [], 0
+                own = np.frombuffer(batch["set"][k].as_buffer(), U64)
+                if role == 0:
+                    at, mine = (hub, salt), own
+                elif at == (hub, salt):
+                    place = np.searchsorted(mine, own)
+                    inside = mine[np.minimum(place, len(mine) - 1)] == own
+                    outer = bits = None
+                    if long:
+                        has = np.zeros(-(-len(mine) // 64) * 64, bool)
+                        has[place[inside]] = True
+                        outer, bits = own[~inside], np.packbits(has).view(np.int64)
+                    block.append((hub, parts, long, other, len(own), int(inside.sum()), len(mine), outer, bits))
+                    held += 16 + (len(outer) + len(bits) if long else 0)
+        if block:
+            yield rows(not parted and block[0][1] == 0)
+
+    sets = with_sets(at_hubs(pairs), classes, docs, key, text)
+    return sets.mapInArrow(
+        compare,
+        "hub long, parts long, long boolean, other long, n long, o long, h long, linked boolean, outer array<long>, bits array<long>",
+    )
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(u, v): the pairs (a, b) whose full sets are similar enough."""
     # The end with more partners is the hub of its pairs.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     sized = pairs.join(ends.select(F.col("node").alias("a"), F.col("count").alias("na")), "a").join(
@@ -219,69 +281,30 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     )
     first = F.col("na") >= F.col("nb")
     hub, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in beside_hubs(batches):
-            found = []
-            for u, _, v, own, mine in rows:
-                shared = len(np.intersect1d(own, mine, assume_unique=True))
-                if 100 * shared >= percent * (len(own) + len(mine) - shared):
-                    found.append((u, v))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
-
-    return at_hubs(sized.select(hub.alias("hub"), other.alias("other")), full).mapInArrow(compare, "u long, v long")
+    oriented = sized.select(hub.alias("hub"), other.alias("other"), F.lit(False).alias("long"))
+    return compared(oriented, classes, docs, key, text, percent).where("linked").select(F.col("hub").alias("u"), F.col("other").alias("v"))
 
 
-def beyond_hubs(lists: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs that long open lists leave, found through what their members do not share with the hub.
+def beyond_hubs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that long open lists leave; ``members`` are the long rows of ``compared``.
 
     Let *o* be what a member shares with its hub. Two members share at most the smaller *o* inside the hub, so a
     pair whose sizes ask for more must share shingles outside it, as many as are wanting. A member that is not
     linked with the hub (a *straggler*) therefore probes the members with its outer shingles, all but as many as
-    are wanting less one, the rarest first; pairs whose sizes do not ask for more are joined by size.
+    are wanting less one, the rarest first. A pair that shares none outside is similar if what it shares inside is
+    enough by itself: the bits of both count that, and only such pairs leave the join by blocks of a hub.
     """
-    members = stored(lists.select("hub", F.col("node").alias("other")).where("hub <> other").distinct(), "members")
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block of one hub's members at a time. In a hub of one block, shingles that no other member has go out."""
-        hub, whole, block = None, False, []
-
-        def members_of() -> Iterator[pa.RecordBatch]:
-            if block:
-                outer = [x[2] for x in block]
-                if whole:
-                    values, seen = np.unique(np.concatenate(outer), return_counts=True)
-                    outer = [np.intersect1d(x, values[seen > 1], assume_unique=True) for x in outer]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([hub] * len(block), pa.int64()),
-                        pa.array([x[0] for x in block], pa.int64()),
-                        pa.array([x[1] for x in block], pa.int64()),
-                        pa.array([x[1] - len(x[2]) for x in block], pa.int64()),
-                        pa.array([x.view(np.int64) for x in outer], pa.list_(pa.int64())),
-                    ],
-                    ["hub", "other", "n", "o", "outer"],
-                )
-
-        for rows in beside_hubs(batches):
-            for name, single, other, own, mine in rows:
-                if name != hub or len(block) >= 2 * BLOCK:
-                    yield from members_of()
-                    block.clear()
-                hub, whole = name, single
-                block.append((other, len(own), np.setdiff1d(own, mine, assume_unique=True)))
-        yield from members_of()
-
-    parted = at_hubs(members, full).mapInArrow(outside, "hub long, other long, n long, o long, outer array<long>")
-    named = parted.join(labels.withColumnRenamed("node", "other"), "other", "left").join(
-        labels.select(F.col("node").alias("hub"), F.col("component").alias("core")), "hub", "left"
-    )
-    parted = stored(
-        named.withColumns({"component": F.coalesce("component", "other"), "core": F.coalesce("core", "hub")}), "parted"
-    )
-    least = parted.groupBy("hub").agg(F.min("n").alias("least"))
+    named = members.select("hub", "parts", "other", "n", "o").join(labels.withColumnRenamed("node", "other"), "other", "left")
+    named = named.join(labels.select(F.col("node").alias("hub"), F.col("component").alias("core")), "hub", "left")
+    misses = F.coalesce("component", "other") != F.coalesce("core", "hub")
+    named = stored(named.withColumns({"component": F.coalesce("component", "other"), "straggles": misses}).drop("core"), "named")
+    # Only hubs that a member misses: elsewhere all is one component.
+    hubs = named.groupBy("hub").agg(F.min("n").alias("least"), F.max("straggles").alias("open")).where("open").drop("open")
     both = 100 + percent
     wanting = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / both) - F.col("o")
-    stragglers = stored(parted.where("component <> core").join(least, "hub").withColumn("wanting", wanting), "stragglers")
+    opened = named.join(hubs, "hub").withColumn("wanting", wanting)
+    parted = stored(opened.join(members.select("hub", "other", "outer", "bits"), ["hub", "other"]), "parted")
+    stragglers = parted.where("straggles")
 
     # All but as many as are wanting less one: those that were not sent, the rarest, are among them.
     outer = parted.select("hub", F.col("other").alias("y"), F.col("component").alias("cy"), F.explode("outer").alias("s"))
@@ -293,9 +316,18 @@ def beyond_hubs(lists: DataFrame, labels: DataFrame, full: DataFrame, percent: i
     rank = F.row_number().over(Window.partitionBy("hub", "x").orderBy("often", "s"))
     probes = probes.withColumn("rank", rank).where("rank <= some AND often > 1").select("hub", "x", "cx", "s")
     met = probes.join(outer, ["hub", "s"]).where("cx <> cy").select("x", "y")
-    inner = stragglers.where("wanting <= 0").select("hub", F.col("other").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("o").alias("ox"))
-    near = inner.join(parted.select("hub", F.col("other").alias("y"), F.col("component").alias("cy"), "n", "o"), "hub")
-    near = near.where((F.col("cx") != F.col("cy")) & (F.least("ox", "o") * both >= (F.col("nx") + F.col("n")) * percent))
+    inner = stragglers.where("wanting <= 0").select(
+        "hub", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("salt"),
+        F.col("other").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("o").alias("ox"), F.col("bits").alias("bx"),
+    )
+    others = parted.select(
+        "hub", F.pmod(F.xxhash64("other"), F.col("parts") + 1).alias("salt"),
+        F.col("other").alias("y"), F.col("component").alias("cy"), "n", "o", "bits",
+    )
+    needed = (F.col("nx") + F.col("n")) * percent
+    inside = F.aggregate(F.zip_with("bx", "bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda sum_, n: sum_ + n)
+    near = inner.join(others, ["hub", "salt"])
+    near = near.where((F.col("cx") != F.col("cy")) & (F.least("ox", "o") * both >= needed) & (inside * both >= needed))
     pairs = met.union(near.select("x", "y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -379,16 +411,18 @@ def near_duplicates(
     classes = stored(named.select(node.alias("node"), "doc_id", "digest", "n_shingles", "signature"), "classes")
 
     lists = stored(shared_lists(stored(prefixes(classes, frequencies(classes)), "postings")), "lists")
-    pairs = stored(above_threshold(hub_pairs(lists), classes, percent), "pairs")
-    # The sets of all classes that share a list with another, made once.
-    full = sets_of(lists.select("node"), classes, docs, key, text)
-    links = stored(verified(pairs, full, percent), "links")
+    pairs = stored(hub_pairs(lists), "pairs")
+    near = above_threshold(pairs.where("NOT long").select(F.col("hub").alias("a"), F.col("other").alias("b")), classes, percent)
+    near = near.select(F.col("a").alias("hub"), F.col("b").alias("other"), F.lit(False).alias("long"))
+    near = stored(near.unionByName(pairs.where("long")), "pairs")
+    members = stored(compared(near, classes, docs, key, text, percent), "members")
+    links = stored(members.where("linked").select(F.col("hub").alias("u"), F.col("other").alias("v")), "links")
     labels = stored(components(links), "labels")
-    left = stored(open_lists(lists, labels), "lists")
-    short = remaining_pairs(left.where(F.col("n") <= SHORT), classes, percent)
-    long = beyond_hubs(left.where(F.col("n") > SHORT), labels, full, percent)
-    rest = stored(short.union(above_threshold(stored(long, "pairs"), classes, percent)).distinct(), "pairs")
-    links = links.unionByName(verified(rest, full, percent))
+    left = open_lists(lists.where(F.col("n") <= SHORT).drop("n"), labels)
+    short = remaining_pairs(left, classes, percent)
+    long = above_threshold(stored(beyond_hubs(members.where("long"), labels, percent), "pairs"), classes, percent)
+    rest = stored(short.union(long).distinct(), "pairs")
+    links = links.unionByName(verified(rest, classes, docs, key, text, percent))
     labels = stored(components(links), "labels")
 
     grouped = classes.select("digest", "doc_id", "node").join(labels, "node", "left").select(
