@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainguard.llm.columns import SHINGLE, SIMILAR_PERCENT, stored
@@ -45,6 +45,8 @@ SEEN = 3
 SHORT = 64
 #: Members of a list, or partners of a hub, that one task compares.
 BLOCK = 4096
+#: Bits of a summary of the hub's shingles that a member has.
+BRIEF = 512
 #: Numbers of compared pairs that a task holds before it puts them out.
 HELD = 1 << 22
 FACTORS, FLIPS = numbers(11, COORDINATES), numbers(12, COORDINATES)
@@ -211,11 +213,11 @@ def with_sets(places: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
 def compared(
     pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int
 ) -> DataFrame:
-    """(hub, parts, long, other, n, o, h, linked, outer, bits) of each pair (hub, other, long), from the full sets.
+    """(hub, parts, long, other, n, o, h, linked, outer, bits, brief) of each pair (hub, other, long), from the full sets.
 
     ``n`` and ``h`` are the sizes of both sets, ``o`` the shingles in both, ``linked`` whether these are enough. For
     long pairs ``bits`` says which of the hub's shingles the partner has, and ``outer`` holds its other ones; where all
-    long partners of a hub stand side by side, those that no other has are left out.
+    long partners of a hub stand side by side, those that no other has are left out. ``brief`` is ``bits`` folded to ``BRIEF``.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +234,9 @@ def compared(
             columns = [pa.array([x[k] for x in block], t) for k, t in enumerate(types)]
             columns.append(pa.array([100 * x[5] >= percent * (x[4] + x[6] - x[5]) for x in block], pa.bool_()))
             columns.append(pa.array([None if x is None else x.view(np.int64) for x in outer], lists))
-            columns.append(pa.array([x[8] for x in block], lists))
-            return pa.RecordBatch.from_arrays(columns, ["hub", "parts", "long", "other", "n", "o", "h", "linked", "outer", "bits"])
+            columns += [pa.array([x[k] for x in block], lists) for k in (8, 9)]
+            names = ["hub", "parts", "long", "other", "n", "o", "h", "linked", "outer", "bits", "brief"]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             columns = [batch[c].to_pylist() for c in ("hub", "parts", "salt", "long", "role", "other")]
@@ -255,12 +258,13 @@ def compared(
                 elif at == (hub, salt):
                     place = np.searchsorted(mine, own)
                     inside = mine[np.minimum(place, len(mine) - 1)] == own
-                    outer = bits = None
+                    outer = bits = brief = None
                     if long:
-                        has = np.zeros(-(-len(mine) // 64) * 64, bool)
+                        has = np.zeros(-(-len(mine) // BRIEF) * BRIEF, bool)
                         has[place[inside]] = True
                         outer, bits = own[~inside], np.packbits(has).view(np.int64)
-                    block.append((hub, parts, long, other, len(own), int(inside.sum()), len(mine), outer, bits))
+                        brief = np.packbits(has.reshape(-1, BRIEF).any(0)).view(np.int64)
+                    block.append((hub, parts, long, other, len(own), int(inside.sum()), len(mine), outer, bits, brief))
                     held += 16 + (len(outer) + len(bits) if long else 0)
         if block:
             yield rows(not parted and block[0][1] == 0)
@@ -268,7 +272,7 @@ def compared(
     sets = with_sets(at_hubs(pairs), classes, docs, key, text)
     return sets.mapInArrow(
         compare,
-        "hub long, parts long, long boolean, other long, n long, o long, h long, linked boolean, outer array<long>, bits array<long>",
+        "hub long, parts long, long boolean, other long, n long, o long, h long, linked boolean, outer array<long>, bits array<long>, brief array<long>",
     )
 
 
@@ -291,10 +295,11 @@ def beyond_hubs(members: DataFrame, labels: DataFrame, percent: int) -> DataFram
     Let *o* be what a member shares with its hub. Two members share at most the smaller *o* inside the hub, so a
     pair whose sizes ask for more must share shingles outside it, as many as are wanting. A member that is not
     linked with the hub (a *straggler*) therefore probes the members with its outer shingles, all but as many as
-    are wanting less one, the rarest first. A pair that shares none outside is similar if what it shares inside is
+    are wanting less one, the rarest first, and keeps those with which it can share enough: inside no more than the folded
+    bits of both allow, outside no more than the smaller number. A pair that shares none outside is similar if what it shares inside is
     enough by itself: the bits of both count that, and only such pairs leave the join by blocks of a hub.
     """
-    named = members.select("hub", "parts", "other", "n", "o").join(labels.withColumnRenamed("node", "other"), "other", "left")
+    named = members.select("hub", "parts", "other", "n", "o", "h").join(labels.withColumnRenamed("node", "other"), "other", "left")
     named = named.join(labels.select(F.col("node").alias("hub"), F.col("component").alias("core")), "hub", "left")
     misses = F.coalesce("component", "other") != F.coalesce("core", "hub")
     named = stored(named.withColumns({"component": F.coalesce("component", "other"), "straggles": misses}).drop("core"), "named")
@@ -303,19 +308,30 @@ def beyond_hubs(members: DataFrame, labels: DataFrame, percent: int) -> DataFram
     both = 100 + percent
     wanting = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / both) - F.col("o")
     opened = named.join(hubs, "hub").withColumn("wanting", wanting)
-    parted = stored(opened.join(members.select("hub", "other", "outer", "bits"), ["hub", "other"]), "parted")
+    parted = stored(opened.join(members.select("hub", "other", "outer", "bits", "brief"), ["hub", "other"]), "parted")
     stragglers = parted.where("straggles")
 
     # All but as many as are wanting less one: those that were not sent, the rarest, are among them.
-    outer = parted.select("hub", F.col("other").alias("y"), F.col("component").alias("cy"), F.explode("outer").alias("s"))
+    outer = parted.select(
+        "hub", F.col("other").alias("y"), F.col("component").alias("cy"), "n", "o", "h", F.col("brief").alias("by"), F.explode("outer").alias("s")
+    )
     often = outer.groupBy("hub", "s").agg(F.count("y").alias("often"))
     probes = stragglers.select(
         "hub", F.col("other").alias("x"), F.col("component").alias("cx"), F.explode("outer").alias("s"),
         (F.size("outer") - F.greatest("wanting", F.lit(1)) + 1).alias("some"),
+        F.col("n").alias("nx"), F.col("o").alias("ox"), F.col("brief").alias("bx"),
     ).join(often, ["hub", "s"])
     rank = F.row_number().over(Window.partitionBy("hub", "x").orderBy("often", "s"))
-    probes = probes.withColumn("rank", rank).where("rank <= some AND often > 1").select("hub", "x", "cx", "s")
-    met = probes.join(outer, ["hub", "s"]).where("cx <> cy").select("x", "y")
+    probes = probes.withColumn("rank", rank).where("rank <= some AND often > 1").drop("some", "often", "rank")
+
+    def common(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda sum_, n: sum_ + n)
+
+    needed = (F.col("nx") + F.col("n")) * percent
+    # A folded bit stands for at most so many of the hub's shingles; it is exact in hubs of up to ``BRIEF``.
+    most = F.least(F.col("ox"), F.col("o"), common("bx", "by") * F.ceil(F.col("h") / BRIEF))
+    beside = F.least(F.col("nx") - F.col("ox"), F.col("n") - F.col("o"))
+    met = probes.join(outer, ["hub", "s"]).where((F.col("cx") != F.col("cy")) & ((most + beside) * both >= needed)).select("x", "y")
     inner = stragglers.where("wanting <= 0").select(
         "hub", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("salt"),
         F.col("other").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("o").alias("ox"), F.col("bits").alias("bx"),
@@ -324,8 +340,7 @@ def beyond_hubs(members: DataFrame, labels: DataFrame, percent: int) -> DataFram
         "hub", F.pmod(F.xxhash64("other"), F.col("parts") + 1).alias("salt"),
         F.col("other").alias("y"), F.col("component").alias("cy"), "n", "o", "bits",
     )
-    needed = (F.col("nx") + F.col("n")) * percent
-    inside = F.aggregate(F.zip_with("bx", "bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda sum_, n: sum_ + n)
+    inside = common("bx", "bits")
     near = inner.join(others, ["hub", "salt"])
     near = near.where((F.col("cx") != F.col("cy")) & (F.least("ox", "o") * both >= needed) & (inside * both >= needed))
     pairs = met.union(near.select("x", "y"))
