@@ -47,6 +47,8 @@ SHORT = 64
 BLOCK = 4096
 #: Bits of a summary of the hub's shingles that a member has.
 BRIEF = 512
+#: Bits of a summary of a member's shingles outside the hub.
+FRINGE = 1024
 #: Numbers of compared pairs that a task holds before it puts them out.
 HELD = 1 << 22
 FACTORS, FLIPS = numbers(11, COORDINATES), numbers(12, COORDINATES)
@@ -210,14 +212,24 @@ def with_sets(places: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     return made.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "other")
 
 
+def folded(outer: np.ndarray | None) -> tuple[np.ndarray | None, int | None]:
+    """(bits, spare): shingles as ``FRINGE`` bits, and how many of them fall on a bit that another one has set."""
+    if outer is None:
+        return None, None
+    has = np.zeros(FRINGE, bool)
+    has[(outer & U64(FRINGE - 1)).astype(np.int64)] = True
+    return np.packbits(has).view(np.int64), len(outer) - int(has.sum())
+
+
 def compared(
     pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int
 ) -> DataFrame:
-    """(hub, parts, long, other, n, o, h, linked, outer, bits, brief) of each pair (hub, other, long), from the full sets.
+    """(hub, parts, long, other, n, o, h, linked, outer, bits, brief, fringe, spare) of each pair (hub, other, long), from the full sets.
 
     ``n`` and ``h`` are the sizes of both sets, ``o`` the shingles in both, ``linked`` whether these are enough. For
     long pairs ``bits`` says which of the hub's shingles the partner has, and ``outer`` holds its other ones; where all
-    long partners of a hub stand side by side, those that no other has are left out. ``brief`` is ``bits`` folded to ``BRIEF``.
+    long partners of a hub stand side by side, those that no other has are left out. ``brief`` is ``bits`` folded to ``BRIEF``,
+    ``fringe`` is ``outer`` by the last bits of its hashes, and ``spare`` how many of ``outer`` share a bit with one before them.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +241,15 @@ def compared(
                 values, seen = np.unique(np.concatenate([x for x in outer if x is not None]), return_counts=True)
                 values = values[seen > 1]
                 outer = [None if x is None else np.intersect1d(x, values, assume_unique=True) for x in outer]
+            fringe, spare = zip(*map(folded, outer), strict=True)
             longs, lists = pa.int64(), pa.list_(pa.int64())
             types = [longs, longs, pa.bool_(), longs, longs, longs, longs]
             columns = [pa.array([x[k] for x in block], t) for k, t in enumerate(types)]
             columns.append(pa.array([100 * x[5] >= percent * (x[4] + x[6] - x[5]) for x in block], pa.bool_()))
             columns.append(pa.array([None if x is None else x.view(np.int64) for x in outer], lists))
             columns += [pa.array([x[k] for x in block], lists) for k in (8, 9)]
-            names = ["hub", "parts", "long", "other", "n", "o", "h", "linked", "outer", "bits", "brief"]
+            columns += [pa.array(fringe, lists), pa.array(spare, longs)]
+            names = ["hub", "parts", "long", "other", "n", "o", "h", "linked", "outer", "bits", "brief", "fringe", "spare"]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
@@ -272,7 +286,8 @@ def compared(
     sets = with_sets(at_hubs(pairs), classes, docs, key, text)
     return sets.mapInArrow(
         compare,
-        "hub long, parts long, long boolean, other long, n long, o long, h long, linked boolean, outer array<long>, bits array<long>, brief array<long>",
+        "hub long, parts long, long boolean, other long, n long, o long, h long, linked boolean, outer array<long>, bits array<long>, brief array<long>, "
+        "fringe array<long>, spare long",
     )
 
 
@@ -296,7 +311,8 @@ def beyond_hubs(members: DataFrame, labels: DataFrame, percent: int) -> DataFram
     pair whose sizes ask for more must share shingles outside it, as many as are wanting. A member that is not
     linked with the hub (a *straggler*) therefore probes the members with its outer shingles, all but as many as
     are wanting less one, the rarest first, and keeps those with which it can share enough: inside no more than the folded
-    bits of both allow, outside no more than the smaller number. A pair that shares none outside is similar if what it shares inside is
+    bits of both allow, outside no more than the smaller number, or than the bits of both fringes and the shingles that
+    set none. A pair that shares none outside is similar if what it shares inside is
     enough by itself: the bits of both count that, and only such pairs leave the join by blocks of a hub.
     """
     named = members.select("hub", "parts", "other", "n", "o", "h").join(labels.withColumnRenamed("node", "other"), "other", "left")
@@ -308,18 +324,20 @@ def beyond_hubs(members: DataFrame, labels: DataFrame, percent: int) -> DataFram
     both = 100 + percent
     wanting = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / both) - F.col("o")
     opened = named.join(hubs, "hub").withColumn("wanting", wanting)
-    parted = stored(opened.join(members.select("hub", "other", "outer", "bits", "brief"), ["hub", "other"]), "parted")
+    parted = stored(opened.join(members.select("hub", "other", "outer", "bits", "brief", "fringe", "spare"), ["hub", "other"]), "parted")
     stragglers = parted.where("straggles")
 
     # All but as many as are wanting less one: those that were not sent, the rarest, are among them.
     outer = parted.select(
-        "hub", F.col("other").alias("y"), F.col("component").alias("cy"), "n", "o", "h", F.col("brief").alias("by"), F.explode("outer").alias("s")
+        "hub", F.col("other").alias("y"), F.col("component").alias("cy"), "n", "o", "h", F.col("brief").alias("by"),
+        F.col("fringe").alias("fy"), F.col("spare").alias("sy"), F.explode("outer").alias("s")
     )
     often = outer.groupBy("hub", "s").agg(F.count("y").alias("often"))
     probes = stragglers.select(
         "hub", F.col("other").alias("x"), F.col("component").alias("cx"), F.explode("outer").alias("s"),
         (F.size("outer") - F.greatest("wanting", F.lit(1)) + 1).alias("some"),
         F.col("n").alias("nx"), F.col("o").alias("ox"), F.col("brief").alias("bx"),
+        F.col("fringe").alias("fx"), F.col("spare").alias("sx"),
     ).join(often, ["hub", "s"])
     rank = F.row_number().over(Window.partitionBy("hub", "x").orderBy("often", "s"))
     probes = probes.withColumn("rank", rank).where("rank <= some AND often > 1").drop("some", "often", "rank")
@@ -330,7 +348,8 @@ def beyond_hubs(members: DataFrame, labels: DataFrame, percent: int) -> DataFram
     needed = (F.col("nx") + F.col("n")) * percent
     # A folded bit stands for at most so many of the hub's shingles; it is exact in hubs of up to ``BRIEF``.
     most = F.least(F.col("ox"), F.col("o"), common("bx", "by") * F.ceil(F.col("h") / BRIEF))
-    beside = F.least(F.col("nx") - F.col("ox"), F.col("n") - F.col("o"))
+    # Shared shingles set shared bits, but for those that either side counts as spare.
+    beside = F.least(F.col("nx") - F.col("ox"), F.col("n") - F.col("o"), common("fx", "fy") + F.least("sx", "sy"))
     met = probes.join(outer, ["hub", "s"]).where((F.col("cx") != F.col("cy")) & ((most + beside) * both >= needed)).select("x", "y")
     inner = stragglers.where("wanting <= 0").select(
         "hub", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("salt"),

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from grainguard.llm import neardup
@@ -105,3 +106,17 @@ def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op3_coordinate_join"](spark, sf).collect())) == sorted(brute(rows))
+
+
+def test_folded_shingles_bound_what_two_sets_share():
+    rng = np.random.default_rng(3)
+    pool = neardup.mix(np.arange(1, 6001, dtype=np.uint64))
+    for size in (0, 1, 40, 700, 5000):
+        sets = [np.sort(rng.choice(pool, size, replace=False)) for _ in range(8)]
+        bits = [neardup.folded(s) for s in sets]
+        for s, (f, spare) in zip(sets, bits, strict=True):
+            assert len(f) * 64 == neardup.FRINGE
+            for t, (g, other) in zip(sets, bits, strict=True):
+                both = sum(int(x).bit_count() for x in (f & g).view(np.uint64).tolist())
+                assert len(np.intersect1d(s, t)) <= both + min(spare, other)
+    assert neardup.folded(None) == (None, None)
