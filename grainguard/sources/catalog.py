@@ -97,7 +97,9 @@ def catalog_rows_from_tables(
 ) -> DataFrame:
     """The catalog query as joins on information-schema tables: base tables of one schema, their columns and keys.
 
-    ``within`` names extra key columns, such as the database an export came from.
+    ``within`` names extra key columns, such as the database an export came from. No side is known to be small: where the
+    tables are made from fewer rows, the engine's estimate of their size is too low by as much, so they are merged and not
+    broadcast through the driver.
     """
     own = list(within)
     base = tables.where((F.col("table_schema") == schema_name) & (F.col("table_type") == "BASE TABLE"))
@@ -110,8 +112,8 @@ def catalog_rows_from_tables(
     )
     is_fk = F.col("constraint_type") == "FOREIGN KEY"
     keys = (
-        key_usage.join(constraints.select(*own, "constraint_name", "constraint_type"), [*own, "constraint_name"])
-        .join(targets, [*own, "constraint_name"], "left")
+        key_usage.join(constraints.select(*own, "constraint_name", "constraint_type").hint("merge"), [*own, "constraint_name"])
+        .join(targets.hint("merge"), [*own, "constraint_name"], "left")
         .select(
             *own, "table_name", "column_name", "constraint_type",
             F.when(is_fk, F.col("foreign_table_name")).alias("foreign_table_name"),
@@ -120,8 +122,8 @@ def catalog_rows_from_tables(
     )
     return (
         base.select(*own, "table_name")
-        .join(wanted, [*own, "table_name"])
-        .join(keys, [*own, "table_name", "column_name"], "left")
+        .join(wanted.hint("merge"), [*own, "table_name"])
+        .join(keys.hint("merge"), [*own, "table_name", "column_name"], "left")
     )
 
 

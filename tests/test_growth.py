@@ -38,3 +38,10 @@ def test_copies_of_keys_are_not_broadcast(spark):
         found = G.attribute_requests(requests, keys)
         assert not any("Broadcast" in line for line in plan(found))
     assert {(r.event_id, r.user_id, r.accepted) for r in found.collect()} == {(1, 7, True), (2, None, False)}
+
+
+def test_exploded_catalogs_are_not_broadcast(spark):
+    with fixed_plans(spark):
+        lines = plan(QUERIES["catalog_ingest"](spark, FOLDER))
+    assert not any("Broadcast" in line for line in lines)
+    assert "Aggregate" not in below_last_exchange(lines)
