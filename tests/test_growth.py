@@ -45,3 +45,10 @@ def test_exploded_catalogs_are_not_broadcast(spark):
         lines = plan(QUERIES["catalog_ingest"](spark, FOLDER))
     assert not any("Broadcast" in line for line in lines)
     assert "Aggregate" not in below_last_exchange(lines)
+
+
+def test_catalog_rows_are_dealt_out_before_they_are_sorted(spark):
+    with fixed_plans(spark):
+        for key in ("catalog_fold", "synth_row_budget"):
+            read = below_last_exchange(plan(QUERIES[key](spark, FOLDER)))
+            assert "Sort" not in read and "Aggregate" not in read
