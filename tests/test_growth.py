@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grainguard.bindings import QUERIES
 from grainguard.operators import governance as G
+from grainguard.operators import rules as R
 from tests.oracle import DATA
 
 FOLDER = f"{DATA}/sf0.001"
@@ -52,3 +53,22 @@ def test_catalog_rows_are_dealt_out_before_they_are_sorted(spark):
         for key in ("catalog_fold", "synth_row_budget"):
             read = below_last_exchange(plan(QUERIES[key](spark, FOLDER)))
             assert "Sort" not in read and "Aggregate" not in read
+
+
+def test_qualification_neither_sorts_nor_deals_the_log_by_column_name(spark):
+    with fixed_plans(spark):
+        lines = plan(QUERIES["rule_qualification"](spark, FOLDER))
+    assert not any("SortAggregate" in line or "SortMergeJoin" in line for line in lines)
+
+
+def test_qualification_asks_for_another_table(spark):
+    rule = R.Rule("q", "q", "required_column_qualification", table="Orders")
+    catalog = spark.createDataFrame([("orders", "id")], "table_name string, column_name string")
+    rows = [
+        (1, "ORDERS", "id", "select", False), (1, "orders", "x", "where", True),  # one table, two spellings
+        (2, "orders", "id", "select", False), (2, None, "x", "where", True),
+        (3, "orders", "id", "select", False), (3, "parts", "x", "where", True),
+        (4, "parts", "id", "select", False), (4, "other", "x", "where", True),
+    ]
+    refs = spark.createDataFrame(rows, "query_id int, table_name string, column_name string, clause string, qualified boolean")
+    assert [r.query_id for r in R.rule_qualification(refs, [rule], catalog).collect()] == [3]
