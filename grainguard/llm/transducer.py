@@ -39,6 +39,13 @@ CACHED_LETTERS = 256
 # White space as the tokenizers library knows it.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE = regex.compile("[" + "".join(map(chr, WHITE)) + "]+")
+# White space to Python alone; otherwise both know the same.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def runs_of(text: str) -> list[str]:
+    """The runs of a text without white space."""
+    return SPACE.split(text) if any(c in text for c in SEPARATORS) else text.split()
 
 
 def byte_letters() -> list[str]:
@@ -114,6 +121,7 @@ class Transducer:
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest = sorted(self.added, key=len, reverse=True)
+        self.marks = {content[0] for content in self.added if content}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
 
         self.end = model.get("end_of_word_suffix") or ""
@@ -171,7 +179,8 @@ class Transducer:
 
     def encode_word(self, word: str) -> Iterator[bytes]:
         """Ids of a run without white space as native 32-bit integers."""
-        for part in self.specials.split(word) if self.specials else [word]:
+        marked = any(mark in word for mark in self.marks)
+        for part in self.specials.split(word) if marked else [word]:
             if part in self.added:
                 yield array("i", [self.added[part]]).tobytes()
             else:
@@ -179,7 +188,7 @@ class Transducer:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, word by word."""
-        return np.frombuffer(b"".join(map(self.words.__getitem__, SPACE.split(text))), "i4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, runs_of(text))), "i4")
 
 
 class Decoder:
@@ -209,10 +218,14 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> str:
-        found = [token for i in ids if (token := self.table.get(i)) is not None]
-        if not found:
+        try:
+            found = self.between.join(map(self.table.__getitem__, ids))
+        except KeyError:
+            ids = [i for i in ids if i in self.table]
+            found = self.between.join(map(self.table.__getitem__, ids))
+        if not ids:
             return ""
-        data = self.waiting + self.between.join(found)
+        data = self.waiting + found
         self.waiting = self.between
         if self.words and data.endswith(b" "):
             data, self.waiting = data[:-1], b" "

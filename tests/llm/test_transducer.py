@@ -130,3 +130,27 @@ def test_query_against_the_library(spark):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_patterns_run_only_where_they_can_match(monkeypatch):
+    used = []
+
+    class Watched:
+        def __init__(self, name, pattern):
+            self.name, self.pattern = name, pattern
+
+        def split(self, text):
+            used.append((self.name, text))
+            return self.pattern.split(text)
+
+    monkeypatch.setattr(transducer, "SPACE", Watched("space", transducer.SPACE))
+    monkeypatch.setattr(MODEL, "specials", Watched("specials", MODEL.specials))
+    for text in ("plain words　 of unseenplainword", "x<|endoftext|>unseeny\x85b", "a\x1cb c\x1f d"):
+        assert own(text) == ids_of(text)
+    assert used == [("specials", "x<|endoftext|>unseeny"), ("space", "a\x1cb c\x1f d")]
+
+
+def test_unknown_ids_decode_to_nothing():
+    ids = ids_of("one two")
+    assert transducer.decoded_text(MODEL, [-1, *ids, 10**8]) == LIBRARY.decode(ids, skip_special_tokens=False)
+    assert transducer.decoded_text(MODEL, [-1]) == ""
