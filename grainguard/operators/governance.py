@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainguard.operators.times import days_before, naive
-from grainguard.plans.shapes import ratio, salted_left_join, total
+from grainguard.plans.shapes import dealt, ratio, salted_left_join, total
 from grainguard.plans.sorted_chunks import any_over_limit, exact_ranks
+from grainguard.session import cut
 from grainguard.sources.snapshots import ACTION, ALTER, DROP, KEEP, write_back
 from grainguard.sources.snapshots import read as read_snapshot
 
@@ -357,9 +358,10 @@ def erase_from_tables(spark: SparkSession, tables: Mapping[str, tuple], requests
     parent id, parent table name, parent key). What hangs on a table goes before it, so a run that dies halfway still
     finds the parents and can be repeated.
     """
-    gone = requests.select(F.col("user_id").alias("_gone")).where("_gone IS NOT NULL").distinct()
+    gone = cut(requests.select(F.col("user_id").alias("_gone")).where("_gone IS NOT NULL").distinct())
 
     def marked(rows: DataFrame, column: str, ids: DataFrame, action: str) -> DataFrame:
+        rows, ids = dealt(rows, column, ids, "_gone")
         found = rows.join(ids.select(F.col("_gone").alias("_id"), F.lit(action).alias("_hit")), F.col(column) == F.col("_id"), "left")
         return found.withColumn(ACTION, F.coalesce("_hit", F.lit(KEEP)))
 
@@ -370,8 +372,8 @@ def erase_from_tables(spark: SparkSession, tables: Mapping[str, tuple], requests
             return lambda rows: marked(rows, args[0], gone, ALTER).withColumn(args[0], F.when(F.col(ACTION) == KEEP, F.col(args[0])))
         parent_id, parent, parent_key = args
         _, parent_root, user = tables[parent]
-        parents = read_snapshot(spark, parent_root).join(gone, F.col(user) == F.col("_gone"), "left_semi")
-        lost = parents.select(F.col(parent_key).alias("_gone")).distinct()
+        parents, users = dealt(read_snapshot(spark, parent_root).select(parent_key, user), user, gone, "_gone")
+        lost = cut(parents.join(users, F.col(user) == F.col("_gone"), "left_semi").select(F.col(parent_key).alias("_gone")).distinct())
         return lambda rows: marked(rows, parent_id, lost, DROP)
 
     order = sorted(tables, key=lambda name: tables[name][0] != "cascade")

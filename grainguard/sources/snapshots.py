@@ -26,9 +26,15 @@ ACTION = "__action"
 KEEP, DROP, ALTER = "keep", "drop", "alter"
 
 
-def _relative() -> Column:
-    """Path of a row's file below the table's folder."""
-    return F.substring_index(F.col("_metadata.file_path"), "/", -2)
+def _file() -> Column:
+    """Hash of the path of a row's file below the table's folder: it travels with every row, so a long will do."""
+    return F.xxhash64(F.substring_index(F.col("_metadata.file_path"), "/", -2))
+
+
+def _named(spark: SparkSession, files: list[str], hashes: list[int]) -> list[str]:
+    """The files with these hashes. Should two share one, both are rewritten, and rows stay as they have to be."""
+    names = spark.createDataFrame([(name,) for name in files], "name string").select("name", F.xxhash64("name").alias(FILE))
+    return sorted(row["name"] for row in names.where(F.col(FILE).isin(hashes)).collect())
 
 
 def _new_files(spark: SparkSession, root: str, folder: str) -> list[str]:
@@ -72,13 +78,13 @@ def write_back(spark: SparkSession, root: str, change: Callable[[DataFrame], Dat
     if not now["files"]:
         return {"version": now["version"], "rewritten": 0, "kept": 0}
     columns = _read(spark, root, now, now["files"]).columns
-    named = _read(spark, root, now, now["files"]).withColumn(FILE, _relative())
+    named = _read(spark, root, now, now["files"]).withColumn(FILE, _file())
     hit = change(named).where(F.col(ACTION) != KEEP).select(FILE).distinct()
-    touched = sorted(row[FILE] for row in hit.collect())  # file names only
+    touched = _named(spark, now["files"], [row[FILE] for row in hit.collect()])  # a number a file
     if not touched:
         return {"version": now["version"], "rewritten": 0, "kept": len(now["files"])}
     folder = f"files-{os.urandom(8).hex()}"
-    rows = change(_read(spark, root, now, touched).withColumn(FILE, _relative())).where(F.col(ACTION) != DROP)
+    rows = change(_read(spark, root, now, touched).withColumn(FILE, _file())).where(F.col(ACTION) != DROP)
     # A file's rows stay together, so what statistics could skip before they can skip after.
     rows.repartition(len(touched), FILE).select(*columns).write.parquet(f"{root}/{folder}")
     kept = [name for name in now["files"] if name not in set(touched)]

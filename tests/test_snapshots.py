@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainguard.operators import governance as G
+from grainguard.plans import shapes
 from grainguard.session import new_folder
 from grainguard.sources import snapshots
 from grainguard.sources.snapshots import ACTION, DROP, KEEP
@@ -103,3 +104,39 @@ def test_erasing_in_three_tables(spark):
     again = G.erase_from_tables(spark, tables, requests)
     assert all(again[name]["rewritten"] == 0 for name in made)
     assert os.path.isdir(roots["audit"])
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_erasing_in_as_many_tasks_as_rows_ask_for(spark, monkeypatch, request, hot):
+    """Rows whose columns compress well are not put into a few large tasks; a task that a key would fill is left to the engine."""
+    if hot:
+        request.getfixturevalue("every_key_hot")
+    monkeypatch.setattr(shapes, "TASK_ROWS", 100)
+    monkeypatch.setattr(shapes.is_small, "__defaults__", (0,))
+    made = {"runs": spark.range(3000).selectExpr("id", "CASE WHEN id % 9 = 0 THEN NULL ELSE id % 500 END AS user_id"), "finds": spark.range(5000).selectExpr("id % 3500 AS run_id", "id AS seq")}
+    roots = {name: new_folder(spark, name) for name in made}
+    for name, df in made.items():
+        snapshots.create(df.repartition(5), roots[name])
+    requests = spark.range(0, 500, 2).selectExpr("id AS user_id")
+    tables = {"runs": ("delete", roots["runs"], "user_id"), "finds": ("cascade", roots["finds"], "run_id", "runs", "id")}
+    want = G.erase_accounts({n: (how, made[n], *more) for n, (how, _, *more) in tables.items()}, requests, AS_OF)
+    seen, join = [], shapes.dealt
+    monkeypatch.setattr(G, "dealt", lambda *args: seen.append(join(*args)) or seen[-1])
+    G.erase_from_tables(spark, tables, requests)
+    for name in made:
+        assert sorted_rows(snapshots.read(spark, roots[name])) == sorted_rows(want[name])
+    assert all(("RepartitionByExpression" in rows._jdf.queryExecution().analyzed().toString()) != hot for rows, _ in seen)
+
+
+def test_a_row_carries_a_number_for_its_file(spark):
+    root = new_folder(spark, "t")
+    snapshots.create(rows(spark, 100).repartition(4, "id"), root)
+    carried = []
+
+    def change(r):
+        carried.append(r.schema[snapshots.FILE].dataType.typeName())
+        return r.withColumn(ACTION, F.when(F.col("id") == 1, DROP).otherwise(KEEP))
+
+    done = snapshots.write_back(spark, root, change)
+    assert carried == ["long", "long"] and done["rewritten"] == 1 and done["kept"] == 3
+    assert sorted(r["id"] for r in snapshots.read(spark, root).collect()) == [0, *range(2, 100)]
