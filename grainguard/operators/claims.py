@@ -7,7 +7,7 @@ failure releases the claim at once.
 
 Attempts that do not fail are spaced: the next one that is accepted is the first that comes at least the stale limit
 later, and none comes after a completed one. All else follows from that chain. A key of up to ``FOLDED`` attempts is
-folded as one array. A longer one finds each attempt's successor by an as-of lookup and marks the chain from its
+folded as one array, piece by piece, so that its time is that of its attempts. A longer one finds each attempt's successor by an as-of lookup and marks the chain from its
 first attempt by doubling the steps, so its work is spread over all tasks, in a number of rounds that grows with the
 logarithm of the chain.
 """
@@ -46,7 +46,8 @@ def fold(t: list, completed: list, failed: list, gate: int, stale: int) -> tuple
     return found, gate
 
 
-FOLDED = 4096
+FOLDED = 65_536
+PIECE = 64  # an outcome is put to its piece's by copying them, a piece's to the pieces before it in the same way
 OUTCOMES = ["processed", "duplicate", "in_flight", "reclaimed"]
 
 
@@ -98,8 +99,16 @@ def folded(rows: DataFrame, stale: int) -> DataFrame:
         )
         return F.struct(F.when(accepted, left).otherwise(state["gate"]).alias("gate"), F.concat(state["codes"], F.array(code)).alias("codes"))
 
-    start = F.struct(F.lit(FREE).alias("gate"), F.array().cast("array<tinyint>").alias("codes"))
-    labelled = rows.groupBy("key").agg(in_order.alias("a")).select("key", "a", F.aggregate("a", start, step)["codes"].alias("codes"))
+    def fold_piece(state: Column, piece: Column) -> Column:
+        start = F.struct(state["now"]["gate"].alias("gate"), F.array().cast("array<tinyint>").alias("codes"))
+        return F.struct(F.aggregate(piece, start, step).alias("now"), F.concat(state["before"], F.array(state["now"]["codes"])).alias("before"))
+
+    now = F.struct(F.lit(FREE).alias("gate"), F.array().cast("array<tinyint>").alias("codes"))
+    begin = F.struct(now.alias("now"), F.array().cast("array<array<tinyint>>").alias("before"))
+    grouped = rows.groupBy("key").agg(in_order.alias("a"))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("a"), F.lit(PIECE)), lambda i: F.slice("a", i, PIECE))
+    codes = F.aggregate(pieces, begin, fold_piece, lambda end: F.flatten(F.concat(end["before"], F.array(end["now"]["codes"]))))
+    labelled = grouped.select("key", "a", codes.alias("codes"))
     pairs = labelled.select("key", F.explode(F.arrays_zip(F.col("a.attempt").alias("attempt"), "codes")).alias("p"))
     return pairs.select("key", F.col("p.attempt").alias("attempt"), F.get(F.array(*map(F.lit, OUTCOMES)), F.col("p.codes")).alias("outcome"))
 

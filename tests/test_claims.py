@@ -71,3 +71,24 @@ def test_a_key_longer_than_an_array_beside_short_ones(spark, monkeypatch):
 
 def test_no_attempts(spark):
     assert outcomes(spark, []) == {}
+
+
+def test_a_key_of_thousands_of_attempts_is_folded(spark, monkeypatch):
+    """Its time grows with its attempts: neither the doubled steps of a chain nor an outcome put to all before it."""
+    from grainguard.operators import claims
+
+    monkeypatch.setattr(claims, "chained", None)
+    draw = random.Random(7)
+    month = 30 * 86_400_000_000
+    rows = [(key, at := draw.randrange(month), attempt, key == 1 and at > month // 2, False) for key in (0, 1) for attempt in range(6000)]
+    got = outcomes(spark, rows)
+    assert got == one_by_one(rows) and len(set(got.values())) == 4
+
+
+@pytest.mark.parametrize("piece", [1, 3, 64])
+def test_pieces_of_a_fold(spark, monkeypatch, piece):
+    from grainguard.operators import claims
+
+    monkeypatch.setattr(claims, "PIECE", piece)
+    rows = attempts(8, 60_000_000)
+    assert outcomes(spark, rows) == one_by_one(rows)
