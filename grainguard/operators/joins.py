@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType
 
-from grainguard.plans.intervals import overlapping_keys, points_in_intervals
+from grainguard.plans.intervals import interval_keys, points_in_intervals
 from grainguard.plans.shapes import (
     WIDE,
     as_list,
@@ -28,7 +28,7 @@ from grainguard.plans.shapes import (
     total,
     unpivot_row,
 )
-from grainguard.plans.sorted_chunks import carry_last
+from grainguard.plans.sorted_chunks import HOT_KEY_SETTING, carry_last
 from grainguard.session import cut
 
 Keys = str | Sequence[str]
@@ -430,9 +430,10 @@ def effective_date_join(
     """Give each fact row every version valid at its time: valid_from <= t AND (valid_to IS NULL OR t < valid_to).
 
     Keys whose versions do not overlap are merged in time order and the latest version is carried forward, linear in
-    rows even for a key with millions of both. Keys with overlapping versions, found by one look at each version's
-    successor, are joined by blocks of facts (``plans.intervals``). Facts without a valid version, a key or a time
-    drop out, and so do versions without a start; empty versions are valid at no time.
+    rows even for a key with millions of both. If versions overlap, found by one look at each version's successor, a
+    fact meets all versions of its key where these are at most ``FEW_VERSIONS``. Keys of more are merged as before, or
+    joined by blocks of facts (``plans.intervals``) if their own versions overlap. Facts without a valid version, a key
+    or a time drop out, and so do versions without a start; empty versions are valid at no time.
     """
     version = F.struct(F.col(valid_to).alias("valid_to"), *attributes)
     begun = F.col(valid_from).isNotNull() & (F.col(valid_to).isNull() | (F.col(valid_from) < F.col(valid_to)))
@@ -443,13 +444,37 @@ def effective_date_join(
         F.col(fact_key).alias("_key"), F.col(fact_ts).alias("_t"), F.struct(*fact.columns).alias("_fact")
     )
     result = ["_fact.*", *[F.col(f"_version.{a}").alias(a) for a in attributes]]
-    crossing = cut(overlapping_keys(versions, "_key", "_t", "_until"))
-    if crossing.isEmpty():
+    keys = cut(interval_keys(versions, "_key", "_t", "_until"))
+    if keys.where("crosses").isEmpty():
         return _one_version(facts, versions).select(*result)
-    apart = _one_version(facts.join(crossing, "_key", "left_anti"), versions.join(crossing, "_key", "left_anti"))
-    own = cut(facts.join(crossing, "_key", "left_semi").withColumn("_id", F.monotonically_increasing_id()))
-    pairs = points_in_intervals(own, "_t", "_id", versions.join(crossing, "_key", "left_semi"), "_t", "_until", "_key", "_version")
-    return apart.select("_fact", "_version").union(own.join(pairs, "_id").select("_fact", "_version")).select(*result)
+    few = min(FEW_VERSIONS, int(keys.sparkSession.conf.get(HOT_KEY_SETTING, str(FEW_VERSIONS))))
+    many = keys.where(F.col("n") > few)
+    if many.isEmpty():
+        return _few_versions(facts, versions).select(*result)
+    found = _few_versions(facts, versions.join(many, "_key", "left_anti"))
+    apart, crossing = many.where("NOT crosses"), many.where("crosses")
+    if not apart.isEmpty():
+        found = found.union(_one_version(facts.join(apart, "_key", "left_semi"), versions.join(apart, "_key", "left_semi")).select("_fact", "_version"))
+    if not crossing.isEmpty():
+        own = cut(facts.join(crossing, "_key", "left_semi").withColumn("_id", F.monotonically_increasing_id()))
+        pairs = points_in_intervals(own, "_t", "_id", versions.join(crossing, "_key", "left_semi"), "_t", "_until", "_key", "_version")
+        found = found.union(own.join(pairs, "_id").select("_fact", "_version"))
+    return found.select(*result)
+
+
+# A fact may be compared with so many versions of its key; that costs less than to number it, move it and join it again.
+FEW_VERSIONS = 32
+
+
+def _few_versions(facts: DataFrame, versions: DataFrame) -> DataFrame:
+    """The versions of each fact, where a key has few: one exchange of the facts, and a range beside the key.
+
+    The hash is a second join key, so that the engine deals out both sides by itself and may split a key of many facts.
+    """
+    asked = facts.withColumn("_hash", F.xxhash64("_key"))
+    given = versions.select("_key", F.xxhash64("_key").alias("_hash"), F.col("_t").alias("_from"), "_until", "_version")
+    met = asked.join(given, ["_key", "_hash"]).where("_from <= _t AND (_until IS NULL OR _t < _until)")
+    return met.select("_fact", "_version")
 
 
 def _one_version(facts: DataFrame, versions: DataFrame) -> DataFrame:

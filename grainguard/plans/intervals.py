@@ -17,14 +17,16 @@ from grainguard.plans.sorted_chunks import carry_last, exact_ranks, next_value
 from grainguard.session import cut
 
 
-def overlapping_keys(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Keys with two intervals that overlap; intervals are not empty, ``end`` is exclusive and NULL is never.
+def interval_keys(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, n, crosses) of each key: its intervals, and whether two of them overlap.
 
-    If any two do, two neighbours by start do, so one look at the next row is enough.
+    Intervals are not empty, ``end`` is exclusive and NULL is never. If any two overlap, two neighbours by start do, so
+    one look at the next row is enough.
     """
     ahead = next_value(intervals.select(key, start, end), [key], [start], start, "_next")
     open_ended = F.col(end).isNull() | (F.col(end) > F.col("_next"))
-    return ahead.where(F.col("_next").isNotNull() & open_ended).select(key).distinct()
+    crosses = F.coalesce(F.max(F.col("_next").isNotNull() & open_ended), F.lit(False))
+    return ahead.groupBy(key).agg(F.count(F.lit(1)).alias("n"), crosses.alias("crosses"))
 
 
 def _size(n: Column) -> Column:

@@ -73,3 +73,27 @@ def test_every_joined_pair_is_a_result(spark):
     got = points_in_intervals(points, "t", "id", spans, "a", "b", "k", "v")
     assert got.count() == sum(1 for i in range(n) for d in range(1 + i % 3) if i + d < n)
     assert got.distinct().count() == got.count()
+
+
+def test_few_versions_of_a_key_are_met_at_once(spark, monkeypatch):
+    """Facts of short histories move once: they are neither numbered nor written nor dealt to blocks."""
+    from grainguard.operators import joins
+
+    facts, versions = histories(4, lambda k: True)
+    versions = [v for v in versions if v[0] != 0 or int(v[3].split("-")[1]) < 25]
+    written, cut = [], joins.cut
+    monkeypatch.setattr(joins, "points_in_intervals", None)
+    monkeypatch.setattr(joins, "cut", lambda df: written.append(df.columns) or cut(df))
+    want = brute(facts, versions)
+    assert want and joined(spark, facts, versions) == want
+    assert written == [["_key", "n", "crosses"]]
+
+
+@pytest.mark.parametrize("few", [1, 5, 60])
+def test_either_side_of_few(spark, monkeypatch, few):
+    from grainguard.operators import joins
+
+    monkeypatch.setattr(joins, "FEW_VERSIONS", few)
+    facts, versions = histories(5, lambda k: k in (0, 1))
+    want = brute(facts, versions)
+    assert want and joined(spark, facts, versions) == want
