@@ -33,7 +33,7 @@ END = 0
 
 FIRST, SECOND = 1 << 11, 1 << 12  # slots of order 1 and 2
 SCALE = 12  # bits of a mixed probability
-TOP, BOTTOM, WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(2**32 - 1)
+TOP, BOTTOM, WORD = np.uint32(1 << 24), np.uint32(1 << 16), np.uint32(2**32 - 1)  # sums of 32 bits wrap as the coder wants
 NIBBLES = 1 + 16 + 256 + 1024
 LIMIT, GAIN = 1 << 13, 24
 
@@ -48,7 +48,8 @@ class Model:
         self.mixed = np.full((rows, 2, 32), 1 << 15, np.int32)  # experience of orders 2 and 1, 16 bits
         self.weight = np.full((rows, 2), 256, np.int32)
         self.alone = np.full((rows, 16), 1 << 15, np.int32)
-        self.counts = np.ones((rows, NIBBLES, 16), np.uint16)
+        self.counts = np.ones((rows * NIBBLES, 16), np.uint16)
+        self.cells = self.counts.reshape(-1)
         self.last = np.zeros((2, rows), np.int64)
 
     def look(self, n: int) -> None:
@@ -85,12 +86,12 @@ class Model:
         p = self.alone[rows, at]
         self.alone[rows, at] = p + ((np.where(hit, 65535, 0) - p) >> 4)
 
-    def learn_counts(self, rows: np.ndarray, context: np.ndarray, nibble: np.ndarray, total: np.ndarray) -> None:
-        self.counts[rows, context, nibble] += GAIN
+    def learn_counts(self, table: np.ndarray, nibble: np.ndarray, total: np.ndarray) -> None:
+        self.cells[table * 16 + nibble] += GAIN
         full = total + GAIN > LIMIT
         if full.any():
-            r, c = rows[full], context[full]
-            self.counts[r, c] = (self.counts[r, c] >> 1) | 1
+            at = table[full]
+            self.counts[at] = (self.counts[at] >> 1) | 1
 
     def learn(self, ids: np.ndarray) -> None:
         """Take in the ids that came."""
@@ -113,30 +114,31 @@ def context(step: int, prefix: np.ndarray) -> np.ndarray:
 
 class Encoder:
     def __init__(self, rows: int):
-        self.low, self.range = np.zeros(rows, np.uint64), np.full(rows, WORD)
+        self.low, self.range = np.zeros(rows, np.uint32), np.full(rows, WORD)
         self.out, self.size = np.zeros((rows, 2 * BLOCK), np.uint8), np.zeros(rows, np.int64)
 
     def put(self, rows: np.ndarray, start: np.ndarray, width: np.ndarray, total) -> None:
-        part = self.range[rows] // np.asarray(total, np.uint64)
-        low, size = (self.low[rows] + part * start.astype(np.uint64)) & WORD, part * width.astype(np.uint64)
-        while True:
-            settled = (low ^ ((low + size) & WORD)) < TOP
-            narrow = ~settled & (size < BOTTOM)
-            move = settled | narrow
-            if not move.any():
+        size = self.range[rows] // np.asarray(total, np.uint32)
+        low = self.low[rows] + size * start.astype(np.uint32)
+        size *= width.astype(np.uint32)
+        self.low[rows], self.range[rows] = low, size
+        while True:  # only what moved a byte may move another
+            settled = (low ^ (low + size)) < TOP
+            move = np.flatnonzero(settled | (size < BOTTOM))
+            if not len(move):
                 break
-            size = np.where(narrow, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), size)
-            at = rows[move]
-            if self.size[at].max() + 8 >= self.out.shape[1]:
+            rows, low = rows[move], low[move]
+            size = np.where(settled[move], size[move], (~low + 1) & (BOTTOM - 1))
+            at = self.size[rows]
+            if at.max() + 8 >= self.out.shape[1]:
                 self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
-            self.out[at, self.size[at]] = (low[move] >> np.uint64(24)).astype(np.uint8)
-            self.size[at] += 1
-            low = np.where(move, (low << np.uint64(8)) & WORD, low)
-            size = np.where(move, (size << np.uint64(8)) & WORD, size)
-        self.low[rows], self.range[rows] = low, size
+            self.out[rows, at] = low >> 24
+            self.size[rows] = at + 1
+            low, size = low << 8, size << 8
+            self.low[rows], self.range[rows] = low, size
 
     def end(self) -> list[bytes]:
-        tail = [(self.low >> np.uint64(s)).astype(np.uint8) for s in (24, 16, 8, 0)]
+        tail = [(self.low >> s).astype(np.uint8) for s in (24, 16, 8, 0)]
         return [self.out[i, : self.size[i]].tobytes() + bytes(int(t[i]) for t in tail) for i in range(len(self.size))]
 
 
@@ -144,33 +146,33 @@ class Decoder:
     def __init__(self, payloads: list[bytes]):
         rows, width = len(payloads), max(map(len, payloads)) + 8
         self.data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in payloads), np.uint8).reshape(rows, width)
-        self.low, self.range = np.zeros(rows, np.uint64), np.full(rows, WORD)
+        self.low, self.range = np.zeros(rows, np.uint32), np.full(rows, WORD)
         self.at = np.full(rows, 4)
-        self.code = np.zeros(rows, np.uint64)
+        self.code = np.zeros(rows, np.uint32)
         for k in range(4):
-            self.code = (self.code << np.uint64(8)) | self.data[:, k].astype(np.uint64)
+            self.code = (self.code << 8) | self.data[:, k]
 
     def value(self, rows: np.ndarray, total) -> np.ndarray:
-        total = np.asarray(total, np.uint64)
+        total = np.asarray(total, np.uint32)
         self.part = self.range[rows] // total
-        return np.minimum(((self.code[rows] - self.low[rows]) & WORD) // self.part, total - np.uint64(1)).astype(np.int64)
+        return np.minimum((self.code[rows] - self.low[rows]) // self.part, total - np.uint32(1)).astype(np.int64)
 
     def take(self, rows: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        low = (self.low[rows] + self.part * start.astype(np.uint64)) & WORD
-        size, code = self.part * width.astype(np.uint64), self.code[rows]
-        while True:
-            settled = (low ^ ((low + size) & WORD)) < TOP
-            narrow = ~settled & (size < BOTTOM)
-            move = settled | narrow
-            if not move.any():
+        low = self.low[rows] + self.part * start.astype(np.uint32)
+        size = self.part * width.astype(np.uint32)
+        self.low[rows], self.range[rows] = low, size
+        while True:  # only what moved a byte may move another
+            settled = (low ^ (low + size)) < TOP
+            move = np.flatnonzero(settled | (size < BOTTOM))
+            if not len(move):
                 break
-            size = np.where(narrow, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), size)
-            at = rows[move]
-            code[move] = ((code[move] << np.uint64(8)) & WORD) | self.data[at, np.minimum(self.at[at], self.data.shape[1] - 1)].astype(np.uint64)
-            self.at[at] += 1
-            low = np.where(move, (low << np.uint64(8)) & WORD, low)
-            size = np.where(move, (size << np.uint64(8)) & WORD, size)
-        self.low[rows], self.range[rows], self.code[rows] = low, size, code
+            rows, low = rows[move], low[move]
+            size = np.where(settled[move], size[move], (~low + 1) & (BOTTOM - 1))
+            at = self.at[rows]
+            self.code[rows] = (self.code[rows] << 8) | self.data[rows, np.minimum(at, self.data.shape[1] - 1)]
+            self.at[rows] = at + 1
+            low, size = low << 8, size << 8
+            self.low[rows], self.range[rows] = low, size
 
 
 def flag(p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,27 +193,28 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         n = int(np.searchsorted(-lengths, -t, "left"))
         own = ids[t, :n]
         model.look(n)
-        rest = np.arange(n)
+        missed = np.ones(n, bool)
         rows = np.flatnonzero(model.sure2 > 0)
         if len(rows):
             hit = own[rows] == model.id2[rows]
             coder.put(rows, *flag(model.chance(rows), hit), 1 << SCALE)
             model.learn_chance(rows, hit)
-            rest = np.setdiff1d(rest, rows[hit], assume_unique=True)
-        rows = rest[(model.sure1[rest] > 0) & ~((model.sure2[rest] > 0) & (model.id1[rest] == model.id2[rest]))]
+            missed[rows[hit]] = False
+        rows = np.flatnonzero(missed & (model.sure1 > 0) & ~((model.sure2 > 0) & (model.id1 == model.id2)))
         if len(rows):
             hit = own[rows] == model.id1[rows]
             coder.put(rows, *flag(model.chance1(rows), hit), 1 << SCALE)
             model.learn_chance1(rows, hit)
-            rest = np.setdiff1d(rest, rows[hit], assume_unique=True)
+            missed[rows[hit]] = False
+        rest = np.flatnonzero(missed)
         if len(rest):
             mine = own[rest].astype(np.int64)
             for step in range(4):
-                where, nibble = context(step, mine >> (16 - 4 * step)), (mine >> (12 - 4 * step)) & 15
-                sums = np.cumsum(model.counts[rest, where], 1, dtype=np.int64)
-                width = model.counts[rest, where, nibble]
+                table, nibble = rest * NIBBLES + context(step, mine >> (16 - 4 * step)), (mine >> (12 - 4 * step)) & 15
+                sums = np.cumsum(model.counts.take(table, 0), 1, dtype=np.int32)
+                width = model.cells[table * 16 + nibble]
                 coder.put(rest, sums[np.arange(len(rest)), nibble] - width, width, sums[:, -1])
-                model.learn_counts(rest, where, nibble, sums[:, -1])
+                model.learn_counts(table, nibble, sums[:, -1])
         model.learn(own)
     return coder.end()
 
@@ -224,7 +227,7 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray
         n = int(np.searchsorted(-lengths, -t, "left"))
         own = ids[t, :n]
         model.look(n)
-        rest = np.arange(n)
+        missed = np.ones(n, bool)
         rows = np.flatnonzero(model.sure2 > 0)
         if len(rows):
             p = model.chance(rows)
@@ -232,24 +235,25 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray
             coder.take(rows, *flag(p, hit))
             own[rows[hit]] = model.id2[rows[hit]]
             model.learn_chance(rows, hit)
-            rest = np.setdiff1d(rest, rows[hit], assume_unique=True)
-        rows = rest[(model.sure1[rest] > 0) & ~((model.sure2[rest] > 0) & (model.id1[rest] == model.id2[rest]))]
+            missed[rows[hit]] = False
+        rows = np.flatnonzero(missed & (model.sure1 > 0) & ~((model.sure2 > 0) & (model.id1 == model.id2)))
         if len(rows):
             p = model.chance1(rows)
             hit = coder.value(rows, 1 << SCALE) < p
             coder.take(rows, *flag(p, hit))
             own[rows[hit]] = model.id1[rows[hit]]
             model.learn_chance1(rows, hit)
-            rest = np.setdiff1d(rest, rows[hit], assume_unique=True)
+            missed[rows[hit]] = False
+        rest = np.flatnonzero(missed)
         if len(rest):
             mine = np.zeros(len(rest), np.int64)
             for step in range(4):
-                where = context(step, mine)
-                sums = np.cumsum(model.counts[rest, where], 1, dtype=np.int64)
+                table = rest * NIBBLES + context(step, mine)
+                sums = np.cumsum(model.counts.take(table, 0), 1, dtype=np.int32)
                 nibble = (sums <= coder.value(rest, sums[:, -1])[:, None]).sum(1)
-                width = model.counts[rest, where, nibble]
+                width = model.cells[table * 16 + nibble]
                 coder.take(rest, sums[np.arange(len(rest)), nibble] - width, width)
-                model.learn_counts(rest, where, nibble, sums[:, -1])
+                model.learn_counts(table, nibble, sums[:, -1])
                 mine = (mine << 4) | nibble
             own[rest] = mine
         model.learn(own)
