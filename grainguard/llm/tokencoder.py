@@ -1,13 +1,15 @@
-"""Token ids in files: an adaptive context-mixing range coder over independent, checksummed blocks.
+"""Token ids in files: a context-mixing coder over independent, checksummed blocks.
 
 A file set is a Parquet table of segments; a segment holds whole documents in order, their lengths, and its ids in
-blocks of ``BLOCK`` ids. Every block starts with an empty model, so any block can be read by itself and a damaged
-one harms no other; a CRC-32 of the ids goes with it.
-
-The model predicts the next id from the last two ids (order 2) and the last one (order 1): each keeps the id that
-followed and how often it held. Whether the order-2 id comes is coded with a probability mixed from both orders'
-experience, by weights that move towards the order that predicts better; if not, the order-1 id is tried, and what
-neither predicts is coded in four steps of four bits by adaptive frequencies (order 0). All blocks of a segment
+blocks of ``tablecoder.BLOCK`` ids. Its payloads are the tables that its blocks share, then one for each block, as
+``tablecoder`` writes them; any block can be read with the tables alone and a damaged one harms no other; a CRC-32 of
+the ids goes with it.
+
+Earlier file sets have a payload a block and no tables; they can be read as before. There every block of ``BLOCK`` ids
+starts with an empty model, which predicts the next id from the last two ids (order 2) and the last one (order 1): each
+keeps the id that followed and how often it held. Whether the order-2 id comes is coded with a probability mixed from
+both orders' experience, by weights that move towards the order that predicts better; if not, the order-1 id is tried,
+and what neither predicts is coded in four steps of four bits by adaptive frequencies (order 0). All blocks of a segment
 are coded side by side, one id of each at a time, as numpy arrays; so memory is bounded by the segment.
 """
 
@@ -19,16 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainguard.llm import tablecoder
 from grainguard.llm.columns import stored
 from grainguard.session import ship
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 21
-BATCH_CHARS = 1 << 18
+BATCH_CHARS = 1 << 22
 END = 0
 
 FIRST, SECOND = 1 << 11, 1 << 12  # slots of order 1 and 2
@@ -181,7 +185,7 @@ def flag(p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payload of each block; blocks are ordered by length, longest first, and not empty. Ids have 16 bits."""
+    """Payload of each block without tables; blocks are ordered by length, longest first, and not empty. Ids have 16 bits."""
     lengths = np.array([len(b) for b in blocks])
     if any(b.min() < 0 or b.max() >= 1 << 16 for b in map(np.asarray, blocks)):
         raise ValueError("ids beyond 65,535 can't be coded")
@@ -270,15 +274,25 @@ SEGMENT = (
 )
 
 
-def segment_row(part: int, segment: int, base: int, keys: list, documents: list[np.ndarray]) -> dict:
-    flat = np.concatenate(documents)
-    blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
+def segment_row(part: int, segment: int, base: int, keys: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> dict:
+    blocks = [ids[i : i + tablecoder.BLOCK] for i in range(0, len(ids), tablecoder.BLOCK)]
     return {
-        "part": part, "segment": segment, "base": base, "keys": keys, "lengths": [len(d) for d in documents],
-        "block_lengths": [len(b) for b in blocks], "block_crcs": [checksum(b) for b in blocks], "payloads": encode_blocks(blocks),
+        "part": part, "segment": segment, "base": base, "keys": keys.to_pylist(), "lengths": lengths.tolist(),
+        "block_lengths": [len(b) for b in blocks], "block_crcs": [checksum(b) for b in blocks], "payloads": tablecoder.encode_segment(ids),
     }
 
 
+def segment_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+    """Ids of each block of a segment, with or without tables."""
+    if len(payloads) == len(lengths):
+        return decode_blocks(payloads, np.array(lengths))
+    try:
+        flat = tablecoder.decode_segment(payloads, np.array(lengths))
+    except (zlib.error, ValueError) as e:
+        raise ValueError("the tables of a segment are damaged") from e
+    return np.split(flat, np.cumsum(lengths)[:-1])
+
+
 def segments_of(docs: DataFrame, tokenizer: str, key: str, text: str) -> DataFrame:
     """The segments of all documents in ascending key order; ``tokenizer`` is the tokenizers library's JSON text."""
     spark = docs.sparkSession
@@ -290,36 +304,38 @@ def segments_of(docs: DataFrame, tokenizer: str, key: str, text: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker is one of many on its machine
-        from tokenizers import Tokenizer
+        from grainguard.llm.wordids import word_ids
 
-        library = Tokenizer.from_str(shared.value)
+        words = word_ids(shared.value)
         part, segment, base = TaskContext.get().partitionId(), 0, 0
-        keys, documents, size = [], [], 0
+        kept, size = [], 0
         schema = pa.schema(
             [("part", pa.int32()), ("segment", pa.int32()), ("base", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
              ("block_lengths", pa.list_(pa.int32())), ("block_crcs", pa.list_(pa.int64())), ("payloads", pa.list_(pa.binary()))]
         )
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal keys, documents, size, segment, base
-            if documents:
-                yield pa.RecordBatch.from_pylist([segment_row(part, segment, base, keys, documents)], schema)
+            nonlocal kept, size, segment, base
+            if kept:
+                keys, lengths, ids = zip(*kept, strict=True)
+                row = segment_row(part, segment, base, pa.concat_arrays(keys), np.concatenate(lengths), np.concatenate(ids))
+                yield pa.RecordBatch.from_pylist([row], schema)
                 segment, base = segment + 1, base + size
-                keys, documents, size = [], [], 0
+                kept, size = [], 0
 
         for batch in batches:
-            texts, chars, group = batch["text"].to_pylist(), 0, []
-            for i, (k, t) in enumerate(zip(batch["key"].to_pylist(), texts, strict=True)):
-                group.append((k, t))
-                chars += len(t)
-                if chars >= BATCH_CHARS or i + 1 == len(texts):
-                    for (name, _), coded in zip(group, library.encode_batch_fast([t for _, t in group], add_special_tokens=False), strict=True):
-                        documents.append(np.array([*coded.ids, END], np.int32))
-                        keys.append(name)
-                        size += len(documents[-1])
-                        if size >= SEGMENT_IDS:
-                            yield from flush()
-                    group, chars = [], 0
+            group = np.cumsum(pc.utf8_length(batch["text"]).to_numpy()) // BATCH_CHARS
+            for begin, n in zip(*(x.tolist() for x in np.unique(group, return_index=True, return_counts=True)[1:]), strict=True):
+                keys = batch["key"].slice(begin, n)
+                ids, lengths = words.encode(batch["text"].slice(begin, n))
+                ids, lengths = np.insert(ids, np.cumsum(lengths), END), lengths + 1
+                while n:
+                    fits = min(int(np.searchsorted(np.cumsum(lengths), SEGMENT_IDS - size)) + 1, n)  # the last one may be longer
+                    own = int(lengths[:fits].sum())
+                    kept.append((keys[:fits], lengths[:fits], ids[:own]))
+                    keys, lengths, ids, n, size = keys[fits:], lengths[fits:], ids[own:], n - fits, size + own
+                    if size >= SEGMENT_IDS:
+                        yield from flush()
         yield from flush()
 
     return ordered.mapInArrow(run, SEGMENT)
@@ -341,7 +357,7 @@ def read_ids(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                blocks = decode_blocks(row["payloads"], np.array(row["block_lengths"]))
+                blocks = segment_blocks(row["payloads"], row["block_lengths"])
                 for i, (block, crc) in enumerate(zip(blocks, row["block_crcs"], strict=True)):
                     if checksum(block) != crc:
                         raise ValueError(f"block {i} of segment {row['segment']} in part {row['part']} is damaged")
