@@ -153,10 +153,9 @@ def active(lengths: np.ndarray) -> np.ndarray:
     return np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
 
 
-def rate(hits: np.ndarray, states: np.ndarray) -> np.ndarray:
+def rate(hits: np.ndarray, every: np.ndarray) -> np.ndarray:
     """How often a state's candidate came, in 16 bits, never 0 or all."""
-    every, came = np.bincount(states, minlength=STATES), np.bincount(states, hits, STATES)
-    return np.clip((came + 0.4) * 65536 / (every + 0.8), 32, 65504).astype(np.int32)
+    return np.clip((hits + 0.4) * 65536 / (every + 0.8), 32, 65504).astype(np.int32)
 
 
 def contexts(ids: np.ndarray, tables: Tables, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,6 +173,11 @@ def contexts(ids: np.ndarray, tables: Tables, lengths: np.ndarray) -> tuple[np.n
     return at2, at1, came
 
 
+def counts(states: np.ndarray, came: np.ndarray) -> np.ndarray:
+    """How often the first candidate, the second and neither came in each state."""
+    return np.bincount((states << 2 | came).reshape(-1), minlength=4 * STATES).reshape(STATES, 4).T[:3]
+
+
 def encode_segment(ids: np.ndarray) -> list[bytes]:
     """The tables' bytes, then a payload for each ``BLOCK`` ids. Ids have 16 bits; there is at least one."""
     if ids.min() < 0 or ids.max() >= 1 << 16:
@@ -185,11 +189,11 @@ def encode_segment(ids: np.ndarray) -> list[bytes]:
     own = np.ascontiguousarray(own.T)
     tables = Tables.counted(ids)
     at2, at1, came = contexts(own, tables, lengths)
-    there = came < 3
     tables.count_plain(own[came == 2])
-    tables.chances[0], tables.chances[1] = rate(came[there] == 0, at2[there]), rate(came[there] == 0, at1[there])
-    two = (came == 1) | (came == 2)
-    tables.chances[2] = np.where(np.arange(STATES) & 1, 0, rate(came[two] == 1, at1[two]))
+    first2, *rest2 = counts(at2, came)
+    first1, second1, none1 = counts(at1, came)
+    tables.chances[0], tables.chances[1] = rate(first2, first2 + sum(rest2)), rate(first1, first1 + second1 + none1)
+    tables.chances[2] = np.where(np.arange(STATES) & 1, 0, rate(second1, second1 + none1))
 
     # Weights of all steps first, then the chances of all ids, then the coder from the last id to the first.
     start, size = np.empty(own.shape, np.uint32), np.empty(own.shape, np.uint32)
@@ -258,7 +262,7 @@ def decode_segment(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
         begin = p << PLAIN
         second = (p + q) << PLAIN
         hit, plain = value < begin, value >= second
-        plain_id = tables.symbol.take((value - second) // left, mode="clip")
+        plain_id = tables.symbol.take(((value - second) / left).astype(np.int64), mode="clip")  # exact: 30 bits by 12
         own = np.where(hit, id2, np.where(plain, plain_id, id1))
         size = np.where(hit, begin, np.where(plain, left * span.take(plain_id), q << PLAIN))
         value -= np.where(hit, 0, np.where(plain, second + left * offset.take(plain_id), begin))

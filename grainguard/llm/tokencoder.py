@@ -32,7 +32,7 @@ from grainguard.session import ship
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 21
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 23
 END = 0
 
 FIRST, SECOND = 1 << 11, 1 << 12  # slots of order 1 and 2

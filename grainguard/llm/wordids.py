@@ -4,7 +4,7 @@ A byte-level BPE tokenizer parts texts by a pattern whose matches hold a space o
 alone. So a text may be cut before every space that a letter, digit or sign follows: the library's ids of the parts, one
 after the other, are its ids of the whole text. Words of ASCII and Latin-1 letters are parted further as the pattern does,
 and the library's model merges each distinct piece. Texts with other cuts or with added tokens are encoded whole, and so
-are all texts if the file asks for anything else. Words that were seen are kept up to a limit, then the memory starts anew.
+are all texts if the file asks for anything else. Words that were seen are kept up to a limit, then only those of the last texts.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-KEPT_CHARS = 1 << 23  # of words and pieces whose ids are kept
+KEPT_BYTES = 1 << 25  # of words and pieces whose ids are kept
 AT_ONCE = 1 << 10
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-SIMPLE = re.compile(rf"[!-~{LETTERS}][\t\n\r!-~{LETTERS}]*")
+SIMPLE = rf"\A[!-~{LETTERS}][\t\n\r!-~{LETTERS}]*\z"
 PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that byte-level BPE writes as their own characters
 SIGNS = {b: b if b in PRINTED else 256 + sum(c not in PRINTED for c in range(b)) for b in range(256)}
@@ -51,24 +51,34 @@ class Kept:
     """Ids of names, in one array."""
 
     def __init__(self):
-        self.place: dict[str, int] = {}
+        self.names = pa.array([], pa.string())
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        old, new = len(self.place), len(self.place) + len(names)
+    def add(self, names: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while new > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.start[old:new], self.size[old:new] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.place.update(zip(names, range(old, new), strict=True))
+        self.names = pa.concat_arrays([self.names, names])
+        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
         self.used += len(ids)
 
-    def places(self, names: list[str]) -> np.ndarray:
-        """Where each name is; -1 if it is not kept."""
-        return np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+    def coded(self, names: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Where each name is, and the names that are not kept, which come after those that are."""
+        both = pa.chunked_array([self.names, names]).dictionary_encode()
+        own = both.chunk(both.num_chunks - 1)
+        return own.indices.to_numpy(), own.dictionary.slice(len(self.names))
+
+    def only(self, places: np.ndarray) -> Kept:
+        kept, start, size = Kept(), self.start[places], self.size[places]
+        kept.add(self.names.take(pa.array(places)), gather(self.pool, start, size), size)
+        return kept
+
+
+def odd(word: str) -> bool:
+    """Whether a text may not be cut before this word and the space in front of it."""
+    return not word or not ("!" <= word[0] <= "~" or unicodedata.category(word[0])[0] in "LNPS")
 
 
 def encoded(library: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,78 +117,64 @@ class WordIds:
             names = self.merges.get_vocab()
             self.lengths = np.zeros(max(names.values()) + 1, np.int64)
             self.lengths[list(names.values())] = list(map(len, names))
-        self.forget()
-
-    def forget(self) -> None:
-        self.words, self.pieces, self.chars = Kept(), Kept(), 0
-
-    def odd(self, word: str) -> bool:
-        """Whether a text may not be cut before this word and the space in front of it."""
-        return not word or not ("!" <= word[0] <= "~" or unicodedata.category(word[0])[0] in "LNPS")
+        self.words, self.pieces = Kept(), Kept()
 
-    def learn(self, simple: list[str], others: list[str]) -> None:
+    def learn(self, simple: pa.Array, others: pa.Array) -> None:
         """Keep the ids of words, each with a space before it."""
-        found = PIECE.findall("".join([f" {w}" for w in simple]))
-        known = self.pieces.place
-        new = list(dict.fromkeys([p for p in found if p not in known]))
-        if new:
-            signs = "\0".join(new).encode().decode("latin-1").translate(SIGNS | {0: 0})
-            self.pieces.add(new, *merged(self.merges, self.lengths, signs.split("\0")))
-        if simple:
-            at = self.pieces.places(found)
-            sizes = self.pieces.size[at]
-            first = np.flatnonzero([p[0] == " " for p in found])
-            self.words.add(simple, gather(self.pieces.pool, self.pieces.start[at], sizes), np.add.reduceat(sizes, first))
-        if others:
-            self.words.add(others, *encoded(self.library, [f" {w}" for w in others]))
-        self.chars += sum(map(len, chain(simple, others, new)))
+        if len(simple):
+            codes, new = self.pieces.coded(pa.array(PIECE.findall(" " + " ".join(simple.to_pylist()))))
+            if len(new):
+                signs = "\0".join(new.to_pylist()).encode().decode("latin-1").translate(SIGNS | {0: 0})
+                self.pieces.add(new, *merged(self.merges, self.lengths, signs.split("\0")))
+            sizes = self.pieces.size[codes]
+            first = np.flatnonzero(pc.starts_with(self.pieces.names, " ").to_numpy(zero_copy_only=False)[codes])
+            self.words.add(simple, gather(self.pieces.pool, self.pieces.start[codes], sizes), np.add.reduceat(sizes, first))
+        if len(others):
+            self.words.add(others, *encoded(self.library, [f" {w}" for w in others.to_pylist()]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and how many each has."""
         if not self.cut or not len(texts):
             return encoded(self.library, texts.to_pylist())
-        if self.chars > KEPT_CHARS:
-            self.forget()
+        texts = texts.cast(pa.string())
         parts = pc.split_pattern(texts, " ")
         offsets = parts.offsets.to_numpy()
         offsets = offsets - offsets[0]
-        coded = parts.flatten().dictionary_encode()
-        codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        at = self.words.places(names)
-        odd, added = np.zeros(len(names), bool), np.zeros(len(names), bool)
-        new = np.flatnonzero(at < 0).tolist()
-        together = "\0".join([names[i] for i in new])
-        if any(a in together for a in self.added):
-            for i in new:
-                added[i] = any(a in names[i] for a in self.added)
-        simple, others = [], []
-        for i in new:
-            if not added[i]:
-                if SIMPLE.fullmatch(names[i]):
-                    simple.append(i)
-                elif self.odd(names[i]):
-                    odd[i] = True
-                else:
-                    others.append(i)
-        at[simple + others] = np.arange(len(simple) + len(others)) + len(self.words.place)
-        self.learn([names[i] for i in simple], [names[i] for i in others])
-        start, size = self.words.start[at][codes], self.words.size[at][codes]
+        known = len(self.words.names)
+        codes, fresh = self.words.coded(parts.flatten())
+        added, simple = np.zeros(len(fresh), bool), pc.match_substring_regex(fresh, SIMPLE).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            added |= pc.match_substring(fresh, token).to_numpy(zero_copy_only=False)
+        simple &= ~added
+        uncut = ~simple & ~added
+        uncut[uncut] = [odd(word) for word in fresh.filter(pa.array(uncut)).to_pylist()]
+        others = ~(simple | added | uncut)
+        self.learn(fresh.filter(pa.array(simple)), fresh.filter(pa.array(others)))
+        learnt = known + np.concatenate([np.flatnonzero(simple), np.flatnonzero(others)])
+        start, size = np.zeros((2, known + len(fresh)), np.int64)
+        for own, kept in ((start, self.words.start), (size, self.words.size)):
+            own[:known], own[learnt] = kept[:known], kept[known:]
+        start, size = start[codes], size[codes]
 
         # The first word of a text has no space before it. A text that may not be cut everywhere is its own first word.
         heads = offsets[:-1]
         whole = np.zeros(len(heads), bool)
-        if odd.any() or added.any():
-            bad = odd[codes]
-            bad[heads] = False
-            bad |= added[codes]
-            whole = np.logical_or.reduceat(bad, heads)
+        if uncut.any() or added.any():
+            kinds = np.concatenate([np.zeros(known, np.uint8), uncut + 2 * added.astype(np.uint8)])[codes]
+            kinds[heads] &= 2
+            whole = np.maximum.reduceat(kinds, heads) > 0
             size[np.repeat(whole, np.diff(offsets))] = 0
-        firsts = coded.dictionary.take(pa.array(codes[heads])).to_pylist()
+        firsts = parts.flatten().take(pa.array(heads)).to_pylist()
         for i in np.flatnonzero(whole).tolist():
             firsts[i] = texts[i].as_py()
         ids, own = encoded(self.library, firsts)
         start[heads], size[heads] = self.words.used + np.cumsum(own) - own, own
-        return gather(np.concatenate([self.words.pool[: self.words.used], ids]), start, size), np.add.reduceat(size, heads)
+        out = gather(np.concatenate([self.words.pool[: self.words.used], ids]), start, size), np.add.reduceat(size, heads)
+        if self.words.names.nbytes + self.pieces.names.nbytes > KEPT_BYTES:
+            came = np.ones(len(self.words.names), bool)
+            came[:known] = np.bincount(codes, minlength=known)[:known] > 0
+            self.words, self.pieces = self.words.only(np.flatnonzero(came)), Kept()
+        return out
 
 
 @lru_cache(maxsize=1)

@@ -112,7 +112,7 @@ def same(texts, size, config=TEXT):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_words_equal_the_library(seed, monkeypatch):
-    monkeypatch.setattr(wordids, "KEPT_CHARS", 3000)  # begins anew many times
+    monkeypatch.setattr(wordids, "KEPT_BYTES", 6000)  # forgets many times
     monkeypatch.setattr(wordids, "AT_ONCE", 50)
     r = random.Random(seed)
     signs = [
