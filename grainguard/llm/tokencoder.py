@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from grainguard.session import ship
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 21
-BATCH_CHARS = 1 << 23
+BATCH_CHARS = 1 << 24
 END = 0
 
 FIRST, SECOND = 1 << 11, 1 << 12  # slots of order 1 and 2
@@ -351,8 +351,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", t
     segments_of(docs, tokenizer, key, text).write.parquet(path)
 
 
-def read_ids(segments: DataFrame) -> DataFrame:
-    """(part, doc_id, start_in_part, n_tokens, token_ids) of each document; fails if a block's checksum is wrong."""
+def read_documents(segments: DataFrame, name: str, kind: str, of: Callable[[memoryview], object]) -> DataFrame:
+    """(part, doc_id, start_in_part, n_tokens) of each document, and what ``of`` makes of its ids' bytes; fails if a block's checksum is wrong."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,22 +361,27 @@ def read_ids(segments: DataFrame) -> DataFrame:
                 for i, (block, crc) in enumerate(zip(blocks, row["block_crcs"], strict=True)):
                     if checksum(block) != crc:
                         raise ValueError(f"block {i} of segment {row['segment']} in part {row['part']} is damaged")
-                flat = np.concatenate(blocks).astype("<u4")
+                flat = memoryview(np.concatenate(blocks).astype("<u4").tobytes())
                 ends = np.cumsum(row["lengths"])
                 n = len(ends)
-                raw = [flat[e - m : e].tobytes() for e, m in zip(ends.tolist(), row["lengths"], strict=True)]
+                made = [of(flat[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), row["lengths"], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["part"]] * n, pa.int32()),
                         pa.array(row["keys"], pa.int64()),
                         pa.array(row["base"] + ends - np.array(row["lengths"]), pa.int64()),
                         pa.array(row["lengths"], pa.int64()),
-                        pa.array(raw, pa.binary()),
+                        pa.array(made, pa.int64() if kind == "long" else pa.binary()),
                     ],
-                    ["part", "doc_id", "start_in_part", "n_tokens", "token_ids"],
+                    ["part", "doc_id", "start_in_part", "n_tokens", name],
                 )
 
-    return segments.mapInArrow(run, "part int, doc_id long, start_in_part long, n_tokens long, token_ids binary")
+    return segments.mapInArrow(run, f"part int, doc_id long, start_in_part long, n_tokens long, {name} {kind}")
+
+
+def read_ids(segments: DataFrame) -> DataFrame:
+    """(part, doc_id, start_in_part, n_tokens, token_ids) of each document; fails if a block's checksum is wrong."""
+    return read_documents(segments, "token_ids", "binary", bytes)
 
 
 def digests(segments: DataFrame) -> DataFrame:
@@ -386,7 +391,7 @@ def digests(segments: DataFrame) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     first = stored(parts.select(F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("first")), "parts")
-    read = read_ids(segments)
+    read = read_documents(segments, "ids_crc32", "long", zlib.crc32)  # the ids themselves needn't leave the worker
     return read.join(first, read.part == first.p).select(
-        "doc_id", (F.col("first") + F.col("start_in_part")).alias("start"), "n_tokens", F.crc32("token_ids").alias("ids_crc32")
+        "doc_id", (F.col("first") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -20,8 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-KEPT_BYTES = 1 << 25  # of words and pieces whose ids are kept
-AT_ONCE = 1 << 10
+KEPT_BYTES = 1 << 24  # of words whose ids are kept; half as many of pieces
+AT_ONCE, RUNS = 1 << 10, 1 << 16
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIMPLE = rf"\A[!-~{LETTERS}][\t\n\r!-~{LETTERS}]*\z"
 PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
@@ -43,8 +43,14 @@ def may_be_cut(config: dict) -> bool:
 
 def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of ``pool`` that begin at ``start``, one after the other."""
-    before = np.cumsum(size) - size
-    return pool.take(np.repeat(start - before, size) + np.arange(int(size.sum())))
+    out, done = np.empty(int(size.sum()), pool.dtype), 0
+    for i in range(0, len(start), RUNS):  # what is needed between stays small
+        part = size[i : i + RUNS]
+        ends = np.cumsum(part)
+        n = int(ends[-1])
+        out[done : done + n] = pool.take(np.repeat(start[i : i + RUNS] - ends + part, part) + np.arange(n))
+        done += n
+    return out
 
 
 class Kept:
@@ -129,6 +135,8 @@ class WordIds:
             sizes = self.pieces.size[codes]
             first = np.flatnonzero(pc.starts_with(self.pieces.names, " ").to_numpy(zero_copy_only=False)[codes])
             self.words.add(simple, gather(self.pieces.pool, self.pieces.start[codes], sizes), np.add.reduceat(sizes, first))
+            if self.pieces.names.nbytes > KEPT_BYTES // 2:
+                self.pieces = self.pieces.only(np.flatnonzero(np.bincount(codes)))
         if len(others):
             self.words.add(others, *encoded(self.library, [f" {w}" for w in others.to_pylist()]))
 
@@ -170,10 +178,10 @@ class WordIds:
         ids, own = encoded(self.library, firsts)
         start[heads], size[heads] = self.words.used + np.cumsum(own) - own, own
         out = gather(np.concatenate([self.words.pool[: self.words.used], ids]), start, size), np.add.reduceat(size, heads)
-        if self.words.names.nbytes + self.pieces.names.nbytes > KEPT_BYTES:
+        if self.words.names.nbytes > KEPT_BYTES:
             came = np.ones(len(self.words.names), bool)
             came[:known] = np.bincount(codes, minlength=known)[:known] > 0
-            self.words, self.pieces = self.words.only(np.flatnonzero(came)), Kept()
+            self.words = self.words.only(np.flatnonzero(came))
         return out
 
 
